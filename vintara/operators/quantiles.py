@@ -31,7 +31,7 @@ def fits_one_task(df: DataFrame) -> bool:
         estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except AttributeError:  # no access to the plan: take the way that always holds
         return False
-    return int(estimate.toString()) <= limit
+    return int(str(estimate)) <= limit
 
 
 def not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries: the operators run on the given tables."""
 
-from vintara.plans import evaluation_queries  # noqa: F401
+from vintara.plans import panel_queries, evaluation_queries  # noqa: F401, I001
 from vintara.plans.registry import ORACLES, QUERIES
 
 

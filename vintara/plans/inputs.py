@@ -153,3 +153,10 @@ def vintages(spark: SparkSession, sf: str) -> DataFrame:
         "entity", "name", (F.col("edition_period") + F.col("horizon")).alias("period"),
         F.concat("season", F.col("edition_period").cast("string")).alias("edition"),
         "season", "edition_period", "horizon", "value", (F.col("horizon") >= 0).alias("is_projection"))
+
+
+def indicators(spark: SparkSession, sf: str) -> DataFrame:
+    """Long indicator rows of the observed source."""
+    return panel(spark, sf).select("entity", "name", "period", "is_aggregate", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("indicator"), F.col(c).alias("value")) for c in ("nominal", "volume", "population")
+    ])).alias("i")).select("entity", "name", "period", "is_aggregate", "i.indicator", "i.value")
