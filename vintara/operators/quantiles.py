@@ -7,8 +7,8 @@ every wanted quantile to a small bracket; rows outside are only counted (combine
 the shuffle), and the exact order statistic is read off the few values inside. The
 bracket is verified against the exact counts, so the result is exact or the job fails.
 
-When Catalyst's own size estimate says that the whole input is small, every group is, and
-the built-in single-pass forms are used instead; both ways give the same numbers.
+When the tables a plan reads are small by their recorded size, every group is, and the
+built-in single-pass forms are used instead; both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -19,19 +19,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SKETCH_ACCURACY = 10_000
 COARSE, FINE = 32, 32  # value buckets of a group: 32 x 32
-SMALL_INPUT = 128 << 20  # bytes; session option vintara.small.bytes
+SMALL_INPUT = 64 << 20  # bytes; session option vintara.small.bytes
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    """Is the estimated size of the whole input small enough for one task to hold any group?"""
+    """Are all tables this plan reads small enough together for one task to hold any group?
+
+    Joins here attach lookups and explodes are bounded by the calendar, so the sum of the
+    scanned tables bounds the rows up to a constant; Catalyst's own estimate multiplies
+    the sides of every join and says nothing.
+    """
     limit = int(df.sparkSession.conf.get("vintara.small.bytes", str(SMALL_INPUT)))
     if limit <= 0:
         return False
     try:
-        estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except AttributeError:  # no access to the plan: take the way that always holds
         return False
-    return int(str(estimate)) <= limit
+    return total <= limit
 
 
 def not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -209,3 +215,41 @@ def value_ranks(
         (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2.0).alias("rank_avg"),
         "n",
     )
+
+
+def running_totals(
+    df: DataFrame, keys: Sequence[str], value: str, tie: str, amount: Column, bounded_groups: bool = False
+) -> DataFrame:
+    """Running count and sum of ``amount`` (NULL amounts count for nothing) in value order.
+
+    Adds ``run_n``, ``run_sum`` (inclusive), ``all_n`` and ``all_sum``. Large groups are cut
+    into value buckets: totals of the buckets before, plus a short window inside each.
+    """
+    keys = list(keys)
+    rows = not_null(df, [*keys, value]).withColumn("_a", amount)
+    if fits_one_task(df):
+        w = Window.partitionBy(*keys)
+        run = w.orderBy(value, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumns({
+            "run_n": F.count("_a").over(run), "run_sum": F.coalesce(F.sum("_a").over(run), F.lit(0.0)),
+            "all_n": F.count("_a").over(w), "all_sum": F.sum("_a").over(w),
+        }).drop("_a")
+    edges = bucket_edges(rows, keys, value)
+    bucketed = _attach(rows, edges, keys, bounded_groups).withColumn(
+        "_bucket", bucket_of(F.col(value))).drop("_edges", "_coarse")
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    offsets = bucketed.groupBy(*keys, "_bucket").agg(
+        F.count("_a").alias("_n"), F.coalesce(F.sum("_a"), F.lit(0.0)).alias("_s"),
+    ).select(
+        *keys, "_bucket",
+        (F.sum("_n").over(before) - F.col("_n")).alias("_n0"), (F.sum("_s").over(before) - F.col("_s")).alias("_s0"),
+        F.sum("_n").over(whole).alias("all_n"), F.sum("_s").over(whole).alias("all_sum"),
+    )
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(value, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = bucketed.withColumns({
+        "_n1": F.count("_a").over(inner), "_s1": F.coalesce(F.sum("_a").over(inner), F.lit(0.0)),
+    })
+    return _attach(local, offsets, [*keys, "_bucket"], bounded_groups).withColumns({
+        "run_n": F.col("_n0") + F.col("_n1"), "run_sum": F.col("_s0") + F.col("_s1"),
+    }).drop("_a", "_bucket", "_n0", "_s0", "_n1", "_s1")

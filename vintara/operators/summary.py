@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vintara.functions import expr
 from vintara.operators.quantiles import fits_one_task, grouped_quantiles, value_ranks
+from vintara.session import materialize
 
 
 def reference_periods(start: int, end: int, forecast_end: int) -> dict[str, int]:
@@ -49,13 +50,16 @@ def common_panel_ranks(summary: DataFrame) -> DataFrame:
     Without any second base the panel is the nominal one. Ranks of a large table come from
     bucketed counts (``value_ranks``), not from a single sorted partition.
     """
+    small = fits_one_task(summary)
+    if not small:
+        summary = materialize(summary, "summary")
     no_second = summary.agg(
         ((F.count("ppp_volume_end") == 0) | (F.count("ppp_volume_fcst") == 0)).alias("x")).scalar()
     nominal = F.col("nominal_end").isNotNull() & F.col("nominal_fcst").isNotNull()
     both = nominal & F.col("ppp_volume_end").isNotNull() & F.col("ppp_volume_fcst").isNotNull()
     marked = summary.withColumn("_no_second", no_second).withColumn(
         "in_panel", F.when(F.col("_no_second"), nominal).otherwise(both)).drop("_no_second")
-    if fits_one_task(summary):
+    if small:
         ranked = marked.withColumns({
             rank: F.when(F.col("in_panel") & F.col(c).isNotNull(), F.rank().over(
                 Window.orderBy(F.when(F.col("in_panel"), F.col(c)).desc_nulls_last()))).cast("bigint")
