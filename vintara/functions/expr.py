@@ -108,9 +108,13 @@ def log_ratio(growth_pct: Column | str) -> Column:
 
 
 def digitize(x: Column | str, edges: Column) -> Column:
-    """Left-closed class 1 + #{edge <= x}; NULL for a NULL value."""
-    x = col(x)
-    return F.when(x.isNotNull(), F.size(F.filter(edges, lambda e: e <= x)) + 1)
+    """Left-closed class 1 + #{edge <= x}; NULL for a NULL value.
+
+    An edge often is one of the values: compared to nine decimals, so that the last bit of
+    a value chained another way does not move it to the class below.
+    """
+    x = F.round(col(x), 9)
+    return F.when(x.isNotNull(), F.size(F.filter(edges, lambda e: F.round(e, 9) <= x)) + 1)
 
 
 def right_closed_bin(x: Column | str, edges: Sequence[float] | Column) -> Column:

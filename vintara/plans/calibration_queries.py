@@ -13,6 +13,7 @@ from vintara.plans.oracle import CTES
 from vintara.plans.registry import register
 
 RT_HORIZON, RT_FIRST = 3, 31
+EDITION = 41  # the edition whose projections reach the end of the report
 DRAWS = 200
 
 
@@ -42,7 +43,7 @@ def entities(spark, sf):
 
 @memo
 def bands(spark, sf):
-    return b.projection_bands(levels_at_edition(spark, sf), v.current_cumulative_projection(real_vintages(spark, sf), 46, 5),
+    return b.projection_bands(levels_at_edition(spark, sf), v.current_cumulative_projection(real_vintages(spark, sf), EDITION, 5),
                               entities(spark, sf), world(spark, sf), 5)
 
 
@@ -59,7 +60,7 @@ CTES["levels_pit"] = """
 SELECT l.* REPLACE (coalesce(h.grp, l.grp) AS grp) FROM levels l LEFT JOIN group_history h
 ON h.entity = l.entity AND h.fiscal = l.edition_period + (l.season = 'F')::INTEGER"""
 CTES["current_growth"] = """
-WITH c AS (SELECT * FROM real_vintages WHERE edition_period = 46 AND season = 'F')
+WITH c AS (SELECT * FROM real_vintages WHERE edition_period = 41 AND season = 'F')
 SELECT a.entity, a.horizon, (product(1 + b.value / 100) - 1) * 100 AS g FROM c a JOIN c b ON a.entity = b.entity AND b.horizon BETWEEN 0 AND a.horizon
 WHERE a.horizon BETWEEN 0 AND 5 GROUP BY 1, 2 HAVING count(DISTINCT b.horizon) = a.horizon + 1"""
 _mem = """SELECT {k}, '{r}' AS regime, 'cell|' || cls || '|' || grp AS cell, level_error_own AS e, worst_realised AS w FROM {t} WHERE {f}
@@ -78,7 +79,7 @@ def _stats(k, t):
 CTES["past"] = """
 WITH p AS (SELECT * FROM levels_pit WHERE horizon BETWEEN 0 AND 5 AND level_error_own IS NOT NULL AND projected_growth_pct IS NOT NULL),
 q AS (SELECT horizon, quantile_cont(projected_growth_pct, [0.2, 0.4, 0.6, 0.8]) AS edges FROM p GROUP BY 1)
-SELECT p.*, edges, len(list_filter(edges, lambda x: x <= projected_growth_pct)) + 1 AS cls,
+SELECT p.*, edges, len(list_filter(edges, lambda x: round(x, 9) <= round(projected_growth_pct, 9))) + 1 AS cls,
   EXISTS (SELECT 1 FROM world w WHERE w.value < 0 AND w.period > p.edition_period AND w.period <= p.edition_period + p.horizon) AS crisis
 FROM p JOIN q USING (horizon)"""
 CTES["pstats"] = _stats("horizon", "past")
@@ -88,7 +89,7 @@ FROM range(0, 6) t(h), world a WHERE a.period + h - 1 <= (SELECT max(period) FRO
 CTES["bands"] = """
 WITH q AS (SELECT DISTINCT horizon, edges FROM past),
 r AS (SELECT s.entity, s.name, s.grp, q.horizon, g.g AS projected_growth_pct,
-    CASE WHEN g.g IS NOT NULL THEN (len(list_filter(edges, lambda x: x <= g.g)) + 1)::INTEGER END AS cls
+    CASE WHEN g.g IS NOT NULL THEN (len(list_filter(edges, lambda x: round(x, 9) <= round(g.g, 9))) + 1)::INTEGER END AS cls
   FROM suppliers s CROSS JOIN q LEFT JOIN current_growth g ON g.entity = s.entity AND g.horizon = q.horizon),
 j AS (SELECT r.*, pi, a.n n1, b.n n2, d.n n3, CASE WHEN a.n IS NOT NULL THEN 'cell' WHEN b.n IS NOT NULL THEN 'class' ELSE 'all' END AS based_on,
     CASE WHEN a.n IS NOT NULL THEN a.n WHEN b.n IS NOT NULL THEN b.n ELSE d.n END AS cases,
@@ -146,14 +147,14 @@ register("f17_f18_f20_f26_cell_statistics", _statistics,
 BANDS = ("projected_growth_pct error_p10 error_median error_p90 low_pct high_pct low_pct_group high_pct_group downturn_pct "
          "downturn_crisis_pct downturn_calm_pct crisis_pct error_median_crisis depth_median")
 register("f21_f27_f32_projection_bands", lambda s, d: b.projection_bands(
-    levels_at_edition(s, d), v.current_cumulative_projection(real_vintages(s, d), 46, 5), entities(s, d), world(s, d), 5),
+    levels_at_edition(s, d), v.current_cumulative_projection(real_vintages(s, d), EDITION, 5), entities(s, d), world(s, d), 5),
     "SELECT * FROM bands", BANDS)
 register("f22_b25_retrospective_calibration",
          lambda s, d: b.retrospective_calibration(levels_at_edition(s, d), RT_HORIZON, SPLIT, "AFRICA"),
          """WITH r AS (SELECT * FROM levels_pit WHERE horizon = 3 AND level_error_own IS NOT NULL AND projected_growth_pct IS NOT NULL),
             l AS (SELECT *, weight IS NOT NULL AND row_number() OVER (PARTITION BY edition ORDER BY weight DESC NULLS LAST, entity) <= 20 AS large FROM r),
             q AS (SELECT quantile_cont(projected_growth_pct, [0.2, 0.4, 0.6, 0.8]) AS edges FROM l WHERE edition_period <= 34),
-            k AS (SELECT l.*, len(list_filter(edges, lambda x: x <= projected_growth_pct)) + 1 AS cls FROM l, q),
+            k AS (SELECT l.*, len(list_filter(edges, lambda x: round(x, 9) <= round(projected_growth_pct, 9))) + 1 AS cls FROM l, q),
             tr AS (SELECT *, level_error_own AS e FROM k WHERE edition_period <= 34), te AS (SELECT *, level_error_own AS e FROM k WHERE edition_period > 34),
             s2 AS (SELECT cls, grp, quantile_cont(e, 0.1) lo, quantile_cont(e, 0.9) hi FROM tr WHERE grp IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100),
             s1 AS (SELECT cls, quantile_cont(e, 0.1) lo, quantile_cont(e, 0.9) hi FROM tr GROUP BY 1),
@@ -178,7 +179,7 @@ CTES["rt_train"] = """
 WITH k AS (SELECT unnest(range(31, 60))::INTEGER AS v), t AS (SELECT k.v, c.* FROM k JOIN rt_cases c ON c.edition_period <= k.v - 5 WHERE k.v <= (SELECT max(edition_period) FROM rt_cases)),
 g AS (SELECT v FROM t GROUP BY 1 HAVING count(*) >= 100),
 q AS (SELECT v, quantile_cont(projected_growth_pct, [0.2, 0.4, 0.6, 0.8]) AS edges FROM t SEMI JOIN g USING (v) GROUP BY 1)
-SELECT t.*, edges, len(list_filter(edges, lambda x: x <= projected_growth_pct)) + 1 AS cls,
+SELECT t.*, edges, len(list_filter(edges, lambda x: round(x, 9) <= round(projected_growth_pct, 9))) + 1 AS cls,
   EXISTS (SELECT 1 FROM world w WHERE w.value < 0 AND w.period > t.edition_period AND w.period <= t.edition_period + 3 AND w.period <= t.v - 2) AS crisis
 FROM t JOIN q USING (v)"""
 CTES["rt_stats"] = _stats("v", "rt_train")
@@ -188,7 +189,7 @@ CTES["rt_pi"] = """
 SELECT v, avg(EXISTS (SELECT 1 FROM world r WHERE r.value < 0 AND r.period BETWEEN a.period AND a.period + 2)::INT) AS pi
 FROM (SELECT DISTINCT v FROM rt_train) k JOIN world a ON a.period + 2 <= k.v - 2 GROUP BY 1"""
 CTES["rt_test"] = """
-SELECT c.*, q.v, (len(list_filter(edges, lambda x: x <= projected_growth_pct)) + 1)::INTEGER AS cls, level_error_own AS error, (worst_realised < 0)::INT::DOUBLE AS down
+SELECT c.*, q.v, (len(list_filter(edges, lambda x: round(x, 9) <= round(projected_growth_pct, 9))) + 1)::INTEGER AS cls, level_error_own AS error, (worst_realised < 0)::INT::DOUBLE AS down
 FROM rt_cases c JOIN (SELECT DISTINCT v, edges FROM rt_train) q ON q.v = c.edition_period"""
 CTES["rt_long"] = """
 WITH s AS (SELECT v, cell, n, freq, lo, hi FROM rt_stats WHERE regime = ''),

@@ -131,7 +131,7 @@ register("f23_bias_by_quintile", on_ev(e.bias_by_forecast_quintile),
             SELECT horizon, quintile, count(*) AS n, median(value) AS median_forecast, median(value - realised_own) AS median_bias
             FROM b GROUP BY 1, 2""", "median_forecast median_bias")
 CLASSED = """q AS (SELECT horizon, quantile_cont(projected_growth_pct, [0.2, 0.4, 0.6, 0.8]) AS edges FROM r GROUP BY 1),
-  b AS (SELECT r.*, len(list_filter(edges, lambda x: x <= projected_growth_pct))::INTEGER + 1 AS cls FROM r JOIN q USING (horizon))"""
+  b AS (SELECT r.*, len(list_filter(edges, lambda x: round(x, 9) <= round(projected_growth_pct, 9)))::INTEGER + 1 AS cls FROM r JOIN q USING (horizon))"""
 register("f15_growth_classes",
          on_levels(lambda t: _classed(t.where("level_error_own IS NOT NULL AND projected_growth_pct IS NOT NULL"))),
          f"""WITH r AS (SELECT * FROM levels WHERE level_error_own IS NOT NULL AND projected_growth_pct IS NOT NULL), {CLASSED}
