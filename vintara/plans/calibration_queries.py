@@ -303,3 +303,7 @@ register("b13_b14_scores", lambda s, d: levels(s, d).where("level_error_own IS N
     expr.covered(F.lit(-20.0), F.lit(20.0), "level_error_own").alias("inside"), expr.inverted_bound("level_error_own").alias("bound")),
     """SELECT entity, edition, horizon, 40 + 10 * greatest(-20 - level_error_own, 0) + 10 * greatest(level_error_own - 20, 0) AS score,
        (level_error_own BETWEEN -20 AND 20)::INT::DOUBLE AS inside, (1 / (1 + level_error_own / 100) - 1) * 100 AS bound FROM levels WHERE level_error_own IS NOT NULL""", "score bound")
+register("c15_c16_common_cases", on(lambda p: c.common_cases(p).withColumn("gap", c.of_method(c.RETAINED, "score") - F.col("score")).select(
+    "entity", "edition", "method", "gap")), "SELECT entity, edition, method, gap FROM common", "gap")
+register("c17_cascading_lookup", on(lambda p: p.where(F.col("method") == c.RETAINED).select("entity", "edition", "lo", "hi", "p")),
+         "SELECT entity, edition, lo, hi, p FROM preds WHERE method = 'class x group'", "lo hi p")

@@ -141,7 +141,7 @@ def _long(t):
 CTES["scen"] = _long("swide")
 CTES["swide0"] = f"""SELECT b.*, {', '.join(_level(n, 'g_low' if s.SIDE.get(n) == 'low' else 'g_high' if s.SIDE.get(n) == 'high' else 'g_central') for n in _names)}
   FROM (SELECT * REPLACE (pop_low AS pop_low_calibrated, pop_high AS pop_high_calibrated) FROM sbase) b LEFT JOIN sfactors f ON f.entity = b.entity AND f.period = least(b.period, 46)"""
-LEVELS = "level " + " ".join(s.POPULATIONS) + " current_per_capita total"
+LEVELS = "level " + " ".join(s.POPULATIONS) + " total"
 register("b16_growth_zones", lambda a, b: s.growth_zones(inputs.suppliers(a, b).select("entity", F.col("grp").alias("region")), long_run_series(a, b), ZONES),
          "SELECT entity, grp AS region, zone, zone_level FROM zoned")
 register("b17_scenario_factors", lambda a, b: s.long_factors(dated_bands(a, b)),
