@@ -94,28 +94,34 @@ def classify(cases: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFra
         "cls", expr.digitize("projected_growth_pct", F.col("edges"))).drop("edges")
 
 
-def cell_statistics(cases: DataFrame, keys: Sequence[str], regimes: bool = False) -> DataFrame:
-    """band quantiles, median, size, downturn share and depth of every cell."""
+def cell_statistics(cases: DataFrame, keys: Sequence[str], regimes: bool = False, shares_only: bool = False) -> DataFrame:
+    """band quantiles, median, size, downturn share and depth of every cell.
+
+    ``shares_only`` leaves the quantiles of the crisis and calm cells out.
+    """
     low, high = fixed.BAND_QUANTILES
     rows = cases.select(*keys, "level_error_own", "worst_realised", F.explode(memberships(regimes)).alias("cell"))
     down = F.col("worst_realised") < 0
+    wanted = ~F.col("cell").contains(":") if shares_only else F.lit(True)
     return summarise(
         rows, [*keys, "cell"],
         [F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(down, F.lit(False)).cast("double")).alias("frequency"),
          expr.share_pct(down).alias("downturn_pct")],
-        {"e": "level_error_own", "w": F.when(down, F.col("worst_realised"))},
+        {"e": F.when(wanted, F.col("level_error_own")), "w": F.when(wanted & down, F.col("worst_realised"))},
         {"lo": ("e", low), "hi": ("e", high), "median": ("e", 0.5), "depth": ("w", 0.5)},
     )
 
 
+MAX_CELLS = 10_000  # cells of one key; groups are a short list, and the map of cells is broadcast
 STATISTICS = ("n", "frequency", "downturn_pct", "lo", "hi", "median", "depth")
 
 
 def cell_map(statistics: DataFrame, keys: Sequence[str], min_cell: int) -> DataFrame:
     """one map per key of the cells that stand on their own (class x group from ``min_cell`` cases)."""
     stands = (F.col("n") >= min_cell) | ~F.col("cell").rlike(r"^([a-z]+:)?cell\|")
-    return statistics.where(stands).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("cell", F.struct(*STATISTICS)))).alias("cells"))
+    table = statistics.where(stands).groupBy(*keys).agg(F.collect_list(F.struct("cell", F.struct(*STATISTICS))).alias("_l"))
+    few = F.when(F.size("_l") <= MAX_CELLS, F.col("_l")).otherwise(F.raise_error(F.lit("too many groups for a map of cells")))
+    return table.select(*keys, F.map_from_entries(few).alias("cells"))
 
 
 def pick(regime: str = "") -> Column:

@@ -34,15 +34,16 @@ def expanding_training(cases: DataFrame, horizon: int, first: int, last: int) ->
 def crps(samples: DataFrame, queries: DataFrame, keys: Sequence[str], sample: str, outcome: str) -> DataFrame:
     """H2: CRPS of empirical distributions, E|X - y| - E|X - X'| / 2, from running sums.
 
-    Samples and distinct outcomes are ordered together (samples first at ties).
+    Distinct sample values, counted before any shuffle of rows, and distinct outcomes are
+    ordered together (samples first at ties).
     """
     keys = list(keys)
-    asked = queries.select(*keys, F.col(outcome).alias("_x"), F.lit(1).alias("_q")).distinct()
-    mixed = samples.select(*keys, F.col(sample).alias("_x"), F.lit(0).alias("_q")).unionByName(asked)
-    run = materialize(
-        running_totals(mixed, keys, "_x", "_q", F.when(F.col("_q") == 0, F.col("_x")), bounded_groups=False), "crps")
+    asked = queries.select(*keys, F.col(outcome).alias("_x")).distinct().select(*keys, "_x", F.lit(1).alias("_q"), F.lit(None).cast("bigint").alias("_w"))
+    told = samples.groupBy(*keys, F.col(sample).alias("_x")).agg(F.count(F.lit(1)).alias("_w")).select(*keys, "_x", F.lit(0).alias("_q"), "_w")
+    run = materialize(running_totals(told.unionByName(asked), keys, "_x", "_q", F.col("_w")), "crps")
+    middle = F.col("run_n") - (F.col("_w") - 1) / 2  # mean rank of the copies of a value
     spread = run.where("_q = 0").groupBy(*keys).agg(
-        (2 * F.sum((2 * F.col("run_n") - F.col("all_n") - 1) * F.col("_x")) / F.pow(F.max("all_n"), 2)).alias("_disp"))
+        (2 * F.sum(F.col("_w") * (2 * middle - F.col("all_n") - 1) * F.col("_x")) / F.pow(F.max("all_n"), 2)).alias("_disp"))
     y, k, n = F.col("_x"), F.col("run_n"), F.col("all_n")
     distance = (y * k - F.col("run_sum")) + (F.col("all_sum") - F.col("run_sum")) - y * (n - k)
     return run.where("_q = 1").join(spread, keys).select(
@@ -70,7 +71,7 @@ def realtime_predictions(
     test = classify(cases.where(F.col("edition_period") >= first).withColumn("v", F.col("edition_period")), edges, ["v"])
     if world is not None:
         train = in_crisis(train, world, F.lit(horizon), F.col("v") - 2)
-    cells = cell_map(cell_statistics(train, ["v"], regimes=world is not None), ["v"], min_cell)
+    cells = cell_map(cell_statistics(train, ["v"], regimes=world is not None, shares_only=True), ["v"], min_cell)
     if world is not None:
         cells = crisis_probabilities(cells, world, F.lit(horizon), F.col("v") - 2)
     own = summarise(
@@ -208,7 +209,7 @@ def coverage_by_cell(predictions: DataFrame) -> DataFrame:
     return summarise(
         predictions.where(F.col("method") == RETAINED), ["cls", "grp"],
         [F.count("covered").alias("cases"), (F.avg("covered") * 100).alias("coverage_pct")],
-        {"w": F.col("hi") - F.col("lo")}, {"median_width": ("w", 0.5)})
+        {"w": F.col("hi") - F.col("lo")}, {"median_width": ("w", 0.5)}, bounded_groups=False)
 
 
 def coverage_by_edition(predictions: DataFrame) -> DataFrame:

@@ -44,9 +44,9 @@ def positions(placed: DataFrame, editions: DataFrame, entities: DataFrame, horiz
         "horizon", F.explode(F.sequence(F.lit(0), F.lit(horizons))))
     known = placed.groupBy("horizon", "edition", "entity").agg(F.avg("u").alias("u"))
     rows = materialize(grid.join(known, ["horizon", "edition", "entity"], "left"), "positions")
-    by_group = grouped_quantiles(rows, ["horizon", "edition", "grp"], {"u": "u"}, {"_ug": ("u", 0.5)}, bounded_groups=True)
+    by_group = grouped_quantiles(rows, ["horizon", "edition", "grp"], {"u": "u"}, {"_ug": ("u", 0.5)})
     by_edition = grouped_quantiles(rows, ["horizon", "edition"], {"u": "u"}, {"_ue": ("u", 0.5)}, bounded_groups=True)
-    return rows.join(F.broadcast(by_group), ["horizon", "edition", "grp"], "left").join(
+    return rows.join(by_group, ["horizon", "edition", "grp"], "left").join(
         F.broadcast(by_edition), ["horizon", "edition"], "left").select(
         "horizon", "edition", "entity", "grp", F.coalesce("u", "_ug", "_ue", F.lit(0.5)).alias("u"))
 

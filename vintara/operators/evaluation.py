@@ -225,13 +225,13 @@ def flag_large(rows: DataFrame, top: int = fixed.LARGE_ENTITIES) -> DataFrame:
     """the ``top`` weights of every horizon and edition.
 
     The ranked filter is cut in every task before the shuffle; only ``top`` rows per
-    edition are joined back.
+    horizon and edition (both from the calendar) are joined back.
     """
     w = Window.partitionBy("horizon", "edition").orderBy(F.desc("weight"), "entity")
     leaders = rows.where("weight IS NOT NULL").select("horizon", "edition", "entity", "weight").withColumn(
         "_r", F.row_number().over(w)).where(F.col("_r") <= top).select(
         "horizon", "edition", "entity", F.lit(True).alias("_large"))
-    return rows.join(leaders, ["horizon", "edition", "entity"], "left").withColumn(
+    return rows.join(F.broadcast(leaders), ["horizon", "edition", "entity"], "left").withColumn(
         "large", F.coalesce("_large", F.lit(False))).drop("_large")
 
 

@@ -52,14 +52,20 @@ def _attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], bounded_group
     return df.join(F.broadcast(groups) if bounded_groups else groups, list(keys))
 
 
-def _small_quantiles(measures: Mapping[str, Column | str], targets: Mapping[str, tuple[str, float]]) -> list[Column]:
-    """Built-in exact percentiles."""
-    out = []
-    for name, (measure, probability) in targets.items():
-        c = measures[measure]
+def _single_pass(
+    df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
+    measures: Mapping[str, Column | str], targets: Mapping[str, tuple[str, float]],
+) -> DataFrame:
+    """Built-in exact percentiles of small groups: one buffer per measure for all its probabilities."""
+    wanted = {m: sorted({p for n, p in targets.values() if n == m}) for m, _ in targets.values()}
+    arrays = []
+    for m, probabilities in wanted.items():
+        c = measures[m]
         c = (F.col(c) if isinstance(c, str) else c).cast("double")
-        out.append(F.percentile(F.when(~F.isnan(c), c), F.lit(probability)).alias(name))
-    return out
+        arrays.append(F.percentile(F.when(~F.isnan(c), c), F.array(*[F.lit(p) for p in probabilities])).alias(f"_p_{m}"))
+    grouped = not_null(df, keys).groupBy(*keys).agg(*aggregates, *arrays)
+    plain = [c for c in grouped.columns if c not in [f"_p_{m}" for m in wanted]]
+    return grouped.select(*plain, *[F.get(f"_p_{m}", wanted[m].index(p)).alias(n) for n, (m, p) in targets.items()])
 
 
 def grouped_quantiles(
@@ -78,12 +84,12 @@ def grouped_quantiles(
     """
     keys = list(keys)
     if fits_one_task(df):
-        return not_null(df, keys).groupBy(*keys).agg(*_small_quantiles(measures, targets))
+        return _single_pass(df, keys, [], measures, targets)
     names = list(measures)
     columns = [F.col(c) if isinstance(c, str) else c for c in measures.values()]
     probabilities = sorted({p for _, p in targets.values()})
     margin = 2.0 / accuracy
-    brackets = [b for p in probabilities for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    brackets = [max(p - margin, 0.0) for p in probabilities] + [min(p + margin, 1.0) for p in probabilities]
 
     values = (
         not_null(df, keys)
@@ -91,53 +97,44 @@ def grouped_quantiles(
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     )
     sketch = values.groupBy(*keys, "_m").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", brackets, accuracy).alias("_edges"),
-    )
-    wanted = F.array(*[
-        F.struct(F.lit(names.index(m)).alias("m"), F.lit(i).alias("i"), F.lit(p).alias("p"),
-                 F.lit(probabilities.index(p)).alias("j"))
-        for i, (m, p) in enumerate(targets.values())
-    ])
-    joined = _attach(values, sketch, [*keys, "_m"], bounded_groups)
-    rows = joined.select(
-        *keys, "_m", "_v", "_n", "_edges",
-        F.explode(F.filter(wanted, lambda t: t["m"] == F.col("_m"))).alias("_t"),
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", brackets, accuracy).alias("_edges"),
     ).select(
-        *keys, "_v",
-        F.col("_t.i").alias("_i"),
-        ((F.col("_n") - 1) * F.col("_t.p")).alias("_pos"),
-        F.when(F.col("_v") < F.get("_edges", F.col("_t.j") * 2), -1)
-        .when(F.col("_v") > F.get("_edges", F.col("_t.j") * 2 + 1), 1)
-        .otherwise(0).alias("_zone"),
-    )
-    counted = rows.groupBy(
-        *keys, "_i", "_pos", "_zone", F.when(F.col("_zone") == 0, F.col("_v")).alias("_x")
+        *keys, "_m", "_n", F.slice("_edges", 1, len(probabilities)).alias("_lows"),
+        F.slice("_edges", len(probabilities) + 1, len(probabilities)).alias("_highs"))
+    # Brackets opened and closed before a value: they differ inside a bracket, and their sum
+    # orders the stretches. A stretch outside is one row whatever it holds.
+    opened = F.size(F.filter("_lows", lambda e: e <= F.col("_v")))
+    closed = F.size(F.filter("_highs", lambda e: e < F.col("_v")))
+    placed = _attach(values, sketch, [*keys, "_m"], bounded_groups).select(
+        *keys, "_m", "_n", "_v", opened.alias("_o"), closed.alias("_k"))
+    counted = placed.groupBy(
+        *keys, "_m", "_n", (F.col("_o") + F.col("_k")).alias("_z"), F.when(F.col("_o") > F.col("_k"), F.col("_v")).alias("_x"),
     ).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
 
-    order = Window.partitionBy(*keys, "_i").orderBy("_zone", "_x")
-    placed = counted.withColumn(
+    order = Window.partitionBy(*keys, "_m").orderBy("_z", "_x")
+    ranked = counted.withColumn(
         "_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ).withColumn("_start", F.col("_end") - F.col("_c"))
     outside = F.raise_error(F.lit("quantile outside its sketch bracket")).cast("double")
 
-    def value_at(rank: Column) -> Column:
-        inside = (F.col("_start") < rank) & (rank <= F.col("_end"))
+    def value_at(measure: int, rank: Column) -> Column:
+        here = (F.col("_m") == measure) & (F.col("_start") < rank) & (rank <= F.col("_end"))
         exact = (
-            F.when(F.col("_zone") == 0, F.col("_x"))
-            .when((F.col("_zone") == -1) & (rank == F.col("_end")), F.col("_hi"))
-            .when((F.col("_zone") == 1) & (rank == F.col("_start") + 1), F.col("_lo"))
+            F.when(F.col("_x").isNotNull(), F.col("_x"))
+            .when(rank == F.col("_end"), F.col("_hi"))
+            .when(rank == F.col("_start") + 1, F.col("_lo"))
             .otherwise(outside)
         )
-        return F.max(F.when(inside, exact))
-
-    low_rank = F.floor("_pos") + 1
-    picked = placed.groupBy(*keys, "_i").agg(
-        value_at(low_rank).alias("_a"), value_at(F.ceil("_pos") + 1).alias("_b"), F.max("_pos").alias("_pos")
-    ).withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos")))
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(targets)]
-    )
+        return F.max(F.when(here, exact))
+
+    picks, quantiles = [], []
+    for i, (name, (measure, p)) in enumerate(targets.items()):
+        m, position = names.index(measure), (F.col("_n") - 1) * F.lit(float(p))
+        picks += [
+            value_at(m, F.floor(position) + 1).alias(f"_a{i}"), value_at(m, F.ceil(position) + 1).alias(f"_b{i}"),
+            F.max(F.when(F.col("_m") == m, position - F.floor(position))).alias(f"_f{i}")]
+        quantiles.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(name))
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *quantiles)
 
 
 def summarise(
@@ -151,7 +148,7 @@ def summarise(
     """Plain aggregates of every group next to its exact quantiles."""
     keys = list(keys)
     if fits_one_task(df):
-        return not_null(df, keys).groupBy(*keys).agg(*aggregates, *_small_quantiles(measures, targets))
+        return _single_pass(df, keys, aggregates, measures, targets)
     plain = not_null(df, keys).groupBy(*keys).agg(*aggregates)
     exact = grouped_quantiles(df, keys, measures, targets, bounded_groups)
     return plain.join(exact, keys, "left")
@@ -218,38 +215,33 @@ def value_ranks(
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], value: str, tie: str, amount: Column, bounded_groups: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, tie: str, weight: Column, bounded_groups: bool = False
 ) -> DataFrame:
-    """Running count and sum of ``amount`` (NULL amounts count for nothing) in value order.
+    """Running weight and weighted sum of ``value`` in value order; a NULL weight counts for nothing.
 
     Adds ``run_n``, ``run_sum`` (inclusive), ``all_n`` and ``all_sum``. Large groups are cut
     into value buckets: totals of the buckets before, plus a short window inside each.
     """
     keys = list(keys)
-    rows = not_null(df, [*keys, value]).withColumn("_a", amount)
+    rows = not_null(df, [*keys, value]).withColumn("_c", F.coalesce(weight, F.lit(0))).withColumn("_a", F.col("_c") * F.col(value))
     if fits_one_task(df):
         w = Window.partitionBy(*keys)
         run = w.orderBy(value, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return rows.withColumns({
-            "run_n": F.count("_a").over(run), "run_sum": F.coalesce(F.sum("_a").over(run), F.lit(0.0)),
-            "all_n": F.count("_a").over(w), "all_sum": F.sum("_a").over(w),
-        }).drop("_a")
+            "run_n": F.sum("_c").over(run), "run_sum": F.sum("_a").over(run), "all_n": F.sum("_c").over(w), "all_sum": F.sum("_a").over(w),
+        }).drop("_a", "_c")
     edges = bucket_edges(rows, keys, value)
     bucketed = _attach(rows, edges, keys, bounded_groups).withColumn(
         "_bucket", bucket_of(F.col(value))).drop("_edges", "_coarse")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
-    offsets = bucketed.groupBy(*keys, "_bucket").agg(
-        F.count("_a").alias("_n"), F.coalesce(F.sum("_a"), F.lit(0.0)).alias("_s"),
-    ).select(
+    offsets = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_n"), F.sum("_a").alias("_s")).select(
         *keys, "_bucket",
         (F.sum("_n").over(before) - F.col("_n")).alias("_n0"), (F.sum("_s").over(before) - F.col("_s")).alias("_s0"),
         F.sum("_n").over(whole).alias("all_n"), F.sum("_s").over(whole).alias("all_sum"),
     )
     inner = Window.partitionBy(*keys, "_bucket").orderBy(value, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = bucketed.withColumns({
-        "_n1": F.count("_a").over(inner), "_s1": F.coalesce(F.sum("_a").over(inner), F.lit(0.0)),
-    })
+    local = bucketed.withColumns({"_n1": F.sum("_c").over(inner), "_s1": F.sum("_a").over(inner)})
     return _attach(local, offsets, [*keys, "_bucket"], bounded_groups).withColumns({
         "run_n": F.col("_n0") + F.col("_n1"), "run_sum": F.col("_s0") + F.col("_s1"),
-    }).drop("_a", "_bucket", "_n0", "_s0", "_n1", "_s1")
+    }).drop("_a", "_c", "_bucket", "_n0", "_s0", "_n1", "_s1")

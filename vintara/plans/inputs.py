@@ -8,6 +8,7 @@ cents, so every engine sees the same numbers. Codes starting with ``G`` are aggr
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from vintara.session import materialize
 
@@ -16,10 +17,16 @@ START, CUT, END = 20, 40, 46  # first period, last observed period of a report,
 FIRST_EDITION, LAST_EDITION = 24, 46
 DAMPING = (0.9, 0.75, 0.6, 0.5, 0.4, 0.3)
 _MEMO: dict[tuple, DataFrame] = {}
+_SCHEMAS: dict[tuple, StructType] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    """A given table; its schema is read from the files once per session, not once per query."""
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def memo(build):
@@ -52,17 +59,16 @@ def suppliers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Sums by supplier and quarter: one shuffle of pre-aggregated rows, no join."""
+    """Sums by supplier and quarter: rows are combined before the only shuffle, on integer keys."""
     return (
         table(spark, sf, "lineitem")
         .select(
-            F.concat(F.lit("E"), F.col("l_suppkey").cast("string")).alias("entity"),
-            period_of("l_shipdate").alias("period"),
+            "l_suppkey", period_of("l_shipdate").alias("period"),
             F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
             F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"),
             F.col("l_quantity").cast("bigint").alias("qty"),
         )
-        .groupBy("entity", "period")
+        .groupBy("l_suppkey", "period")
         .agg(
             F.sum("cents").alias("cents"),
             F.sum(F.col("cents") * (100 - F.col("disc"))).alias("net"),
@@ -70,24 +76,32 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
             F.count(F.lit(1)).alias("pop"),
         )
         .where(F.col("period") <= END)
+        .withColumn("entity", F.concat(F.lit("E"), F.col("l_suppkey").cast("string")))
+        .drop("l_suppkey")
     )
 
 
 @memo
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Entity panel with the world (G001) and region (G11x) aggregates appended."""
+    """Entity panel with the world (G001) and region (G11x) aggregates.
+
+    Every cell is sent to the totals it belongs to and added up in one aggregation, combined
+    before the shuffle: the facts are scanned once, and no total is summed by one task.
+    """
     base = cells(spark, sf).join(suppliers(spark, sf), "entity", "left")
-    measures = [F.sum(c).alias(c) for c in ("cents", "net", "qty", "pop")]
-    world = base.groupBy("period").agg(*measures).select(
-        F.lit("G001").alias("entity"), F.lit("World").alias("name"), F.lit(None).cast("string").alias("grp"),
-        F.lit(0).alias("nk"), F.lit(True).alias("is_aggregate"), "period", "cents", "net", "qty", "pop")
-    regions = base.where(F.col("grp").isNotNull()).groupBy("grp", "period").agg(*measures).select(
-        F.concat(F.lit("G11"), F.array_position(F.array(*[F.lit(r) for r in REGIONS]), F.col("grp")).cast("string")).alias("entity"),
-        F.col("grp").alias("name"), F.lit(None).cast("string").alias("grp"),
-        F.lit(0).alias("nk"), F.lit(True).alias("is_aggregate"), "period", "cents", "net", "qty", "pop")
-    own = base.select("entity", "name", "grp", "nk", F.lit(False).alias("is_aggregate"),
-                      "period", "cents", "net", "qty", "pop")
-    every = own.unionByName(world).unionByName(regions)
+    text, region = F.lit(None).cast("string"), F.array_position(F.array(*[F.lit(r) for r in REGIONS]), F.col("grp"))
+
+    def total(entity, name, grp, nk, aggregate):
+        return F.struct(entity.alias("entity"), name.alias("name"), grp.alias("grp"), nk.alias("nk"), F.lit(aggregate).alias("is_aggregate"))
+
+    totals = F.array(
+        total(F.col("entity"), F.col("name"), F.col("grp"), F.col("nk"), False),
+        total(F.lit("G001"), F.lit("World"), text, F.lit(0), True),
+        F.when(F.col("grp").isNotNull(), total(F.concat(F.lit("G11"), region.cast("string")), F.col("grp"), text, F.lit(0), True)),
+    )
+    rows = base.select("period", "cents", "net", "qty", "pop", F.explode(totals).alias("t")).where("t IS NOT NULL")
+    every = rows.select("t.*", "period", "cents", "net", "qty", "pop").groupBy(
+        "entity", "name", "grp", "nk", "is_aggregate", "period").agg(*[F.sum(c).alias(c) for c in ("cents", "net", "qty", "pop")])
     w = Window.partitionBy("entity").orderBy("period")
     follows = F.lag("period").over(w) == F.col("period") - 1
 
