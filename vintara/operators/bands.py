@@ -79,13 +79,9 @@ def group_id(grp: str = "grp") -> Column:
     return F.concat(F.lit("group|"), F.col(grp))
 
 
-def memberships(regimes: bool = False) -> Column:
+def memberships() -> Column:
     """Cells a case belongs to; a NULL class or group belongs to none of its own."""
-    cells = F.filter(F.array(cell_id(), class_id(), group_id(), F.lit("all")), lambda c: c.isNotNull())
-    if not regimes:
-        return cells
-    now = F.when(F.col("crisis"), "crisis:").otherwise("calm:")
-    return F.concat(cells, F.transform(cells, lambda c: F.concat(now, c)))
+    return F.filter(F.array(cell_id(), class_id(), group_id(), F.lit("all")), lambda c: c.isNotNull())
 
 
 def classify(cases: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -97,19 +93,29 @@ def classify(cases: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFra
 def cell_statistics(cases: DataFrame, keys: Sequence[str], regimes: bool = False, shares_only: bool = False) -> DataFrame:
     """band quantiles, median, size, downturn share and depth of every cell.
 
-    ``shares_only`` leaves the quantiles of the crisis and calm cells out.
+    With ``regimes``, the same for the cases in a world crisis and for the others: columns of
+    one aggregation, turned into cells of their own (``crisis:``, ``calm:``) afterwards.
+    ``shares_only`` leaves their quantiles out.
     """
     low, high = fixed.BAND_QUANTILES
-    rows = cases.select(*keys, "level_error_own", "worst_realised", F.explode(memberships(regimes)).alias("cell"))
+    extra = ["crisis"] if regimes else []
+    rows = cases.select(*keys, *extra, "level_error_own", "worst_realised", F.explode(memberships()).alias("cell"))
     down = F.col("worst_realised") < 0
-    wanted = ~F.col("cell").contains(":") if shares_only else F.lit(True)
-    return summarise(
-        rows, [*keys, "cell"],
-        [F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(down, F.lit(False)).cast("double")).alias("frequency"),
-         expr.share_pct(down).alias("downturn_pct")],
-        {"e": F.when(wanted, F.col("level_error_own")), "w": F.when(wanted & down, F.col("worst_realised"))},
-        {"lo": ("e", low), "hi": ("e", high), "median": ("e", 0.5), "depth": ("w", 0.5)},
-    )
+    parts = {"": F.lit(True)} | ({"crisis:": F.col("crisis"), "calm:": ~F.col("crisis")} if regimes else {})
+    aggregates, measures, targets = [], {}, {}
+    for i, (name, inside) in enumerate(parts.items()):
+        aggregates += [
+            F.count_if(inside).alias(f"n{i}"), F.avg(F.when(inside, F.coalesce(down, F.lit(False)).cast("double"))).alias(f"frequency{i}"),
+            expr.share_pct(F.when(inside, down)).alias(f"downturn_pct{i}")]
+        if not (name and shares_only):
+            measures |= {f"e{i}": F.when(inside, F.col("level_error_own")), f"w{i}": F.when(inside & down, F.col("worst_realised"))}
+            targets |= {f"lo{i}": (f"e{i}", low), f"hi{i}": (f"e{i}", high), f"median{i}": (f"e{i}", 0.5), f"depth{i}": (f"w{i}", 0.5)}
+    table = summarise(rows, [*keys, "cell"], aggregates, measures, targets)
+    known = lambda c: F.col(c) if c in table.columns else F.lit(None).cast("double")
+    cells = F.array(*[
+        F.struct(F.concat(F.lit(name), "cell").alias("cell"), *[known(f"{c}{i}").alias(c) for c in STATISTICS])
+        for i, name in enumerate(parts)])
+    return table.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where("n > 0")
 
 
 MAX_CELLS = 10_000  # cells of one key; groups are a short list, and the map of cells is broadcast

@@ -180,20 +180,17 @@ def value_ranks(
     ``n`` (rows of the group). Rows are counted by value first, so ties cost nothing.
     """
     keys = list(keys)
-    if fits_one_task(df):
-        rows = not_null(df, [*keys, value])
-        order = F.desc(value) if descending else F.asc(value)
-        ordered, ties = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys, value)
-        return rows.select(
-            *keys, value, F.rank().over(ordered).cast("bigint").alias("rank_min"),
-            (F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2.0).alias("rank_avg"),
-            F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"),
-        ).distinct()
     counts = (
         not_null(df, [*keys, value]).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     )
     sign = -1 if descending else 1
     counts = counts.withColumn("_s", F.col(value).cast("double") * sign)
+    if fits_one_task(df):
+        group = Window.partitionBy(*keys)
+        upto = F.sum("_c").over(group.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return counts.select(
+            *keys, value, (upto - F.col("_c") + 1).alias("rank_min"), (upto - (F.col("_c") - 1) / 2.0).alias("rank_avg"),
+            F.sum("_c").over(group).alias("n"))
     edges = bucket_edges(counts, keys, "_s")
     bucketed = _attach(counts, edges, keys, bounded_groups).select(
         *keys, value, "_c", "_s", bucket_of(F.col("_s")).alias("_bucket")

@@ -51,8 +51,7 @@ def common_panel_ranks(summary: DataFrame) -> DataFrame:
     bucketed counts (``value_ranks``), not from a single sorted partition.
     """
     small = fits_one_task(summary)
-    if not small:
-        summary = materialize(summary, "summary")
+    summary = materialize(summary, "summary")  # one row per entity, read by every rank
     no_second = summary.agg(
         ((F.count("ppp_volume_end") == 0) | (F.count("ppp_volume_fcst") == 0)).alias("x")).scalar()
     nominal = F.col("nominal_end").isNotNull() & F.col("nominal_fcst").isNotNull()
