@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vintara.llm.common import table
 from vintara.llm.token_counts import token_counts
+from vintara.llm.warc import archived_pages
 
 #: A document of more tokens does not fit a training context.
 CONTEXT = 2048
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,7 +27,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_counts,)}
+    return {f.__name__: f for f in (op7_warc, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
