@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vintara.llm.common import table
+from vintara.llm.common import fold, table
+from vintara.llm.language import fit_language, predict_language
 from vintara.llm.token_counts import token_counts
+from vintara.llm.toxicity import fit_toxicity, score_toxicity
 from vintara.llm.warc import archived_pages
 
 #: A document of more tokens does not fit a training context.
 CONTEXT = 2048
 
 
+#: Score from which a document counts as toxic.
+TOXIC = 0.3
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language(docs, fold(F.col("doc_id"), 3) != 1)
+    return predict_language(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select(
         "page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri")
@@ -26,8 +38,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    return score_toxicity(docs, index).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_warc, op8_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op7_warc, op8_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
