@@ -37,7 +37,7 @@ def test_held_out_documents(spark):
     held = labels.where(fold(F.col("doc_id"), 4) == 2)
     rows = score_toxicity(docs.join(held.select("doc_id"), "doc_id"), index).join(held, "doc_id").collect()
     toxic, clean = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
-    assert np.mean([s >= 0.3 for s in toxic]) > 0.8 and np.mean([s >= 0.3 for s in clean]) < 0.01
+    assert np.mean([s >= 0.3 for s in toxic]) > 0.85 and np.mean([s >= 0.3 for s in clean]) < 0.01
 
 
 @pytest.mark.parametrize("labelled", [True, False])
@@ -59,5 +59,5 @@ def test_edge_cases(spark, docs_of, labelled):
 
 def test_words_are_looked_up_by_beginnings():
     words = Vocabulary({"idiot": 0, "idio-": 1, "lowei-": 2})
-    ids, counts = words.counts("Idiot! LOWEIß loweichen idiotic".encode())
-    assert dict(zip(ids.tolist(), counts.tolist())) == {0: 1, 1: 2, 2: 2}
+    ids, counts = words.counts("Idiot! LOWEIß other loweichen idiotic".encode())
+    assert dict(zip(ids.tolist(), counts.tolist())) == {0: 1, 1: 2, 2: 2, 3: 1}

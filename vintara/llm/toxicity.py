@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are the letter runs of a text, in lower case, and their beginnings of 4 to 6 letters (insults
-come with many endings). The fit takes at most ``bound`` examples of each label, keeps the
+come with many endings); all words without a kept term count as one more term of low weight, so that a
+cosine also tells how dense the telling words are. The fit takes at most ``bound`` examples of each label, keeps the
 ``vocabulary`` terms that speak most strongly for label 1 there (likelihood ratio), and weighs them by their
 document frequency over all documents. The index holds each term's postings block by block with the block's
 largest weight, so that blocks whose bound is under the k-th best cosine are skipped: the neighbours are exact.
@@ -25,6 +26,10 @@ PREFIXES = (4, 5, 6)
 #: Likelihood ratio (chi-square, one degree) that a term needs: one in ten thousand by chance.
 SIGNIFICANT = 15.14
 BLOCK = 64
+#: Weight of a word outside the vocabulary, where an inverse document frequency is 1 to about 8.
+OTHER_WEIGHT = 0.05
+#: Chord distance at which a vote has half the weight of one at distance 0.
+HALF = 0.05
 #: Words that a task remembers before it starts afresh (results don't depend on it).
 REMEMBERED = 600_000
 
@@ -50,11 +55,14 @@ class Vocabulary(dict):
         return found
 
     def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of the terms of a whole text."""
+        """Ids and counts of the terms of a whole text; the last id counts the words without any."""
         if len(self) > REMEMBERED:
             self.clear()
-        hits = [i for found in map(self.__getitem__, text.split()) if found for i in found]
-        return np.unique(np.array(hits, np.int64), return_counts=True)
+        words = text.split()
+        hits = [found for found in map(self.__getitem__, words) if found]
+        other = len(words) - len(hits)
+        ids, counts = np.unique(np.array([i for found in hits for i in found], np.int64), return_counts=True)
+        return (np.append(ids, len(self.ids)), np.append(counts, other)) if other else (ids, counts)
 
 
 class Index:
@@ -63,19 +71,19 @@ class Index:
     def __init__(self, terms: list[str], df: np.ndarray, n_docs: int, examples: list[tuple[int, int, float, list[int], list[int]]], k: int):
         """examples: (id, label, rows it stands for, term ids, counts)."""
         self.terms, self.k = terms, k
-        self.idf = np.log((1 + n_docs) / (1 + df)) + 1
+        self.idf = np.append(np.log((1 + n_docs) / (1 + df)) + 1, OTHER_WEIGHT)
         vectors = [self.vector(np.array(t, np.int64), np.array(c, np.int64)) for *_, t, c in examples]
         # Examples of the same strongest term share blocks, which keeps the blocks' bounds tight.
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), examples[i][0], examples[i][1]))
         self.ids = np.array([examples[i][0] for i in order], np.int64)
         self.labels = np.array([examples[i][1] for i in order], np.float64)
         self.stands = np.array([examples[i][2] for i in order], np.float64)
-        none = [examples[i] for i, (t, _) in enumerate(vectors) if not len(t)]
-        everything = sum(e[2] for e in examples)
-        self.prior = (sum(e[1] * e[2] for e in examples) + 1) / (everything + 2)
+        self.prior = (sum(e[1] * e[2] for e in examples) + 1) / (sum(e[2] for e in examples) + 2)
+        none = [e for e in examples if not any(t < len(terms) for t in e[3])]
+        #: Score of a text without a telling term: the share of label 1 among such examples.
         self.without = (sum(e[1] * e[2] for e in none) + self.prior) / (sum(e[2] for e in none) + 1)
         blocks = -(-len(order) // BLOCK)
-        self.block_max = np.zeros((len(terms), max(blocks, 1)))
+        self.block_max = np.zeros((len(terms) + 1, max(blocks, 1)))
         lists: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
         for place, i in enumerate(order):
             for term, weight in zip(*(a.tolist() for a in vectors[i])):
@@ -87,7 +95,7 @@ class Index:
         self.unit = float(np.median(self.stands)) if len(order) else 1.0
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weights = (1 + np.log(counts)) * self.idf[ids] if len(ids) else np.zeros(0)
+        weights = counts * self.idf[ids] if len(ids) else np.zeros(0)
         norm = np.linalg.norm(weights)
         return ids, weights / norm if norm else weights
 
@@ -114,16 +122,17 @@ class Index:
         return places, cosines
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, list[int], list[float]]:
-        places, cosines = self.nearest(ids, counts)
-        if not len(places):
+        if not len(ids) or ids[0] == len(self.terms):
             return float(self.without), [], []
-        votes = cosines**2 * self.stands[places] / self.unit
+        places, cosines = self.nearest(ids, counts)
+        distance = np.sqrt(np.maximum(2 - 2 * cosines, 0))
+        votes = self.stands[places] / self.unit * HALF / (HALF + distance)
         score = (float(votes @ self.labels[places]) + 0.5 * self.prior) / (float(votes.sum()) + 0.5)
         return min(max(score, 0.0), 1.0), self.ids[places].tolist(), cosines.tolist()
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                 bound: int = 2000, vocabulary: int = 2048, k: int = 15) -> Index:
+                 bound: int = 4000, vocabulary: int = 2048, k: int = 15) -> Index:
     """Learn from labelled documents where ``learn`` (a column over the labels' rows) holds.
 
     Null labels, ids and texts teach nothing; of several labels of an id the largest holds. ``bound``
@@ -145,18 +154,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     telling = seen.where(a * float(n0) > b * float(n1)).withColumn("strength", strength) if n0 and n1 else seen.where("false").withColumn("strength", F.lit(0.0))
     terms = sorted(r.term for r in telling.where(F.col("strength") > SIGNIFICANT).orderBy(F.desc("strength"), "term").limit(vocabulary).collect())
     ids = {t: i for i, t in enumerate(terms)}
-    df = np.zeros(len(terms) + 1)
+    df = np.zeros(len(terms) + 2)
     for r in texts.select("text").mapInArrow(_frequencies(ids), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r.term] = r.df
     vectors = examples.select("id", "label", "of", "text").mapInArrow(_vectors(ids), "id bigint, label int, of bigint, terms array<bigint>, counts array<bigint>").collect()
-    return Index(terms, df[:-1], int(df[-1]), [(r.id, r.label, r.of / sizes[r.label][0], r.terms, r.counts) for r in vectors], k)
+    return Index(terms, df[:-2], int(df[-1]), [(r.id, r.label, r.of / sizes[r.label][0], r.terms, r.counts) for r in vectors], k)
 
 
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``score`` (0 to 1), ``evidence`` (ids of the nearest examples) and their ``cosines``.
 
-    A null text counts as empty. A text without a telling term has the share of label 1 among the
-    examples without one as its score, and no evidence. Null and repeated ids stay, row by row.
+    A null text counts as empty. A text without a telling term, an empty one too, has the share of label 1
+    among the examples without one as its score, and no evidence. Null and repeated ids stay, row by row.
     """
     kept = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -184,7 +193,7 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _frequencies(ids: dict[str, int]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, df = Vocabulary(ids), np.zeros(len(ids) + 1, np.int64)
+        words, df = Vocabulary(ids), np.zeros(len(ids) + 2, np.int64)
         for batch in batches:
             for text in utf8(batch.column(0)):
                 df[words.counts(text)[0]] += 1
