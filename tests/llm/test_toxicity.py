@@ -33,7 +33,7 @@ def test_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    index = fit_toxicity(docs, labels, fold(F.col("doc_id"), 4) != 2, bound=500)
+    index = fit_toxicity(docs, labels, fold(F.col("doc_id"), 4) != 2)
     held = labels.where(fold(F.col("doc_id"), 4) == 2)
     rows = score_toxicity(docs.join(held.select("doc_id"), "doc_id"), index).join(held, "doc_id").collect()
     toxic, clean = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]

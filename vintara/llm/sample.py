@@ -10,11 +10,12 @@ def labelled_sample(rows: DataFrame, label: str, bound: int) -> DataFrame:
 
     ``rows`` has the columns id, text and ``label`` (not null). Copies count as one text. The
     hash threshold of a label leaves about 1.5 times the bound before the exact cut, so a label
-    with a third of all rows is never gathered.
+    with a third of all rows is never gathered. The row counts per label are broadcast: labels are
+    the classes of a model, a few hundred at most.
     """
     hashed = rows.select("id", label, F.xxhash64("text").alias("h"))
     sizes = rows.groupBy(label).agg(F.count("*").alias("of"))
     share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    few = hashed.join(sizes, label).where(share < 1.5 * bound / F.col("of")).groupBy(label, "h").agg(F.min("id").alias("id"), F.min("of").alias("of"))
+    few = hashed.join(F.broadcast(sizes), label).where(share < 1.5 * bound / F.col("of")).groupBy(label, "h").agg(F.min("id").alias("id"), F.min("of").alias("of"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("h"))
     return few.withColumn("rank", rank).where(F.col("rank") <= bound).select("id", label, "of")
