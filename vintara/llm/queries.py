@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vintara.llm.common import fold, table
 from vintara.llm.language import fit_language, predict_language
+from vintara.llm.pieces import encode
 from vintara.llm.quality import quality
 from vintara.llm.token_counts import token_counts
 from vintara.llm.toxicity import fit_toxicity, score_toxicity
@@ -31,6 +32,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select(
         "page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri")
@@ -51,7 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_quality, op7_warc, op8_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op2_language_id, op3_quality, op5_pieces, op7_warc, op8_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
