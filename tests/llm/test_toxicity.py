@@ -11,22 +11,24 @@ LABELS = "doc_id long, quality int, toxic int"
 def test_neighbours_equal_brute_force():
     rng = np.random.default_rng(7)
     examples = []
-    for i in range(700):
-        ids = np.sort(rng.choice(30, rng.integers(0, 5), replace=False))
-        examples.append((i, int(rng.integers(2)), 1.0, ids.tolist(), rng.integers(1, 5, len(ids)).tolist()))
-    index = Index([str(t) for t in range(30)], rng.integers(1, 400, 30).astype(float), 700, examples, 15)
-    dense = np.zeros((700, 30))
-    for i, (*_, t, c) in enumerate(examples):
-        dense[i, t] = index.vector(np.array(t, int), np.array(c, int))[1]
-    for _ in range(60):
-        ids = np.sort(rng.choice(30, rng.integers(1, 6), replace=False))
-        counts = rng.integers(1, 4, len(ids))
-        query = np.zeros(30)
+    for i in range(900):
+        ids = np.append(np.sort(rng.choice(30, rng.integers(0, 5), replace=False)), 30)
+        examples.append((i, int(rng.integers(2)), 1.0, ids.tolist(), [*rng.integers(1, 5, len(ids) - 1).tolist(), int(rng.integers(1, 400))]))
+    index = Index([str(t) for t in range(30)], rng.integers(1, 400, 30).astype(float), 900, examples, 15)
+    vectors = {}
+    for i, *_, t, c in examples:
+        dense = np.zeros(31)
+        dense[t] = index.vector(np.array(t, int), np.array(c, int))[1]
+        vectors.setdefault(tuple(np.round(dense, 12)), i)
+    matrix = np.array(list(vectors))
+    for _ in range(80):
+        ids = np.append(np.sort(rng.choice(30, rng.integers(1, 6), replace=False)), 30)
+        counts = np.append(rng.integers(1, 4, len(ids) - 1), rng.integers(1, 300))
+        query = np.zeros(31)
         query[ids] = index.vector(ids, counts)[1]
-        want = np.sort(dense @ query)[::-1][:15]
         places, cosines = index.nearest(ids, counts)
-        assert np.allclose(cosines, want[: len(cosines)]) and (len(cosines) == 15 or want[len(cosines)] < 1e-12)
-        assert np.allclose(dense[index.ids[places]] @ query, cosines)
+        assert np.allclose(cosines, np.sort(matrix @ query)[::-1][:15])
+        assert np.allclose([matrix[list(vectors.values()).index(i)] @ query for i in index.ids[places]], cosines)
 
 
 def test_held_out_documents(spark):

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vintara.llm.common import written
 from vintara.llm.sample import labelled_sample
 
 BITS = 12
@@ -84,8 +85,8 @@ def fit_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     for r in counted:  # SIZE + 1 rows at most
         df[r.feature] = r.df
     weights = (np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1).astype(np.float32)
-    sample = labelled_sample(rows, "lang", bound).select("id", "lang")
-    vectors = rows.join(sample, ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_vectors(weights), "lang string, letters int, vector binary")
+    sample = written(labelled_sample(rows.select("id", "lang", F.xxhash64("text").alias("h")), "lang", bound).select("id", "lang"), "language-sample")
+    vectors = rows.join(F.broadcast(sample), ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_vectors(weights), "lang string, letters int, vector binary")
     fitted = vectors.groupBy("lang").applyInArrow(_clustered(clusters), "lang string, centroid binary, lows array<float>").collect()
     languages = sorted({r.lang for r in fitted})
     if len(languages) > MAX_LANGUAGES:

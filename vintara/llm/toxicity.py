@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vintara.llm.common import utf8
+from vintara.llm.common import utf8, written
 from vintara.llm.sample import labelled_sample
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -66,33 +66,43 @@ class Vocabulary(dict):
 
 
 class Index:
-    """Block-max inverted index of the examples."""
+    """Block-max inverted index of the examples; examples of one vector are one entry."""
 
     def __init__(self, terms: list[str], df: np.ndarray, n_docs: int, examples: list[tuple[int, int, float, list[int], list[int]]], k: int):
         """examples: (id, label, rows it stands for, term ids, counts)."""
         self.terms, self.k = terms, k
         self.idf = np.append(np.log((1 + n_docs) / (1 + df)) + 1, OTHER_WEIGHT)
-        vectors = [self.vector(np.array(t, np.int64), np.array(c, np.int64)) for *_, t, c in examples]
-        # Examples of the same strongest term share blocks, which keeps the blocks' bounds tight.
-        order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), examples[i][0], examples[i][1]))
-        self.ids = np.array([examples[i][0] for i in order], np.int64)
-        self.labels = np.array([examples[i][1] for i in order], np.float64)
-        self.stands = np.array([examples[i][2] for i in order], np.float64)
         self.prior = (sum(e[1] * e[2] for e in examples) + 1) / (sum(e[2] for e in examples) + 2)
         none = [e for e in examples if not any(t < len(terms) for t in e[3])]
         #: Score of a text without a telling term: the share of label 1 among such examples.
         self.without = (sum(e[1] * e[2] for e in none) + self.prior) / (sum(e[2] for e in none) + 1)
-        blocks = -(-len(order) // BLOCK)
-        self.block_max = np.zeros((len(terms) + 1, max(blocks, 1)))
+        entries: dict[tuple, list] = {}
+        for i, label, stands, t, c in sorted(examples, key=lambda e: e[0]):
+            ids, weights = self.vector(np.array(t, np.int64), np.array(c, np.int64))
+            if len(ids):
+                entry = entries.setdefault((tuple(t), tuple(np.round(weights, 12))), [i, 0.0, 0.0, ids, weights])
+                entry[1] += label * stands
+                entry[2] += stands
+        # Neighbours in this order have like weights, which keeps the bounds of the blocks tight.
+        order = sorted(entries.values(), key=lambda e: (round(20 * self._other(e)), int(e[3][e[4][: len(e[3]) - (e[3][-1] == len(terms))].argmax()]) if e[3][0] < len(terms) else -1, e[0]))
+        self.ids = np.array([e[0] for e in order], np.int64)
+        self.labels = np.array([e[1] / e[2] for e in order])
+        self.stands = np.array([e[2] for e in order])
+        self.other = np.array([self._other(e) for e in order])
+        self.block_max = np.zeros((len(terms) + 1, max(-(-len(order) // BLOCK), 1)))
         lists: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for place, i in enumerate(order):
-            for term, weight in zip(*(a.tolist() for a in vectors[i])):
-                at = lists.setdefault((term, place // BLOCK), ([], []))
-                at[0].append(place % BLOCK)
-                at[1].append(weight)
+        for place, (*_, ids, weights) in enumerate(order):
+            for term, weight in zip(ids.tolist(), weights.tolist()):
+                if term < len(terms):
+                    at = lists.setdefault((term, place // BLOCK), ([], []))
+                    at[0].append(place % BLOCK)
+                    at[1].append(weight)
                 self.block_max[term, place // BLOCK] = max(self.block_max[term, place // BLOCK], weight)
         self.postings = {key: (np.array(p), np.array(w)) for key, (p, w) in lists.items()}
-        self.unit = float(np.median(self.stands)) if len(order) else 1.0
+        self.unit = float(np.median([e[2] for e in examples])) if examples else 1.0
+
+    def _other(self, entry: list) -> float:
+        return float(entry[4][-1]) if entry[3][-1] == len(self.terms) else 0.0
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weights = counts * self.idf[ids] if len(ids) else np.zeros(0)
@@ -100,21 +110,22 @@ class Index:
         return ids, weights / norm if norm else weights
 
     def nearest(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a term in common, ties to the earlier place."""
+        """Places and cosines of the k nearest entries with a term in common, ties to the earlier place."""
         ids, weights = self.vector(ids, counts)
-        if not len(ids):
+        if not len(ids) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         bounds = weights @ self.block_max[ids]
+        telling = [(t, w) for t, w in zip(ids.tolist(), weights.tolist()) if t < len(self.terms)]
+        rest = float(weights[-1]) if ids[-1] == len(self.terms) else 0.0
         places, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
+        for block in np.argsort(-bounds, kind="stable").tolist():
             if bounds[block] <= 0 or bounds[block] < kth - 1e-12:
                 break
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(ids.tolist(), weights.tolist()):
-                if (term, block) in self.postings:
-                    at, w = self.postings[term, block]
-                    scores[at] += weight * w
-            here = np.flatnonzero(scores)
+            scores = rest * self.other[block * BLOCK : (block + 1) * BLOCK]
+            for term, weight in telling:
+                if (found := self.postings.get((term, block))) is not None:
+                    scores[found[0]] += weight * found[1]
+            here = np.flatnonzero(scores > max(kth - 1e-12, 0))
             places, cosines = np.concatenate([places, here + block * BLOCK]), np.concatenate([cosines, scores[here]])
             best = np.lexsort((places, -np.round(cosines, 12)))[: self.k]
             places, cosines = places[best], cosines[best]
@@ -140,9 +151,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     """
     marked = labels.where(learn & labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.max(labels[label_col].cast("int")).alias("label"))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = texts.where("text IS NOT NULL").join(marked, "id")
-    sample = labelled_sample(rows, "label", bound)
-    examples = texts.join(sample, "id").dropDuplicates(["id"])
+    hashes = texts.where("text IS NOT NULL").select("id", F.xxhash64("text").alias("h")).join(marked, "id")
+    sample = written(labelled_sample(hashes, "label", bound), "toxicity-sample")
+    # At most ``bound`` ids a label: sent to the scan, so that no text moves but the examples'.
+    examples = written(texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]), "toxicity-examples")
     sizes = {r.label: (r.n, r.of) for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.max("of").alias("of")).collect()}
     (n0, _), (n1, _) = sizes.get(0, (0, 0)), sizes.get(1, (0, 0))
     seen = examples.select("label", "text").mapInArrow(_distinct_terms, "label int, term string").groupBy("term").agg(
