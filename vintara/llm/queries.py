@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vintara.llm.common import fold, table
+from vintara.llm.jaccard import near_duplicates
 from vintara.llm.language import fit_language, predict_language
 from vintara.llm.pieces import encode
 from vintara.llm.quality import quality
@@ -32,6 +33,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +63,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_quality, op5_pieces, op7_warc, op8_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op2_language_id, op3_quality, op4_ngram_jaccard, op5_pieces, op7_warc, op8_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
