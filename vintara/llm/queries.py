@@ -11,6 +11,7 @@ from vintara.llm.jaccard import near_duplicates
 from vintara.llm.language import fit_language, predict_language
 from vintara.llm.pieces import encode
 from vintara.llm.quality import quality
+from vintara.llm.substrings import remove_repeats
 from vintara.llm.token_counts import token_counts
 from vintara.llm.toxicity import fit_toxicity, score_toxicity
 from vintara.llm.warc import archived_pages
@@ -43,6 +44,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select(
         "page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri")
@@ -63,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_quality, op4_ngram_jaccard, op5_pieces, op7_warc, op8_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op2_language_id, op3_quality, op4_ngram_jaccard, op5_pieces, op6_substring_dedup, op7_warc, op8_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
