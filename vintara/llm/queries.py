@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vintara.llm.common import fold, table
 from vintara.llm.jaccard import near_duplicates
 from vintara.llm.language import fit_language, predict_language
+from vintara.llm.mixing import mixed
 from vintara.llm.pieces import encode
 from vintara.llm.quality import quality
+from vintara.llm.spotsigs import fingerprints
 from vintara.llm.substrings import remove_repeats
 from vintara.llm.token_counts import token_counts
 from vintara.llm.toxicity import fit_toxicity, score_toxicity
@@ -24,6 +26,10 @@ CONTEXT = 2048
 TOXIC = 0.3
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), repetition=2.0).select("doc_id", "source", "mix.*")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language(docs, fold(F.col("doc_id"), 3) != 1)
@@ -67,8 +73,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "evidence")
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_quality, op4_ngram_jaccard, op5_pieces, op6_substring_dedup, op7_warc, op8_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_quality, op4_ngram_jaccard, op5_pieces, op6_substring_dedup, op7_warc, op8_token_counts, op9_toxicity, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
