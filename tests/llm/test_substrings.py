@@ -55,5 +55,5 @@ def test_planted_passages_and_edge_cases(docs_of, seed):
 
 def test_spans_and_kept_text(docs_of):
     passage = " ".join(f"p{i}" for i in range(40))
-    rows = remove_repeats(docs_of([(1, f"one two {passage} three"), (2, f"{passage} four")])).collect()
-    assert {r.doc_id: (r.kept_text, r.spans) for r in rows} == {1: ("one two three", [[2, 42]]), 2: ("four", [[0, 40]])}
+    rows = remove_repeats(docs_of([(1, f"one\n\ntwo {passage} three  \n"), (2, f"{passage}\tfour"), (3, " un\ntouched "), (4, passage)])).collect()
+    assert {r.doc_id: (r.kept_text, r.spans) for r in rows} == {1: ("one\n\ntwo three  \n", [[2, 42]]), 2: ("four", [[0, 40]]), 3: (" un\ntouched ", []), 4: ("", [[0, 40]])}

@@ -19,6 +19,7 @@ Hashes are of 64 bits; what decides about a word is always a pair of them (key w
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,7 +127,10 @@ def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
-    """One row per document: id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space), ``kept_sha256``, ``spans``.
+    """One row per document: id, ``n_words``, ``n_removed``, ``kept_text``, ``kept_sha256``, ``spans``.
+
+    ``kept_text`` is the text without the removed stretches and the white space after them;
+    ``kept_sha256`` is of the kept words joined by one space.
 
     A word goes if a window of ``window`` words around it also starts elsewhere, in the same document or
     another; windows are judged on the input. ``spans`` are the removed stretches as [first, after) word
@@ -219,14 +223,13 @@ def _removed(window: int):
                 n_words, n_removed, kept_texts, digests, stretches = [], [], [], [], []
                 for text, marks in zip(texts, batch.column(2).slice(lo, hi - lo)):
                     words = text.split()
+                    n_words.append(len(words))
                     spans = _stretches(marks, len(words), window) if marks.is_valid else []
                     for a, b in reversed(spans):
                         del words[a:b]
-                    kept = b" ".join(words)
-                    n_words.append(len(words) + (gone := sum(b - a for a, b in spans)))
-                    n_removed.append(gone)
-                    kept_texts.append(kept)
-                    digests.append(hashlib.sha256(kept).hexdigest())
+                    n_removed.append(sum(b - a for a, b in spans))
+                    kept_texts.append(_cut(text, spans))
+                    digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                     stretches.append(spans)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.binary()).cast(pa.string()),
@@ -235,6 +238,15 @@ def _removed(window: int):
     return run
 
 
+def _cut(text: bytes, spans: list[list[int]]) -> bytes:
+    """The text without the words of the spans and the white space after them."""
+    if not spans:
+        return text
+    starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    edges = [0, *[starts[k] for span in spans for k in span], len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def _stretches(marks: pa.ListScalar, n: int, window: int) -> list[list[int]]:
     """Removed stretches of one document from (place, mask) of its anchors."""
     place, mask = (marks.values.field(c).to_numpy() for c in ("place", "mask"))
