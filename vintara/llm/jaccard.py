@@ -139,7 +139,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(survivors, "candidates")
 
     groups = groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root")
-    texts = rows.join(groups, "node").dropDuplicates(["node"])
+    # Members grow with the input: they are never broadcast, at no size, and the text moves once.
+    texts = rows.join(groups.hint("merge"), "node").dropDuplicates(["node"])
     grams = texts.select("root", "size", "node", "text").mapInArrow(_grams(n), "root binary, size bigint, node binary, grams binary")
     blocked = _by_block(grams.withColumn("group", F.xxhash64("root")), "grams")
     verified = written(blocked.mapInArrow(_verified(threshold), "node binary, links bigint, root binary"), "links")
