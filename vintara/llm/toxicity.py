@@ -23,8 +23,11 @@ from vintara.llm.sample import labelled_sample
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-#: Likelihood ratio (chi-square, one degree) that a term needs: one in ten thousand by chance.
-SIGNIFICANT = 15.14
+HEAD = min(PREFIXES)
+#: Likelihood ratio (chi-square, one degree) that a term needs: one in a hundred thousand by chance.
+SIGNIFICANT = 20.0
+#: Times as common among examples of label 1 as among the others: weaker terms are in most documents and tell little.
+LIFT = 3
 BLOCK = 64
 #: Weight of a word outside the vocabulary, where an inverse document frequency is 1 to about 8.
 OTHER_WEIGHT = 0.05
@@ -34,10 +37,12 @@ HALF = 0.05
 REMEMBERED = 600_000
 
 
-def terms_of(word: bytes) -> list[str]:
+def terms_of(word: bytes, heads: set[str] | None = None) -> list[str]:
+    """Terms of a word; of runs that begin with one of the heads, where these are given."""
     found = []
     for run in LETTERS.findall(word.decode("utf-8", "replace").lower()):
-        found += [run, *(f"{run[:n]}-" for n in PREFIXES if len(run) >= n)]
+        if heads is None or run[:HEAD] in heads:
+            found += [run, *(f"{run[:n]}-" for n in PREFIXES if len(run) >= n)]
     return found
 
 
@@ -47,9 +52,10 @@ class Vocabulary(dict):
     def __init__(self, ids: dict[str, int]):
         super().__init__()
         self.ids = ids
+        self.heads = {t.rstrip("-")[:HEAD] for t in ids}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        found = tuple(self.ids[t] for t in terms_of(word) if t in self.ids)
+        found = tuple(self.ids[t] for t in terms_of(word, self.heads) if t in self.ids)
         if len(word) <= 64:
             self[word] = found
         return found
@@ -61,6 +67,8 @@ class Vocabulary(dict):
         words = text.split()
         hits = [found for found in map(self.__getitem__, words) if found]
         other = len(words) - len(hits)
+        if not hits:
+            return np.full(min(other, 1), len(self.ids)), np.full(min(other, 1), other)
         ids, counts = np.unique(np.array([i for found in hits for i in found], np.int64), return_counts=True)
         return (np.append(ids, len(self.ids)), np.append(counts, other)) if other else (ids, counts)
 
@@ -163,7 +171,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     a, b = F.col("a"), F.col("b")
     c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
     strength = 2 * (part(a, a + b, n1) + part(b, a + b, n0) + part(c, c + d, n1) + part(d, c + d, n0))
-    telling = seen.where(a * float(n0) > b * float(n1)).withColumn("strength", strength) if n0 and n1 else seen.where("false").withColumn("strength", F.lit(0.0))
+    telling = seen.where(a * float(n0) >= b * float(LIFT * n1)).withColumn("strength", strength) if n0 and n1 else seen.where("false").withColumn("strength", F.lit(0.0))
     terms = sorted(r.term for r in telling.where(F.col("strength") > SIGNIFICANT).orderBy(F.desc("strength"), "term").limit(vocabulary).collect())
     ids = {t: i for i, t in enumerate(terms)}
     df = np.zeros(len(terms) + 2)
@@ -205,11 +213,13 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _frequencies(ids: dict[str, int]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, df = Vocabulary(ids), np.zeros(len(ids) + 2, np.int64)
+        words, df = Vocabulary(ids), np.zeros(len(ids) + 2, np.int64)  # the last but one stays 0: words without a term
         for batch in batches:
             for text in utf8(batch.column(0)):
-                df[words.counts(text)[0]] += 1
+                df[list({i for found in map(words.__getitem__, set(text.split())) for i in found})] += 1
                 df[-1] += 1
+            if len(words) > REMEMBERED:
+                words.clear()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], ["term", "df"])
 
     return of
