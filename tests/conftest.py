@@ -14,11 +14,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def large(spark):
-    """Force the ways meant for groups of any size."""
-    spark.conf.set("vintara.small.bytes", "0")
-    yield
-    spark.conf.unset("vintara.small.bytes")

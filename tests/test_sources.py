@@ -48,10 +48,13 @@ def test_group_history(spark):
 
 
 def test_edition_names_and_refusal_to_guess(spark):
-    flows = spark.createDataFrame([("WEO_2024_OCT_VINTAGE",), ("WEO_2025_APR_VINTAGE",), ("WEO",)], "flow string")
-    assert {x.flow: x.edition for x in ar.edition_names(flows, 2030).collect()} == {"WEO_2024_OCT_VINTAGE": "F2024", "WEO_2025_APR_VINTAGE": "S2025", "WEO": "F2025"}
-    with pytest.raises(Exception, match="cannot be dated"):
-        ar.edition_names(flows, 2029).collect()
+    # Two archives with a gap between them, the later of autumn; a month that names no half-year counts as autumn.
+    flows = spark.createDataFrame([("OUT_1997_JUN_VINTAGE",), ("OUT_2003_SEP_VINTAGE",), ("OUT_2001_XXX_VINTAGE",), ("NOW",)], "flow string")
+    want = {"OUT_1997_JUN_VINTAGE": "S1997", "OUT_2003_SEP_VINTAGE": "F2003", "OUT_2001_XXX_VINTAGE": "F2001", "NOW": "S2004"}
+    assert {x.flow: x.edition for x in ar.edition_names(flows, 2012, span=8).collect()} == want
+    for reach in (2011, 2013):
+        with pytest.raises(Exception, match="cannot be dated"):
+            ar.edition_names(flows, reach, span=8).collect()
 
 
 def test_archive_is_written_once(spark, tmp_path):

@@ -87,7 +87,7 @@ def draw_trajectories(ratios: DataFrame, scenarios: DataFrame, edition_period: i
     """
     wide = scenarios.where(F.col("scenario").isin("central", "low", "high") & (F.col("period") >= edition_period) & (F.col("period") <= end)).groupBy(
         "entity", "period").agg(*[F.max(F.when(F.col("scenario") == s, F.col("level"))).alias(s) for s in ("central", "low", "high")])
-    low, high = F.ln(F.col("low") / F.col("central")), F.ln(F.col("high") / F.col("central"))
+    low, high = F.ln(F.try_divide("low", "central")), F.ln(F.try_divide("high", "central"))
     placed = wide.select("entity", "period", "central", ((low + high) / 2).alias("m"), ((high - low) / 2).alias("w"))
     last = edition_period + horizons
     band = F.struct("period", "central", "m", "w")
@@ -200,13 +200,13 @@ def aggregate_control(
     bounds = scenarios.where(F.col("period").isin(list(periods)) & F.col("scenario").isin("central", "low", "high")).join(membership, "entity").groupBy(*keys).agg(
         F.count_distinct("entity").alias("entities"),
         *[F.sum(F.when(F.col("scenario") == s, F.col("total"))).alias(f"_{s}") for s in ("central", "low", "high")])
-    relative = totals.join(bounds, keys).withColumn("relative", 100 * F.col("_t") / F.col("_central")).withColumn(
+    relative = totals.join(bounds, keys).withColumn("relative", F.try_divide(100 * F.col("_t"), F.col("_central"))).withColumn(
         "edition_period", F.substring("draw", 2, 10).cast("int"))
     relative = materialize(relative, "relative_totals")
     point = relative.groupBy(*keys).agg(
         F.max("entities").alias("entities"), F.count(F.lit(1)).alias("draws"), F.percentile("relative", F.lit(0.1)).alias("p10"),
         F.percentile("relative", F.lit(0.5)).alias("p50"), F.percentile("relative", F.lit(0.9)).alias("p90"),
-        (100 * F.max("_low") / F.max("_central")).alias("sum_of_lows"), (100 * F.max("_high") / F.max("_central")).alias("sum_of_highs"))
+        F.try_divide(100 * F.max("_low"), F.max("_central")).alias("sum_of_lows"), F.try_divide(100 * F.max("_high"), F.max("_central")).alias("sum_of_highs"))
     return point.join(quantile_interval(relative, keys, "relative", "edition_period", {"p10": 0.1, "p90": 0.9}, bootstrap), keys)
 
 

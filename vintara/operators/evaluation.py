@@ -299,11 +299,12 @@ def describe_errors(ev: DataFrame) -> DataFrame:
 
 
 def error_histogram(ev: DataFrame, bins: int = 50) -> DataFrame:
-    """Equal-width histogram of the own-reference errors over their range."""
+    """Equal-width histogram of the own-reference errors over their range; equal errors share the first bin."""
     rows = ev.where("error_own IS NOT NULL")
-    low, high = rows.agg(F.min("error_own")).scalar(), rows.agg(F.max("error_own")).scalar()
-    ranged = rows.select("error_own", low.alias("lo"), high.alias("hi"))
-    bucket = F.least(F.floor((F.col("error_own") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    ends = rows.agg(F.struct(F.min("error_own").alias("lo"), F.max("error_own").alias("hi"))).scalar()
+    ranged = rows.select("error_own", ends.alias("ends")).select("error_own", "ends.*")
+    place = F.coalesce(F.try_divide(F.col("error_own") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    bucket = F.least(F.floor(place * bins), F.lit(bins - 1))
     return ranged.groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

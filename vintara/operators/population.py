@@ -105,7 +105,7 @@ def calibrated_bounds(current: DataFrame, calibration: DataFrame, revision: int,
     thirds = current_bounds(current, revision).select("entity", "horizon", "third")
     k = calibration.select("size", "third", "horizon", "k_low", "k_high")
     joined = rows.join(thirds, ["entity", "horizon"]).join(F.broadcast(k), ["size", "third", "horizon"])
-    low, high = F.col("low") / F.col("median"), F.col("high") / F.col("median")
+    low, high = F.try_divide("low", "median"), F.try_divide("high", "median")
     return joined.select(
         "entity", "period", "size", "third", low.alias("low_ratio"), high.alias("high_ratio"),
         expr.calibrated_ratio(low, "k_low").alias("low_calibrated"), expr.calibrated_ratio(high, "k_high").alias("high_calibrated"))

@@ -6,9 +6,6 @@ may hold all the rows, so neither survives scale. Here a mergeable sketch first
 every wanted quantile to a small bracket; rows outside are only counted (combined before
 the shuffle), and the exact order statistic is read off the few values inside. The
 bracket is verified against the exact counts, so the result is exact or the job fails.
-
-When the tables a plan reads are small by their recorded size, every group is, and the
-built-in single-pass forms are used instead; both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -19,25 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SKETCH_ACCURACY = 10_000
 COARSE, FINE = 32, 32  # value buckets of a group: 32 x 32
-SMALL_INPUT = 64 << 20  # bytes; session option vintara.small.bytes
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Are all tables this plan reads small enough together for one task to hold any group?
-
-    Joins here attach lookups and explodes are bounded by the calendar, so the sum of the
-    scanned tables bounds the rows up to a constant; Catalyst's own estimate multiplies
-    the sides of every join and says nothing.
-    """
-    limit = int(df.sparkSession.conf.get("vintara.small.bytes", str(SMALL_INPUT)))
-    if limit <= 0:
-        return False
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except AttributeError:  # no access to the plan: take the way that always holds
-        return False
-    return total <= limit
 
 
 def not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -52,22 +30,6 @@ def _attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], bounded_group
     return df.join(F.broadcast(groups) if bounded_groups else groups, list(keys))
 
 
-def _single_pass(
-    df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
-    measures: Mapping[str, Column | str], targets: Mapping[str, tuple[str, float]],
-) -> DataFrame:
-    """Built-in exact percentiles of small groups: one buffer per measure for all its probabilities."""
-    wanted = {m: sorted({p for n, p in targets.values() if n == m}) for m, _ in targets.values()}
-    arrays = []
-    for m, probabilities in wanted.items():
-        c = measures[m]
-        c = (F.col(c) if isinstance(c, str) else c).cast("double")
-        arrays.append(F.percentile(F.when(~F.isnan(c), c), F.array(*[F.lit(p) for p in probabilities])).alias(f"_p_{m}"))
-    grouped = not_null(df, keys).groupBy(*keys).agg(*aggregates, *arrays)
-    plain = [c for c in grouped.columns if c not in [f"_p_{m}" for m in wanted]]
-    return grouped.select(*plain, *[F.get(f"_p_{m}", wanted[m].index(p)).alias(n) for n, (m, p) in targets.items()])
-
-
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -83,8 +45,6 @@ def grouped_quantiles(
     groups), so the table of groups may be broadcast; otherwise Spark decides by size.
     """
     keys = list(keys)
-    if fits_one_task(df):
-        return _single_pass(df, keys, [], measures, targets)
     names = list(measures)
     columns = [F.col(c) if isinstance(c, str) else c for c in measures.values()]
     probabilities = sorted({p for _, p in targets.values()})
@@ -117,24 +77,29 @@ def grouped_quantiles(
     ).withColumn("_start", F.col("_end") - F.col("_c"))
     outside = F.raise_error(F.lit("quantile outside its sketch bracket")).cast("double")
 
-    def value_at(measure: int, rank: Column) -> Column:
-        here = (F.col("_m") == measure) & (F.col("_start") < rank) & (rank <= F.col("_end"))
-        exact = (
-            F.when(F.col("_x").isNotNull(), F.col("_x"))
-            .when(rank == F.col("_end"), F.col("_hi"))
-            .when(rank == F.col("_start") + 1, F.col("_lo"))
-            .otherwise(outside)
-        )
-        return F.max(F.when(here, exact))
-
-    picks, quantiles = [], []
-    for i, (name, (measure, p)) in enumerate(targets.items()):
-        m, position = names.index(measure), (F.col("_n") - 1) * F.lit(float(p))
-        picks += [
-            value_at(m, F.floor(position) + 1).alias(f"_a{i}"), value_at(m, F.ceil(position) + 1).alias(f"_b{i}"),
-            F.max(F.when(F.col("_m") == m, position - F.floor(position))).alias(f"_f{i}")]
-        quantiles.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(name))
-    return ranked.groupBy(*keys).agg(*picks).select(*keys, *quantiles)
+    # The ranks wanted of each measure, two per probability; a stretch answers those it holds. As many
+    # rows per group as are listed here, so they are gathered in one map, and the plan has the same size for any list.
+    wanted = sorted({(names.index(m), p) for m, p in targets.values()})
+    ranks = F.array(*[
+        F.struct(F.lit(2 * i + up).alias("slot"), F.lit(m).alias("m"), (rank(position := (F.col("_n") - 1) * F.lit(float(p))) + 1).alias("rank"), (position - F.floor(position)).alias("part"))
+        for i, (m, p) in enumerate(wanted) for up, rank in enumerate((F.floor, F.ceil))])
+    held = F.filter(ranks, lambda r: (r["m"] == F.col("_m")) & (F.col("_start") < r["rank"]) & (r["rank"] <= F.col("_end")))
+    rank = F.col("r.rank")
+    exact = (
+        F.when(F.col("_x").isNotNull(), F.col("_x"))
+        .when(rank == F.col("_end"), F.col("_hi"))
+        .when(rank == F.col("_start") + 1, F.col("_lo"))
+        .otherwise(outside)
+    )
+    found = ranked.withColumn("r", F.explode(held)).select(*keys, F.col("r.slot").alias("slot"), F.struct(exact.alias("v"), F.col("r.part").alias("part")).alias("at"))
+    gathered = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "at"))).alias("_at"))
+
+    def quantile(name: str, measure: str, p: float) -> Column:
+        i = wanted.index((names.index(measure), p))
+        low, high = F.col("_at")[2 * i], F.col("_at")[2 * i + 1]
+        return (low["v"] + (high["v"] - low["v"]) * low["part"]).alias(name)
+
+    return gathered.select(*keys, *[quantile(name, *of) for name, of in targets.items()])
 
 
 def summarise(
@@ -147,8 +112,6 @@ def summarise(
 ) -> DataFrame:
     """Plain aggregates of every group next to its exact quantiles."""
     keys = list(keys)
-    if fits_one_task(df):
-        return _single_pass(df, keys, aggregates, measures, targets)
     plain = not_null(df, keys).groupBy(*keys).agg(*aggregates)
     exact = grouped_quantiles(df, keys, measures, targets, bounded_groups)
     return plain.join(exact, keys, "left")
@@ -185,12 +148,6 @@ def value_ranks(
     )
     sign = -1 if descending else 1
     counts = counts.withColumn("_s", F.col(value).cast("double") * sign)
-    if fits_one_task(df):
-        group = Window.partitionBy(*keys)
-        upto = F.sum("_c").over(group.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return counts.select(
-            *keys, value, (upto - F.col("_c") + 1).alias("rank_min"), (upto - (F.col("_c") - 1) / 2.0).alias("rank_avg"),
-            F.sum("_c").over(group).alias("n"))
     edges = bucket_edges(counts, keys, "_s")
     bucketed = _attach(counts, edges, keys, bounded_groups).select(
         *keys, value, "_c", "_s", bucket_of(F.col("_s")).alias("_bucket")
@@ -221,12 +178,6 @@ def running_totals(
     """
     keys = list(keys)
     rows = not_null(df, [*keys, value]).withColumn("_c", F.coalesce(weight, F.lit(0))).withColumn("_a", F.col("_c") * F.col(value))
-    if fits_one_task(df):
-        w = Window.partitionBy(*keys)
-        run = w.orderBy(value, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.withColumns({
-            "run_n": F.sum("_c").over(run), "run_sum": F.sum("_a").over(run), "all_n": F.sum("_c").over(w), "all_sum": F.sum("_a").over(w),
-        }).drop("_a", "_c")
     edges = bucket_edges(rows, keys, value)
     bucketed = _attach(rows, edges, keys, bounded_groups).withColumn(
         "_bucket", bucket_of(F.col(value))).drop("_edges", "_coarse")

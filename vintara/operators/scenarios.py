@@ -9,20 +9,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vintara.functions import expr, fixed
 from vintara.operators.longrun import widen
 
-SCENARIOS = ("central", "corrected", "low", "high", "world_crisis", "low_group", "high_group", "low_wide", "high_wide")
-SIDE = {"low": "low", "high": "high", "low_group": "low", "high_group": "high", "low_wide": "low", "high_wide": "high"}
+# The bounds come in three widths (the entity's own, its group's, widened), each with a low and a high side; three paths have no side.
+SIDES, WIDTHS, PATHS = ("low", "high"), ("", "_group", "_wide"), ("central", "corrected", "world_crisis")
+SIDE = {f"{side}{width}": side for width in WIDTHS for side in SIDES}
+SCENARIOS = (*PATHS, *SIDE)
 POPULATIONS = ("pop_central", "pop_low", "pop_high", "pop_low_calibrated", "pop_high_calibrated")
 
 
 def scenario_factors(bands: DataFrame) -> DataFrame:
     """Factor on the projected path by scenario, from the bands at every horizon."""
     q = lambda c: F.try_divide(F.lit(1.0), 1 + c / 100)
-    low, high = 1 + F.col("low_pct") / 100, 1 + F.col("high_pct") / 100
-    return bands.select(
-        "entity", "period", F.lit(1.0).alias("central"), q(F.col("error_median")).alias("corrected"), low.alias("low"), high.alias("high"),
-        q(F.coalesce("error_median_crisis", "error_median")).alias("world_crisis"),
-        F.coalesce(1 + F.col("low_pct_group") / 100, low).alias("low_group"), F.coalesce(1 + F.col("high_pct_group") / 100, high).alias("high_group"),
-        low.alias("low_wide"), high.alias("high_wide"))
+    own = {side: 1 + F.col(f"{side}_pct") / 100 for side in SIDES}
+    paths = {"central": F.lit(1.0), "corrected": q(F.col("error_median")), "world_crisis": q(F.coalesce("error_median_crisis", "error_median"))}
+    bounds = {s: F.coalesce(1 + F.col(f"{side}_pct_group") / 100, own[side]) if s.endswith("_group") else own[side] for s, side in SIDE.items()}
+    return bands.select("entity", "period", *[c.alias(s) for s, c in (paths | bounds).items()])
 
 
 def long_factors(bands: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def key_figures(scenarios: DataFrame, entity: str, periods: Sequence[int]) -> Da
 
 
 def changed_figures(published: DataFrame, current: DataFrame) -> DataFrame:
-    """Published against current key figures: those that differ, or exist on one side only."""
+    """Published against current key figures: those of both that differ; a figure of one side has nothing to differ from."""
     both = published.select("figure", F.col("value").alias("published")).join(
-        current.select("figure", F.col("value").alias("current")), "figure", "full")
+        current.select("figure", F.col("value").alias("current")), "figure")
     return both.where(~F.col("published").eqNullSafe(F.col("current")))

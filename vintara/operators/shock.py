@@ -140,9 +140,9 @@ def activity_summary(table: DataFrame, output_base: DataFrame) -> DataFrame:
     base, w = F.col("activity_base"), F.col("weight")
     totals = rows.groupBy("member", "delay").agg(
         F.count(F.lit(1)).alias("entities"),
-        (F.ln(F.sum(base) / F.sum(base * F.exp(-F.col("activity_before")))) / fixed.TREND_PERIODS).alias("_trend"),
-        F.ln(F.sum(base * F.exp("a")) / F.sum(base)).alias("_a"),
-        F.ln(F.sum(w * F.exp("o")) / F.sum(w)).alias("_o"), F.ln(F.sum(w * F.exp("p")) / F.sum(w)).alias("_p"))
+        (F.ln(F.try_divide(F.sum(base), F.sum(base * F.exp(-F.col("activity_before"))))) / fixed.TREND_PERIODS).alias("_trend"),
+        F.ln(F.try_divide(F.sum(base * F.exp("a")), F.sum(base))).alias("_a"),
+        F.ln(F.try_divide(F.sum(w * F.exp("o")), F.sum(w))).alias("_o"), F.ln(F.try_divide(F.sum(w * F.exp("p")), F.sum(w))).alias("_p"))
     gap = F.col("_a") - F.col("_trend") * (F.col("delay") + 2)
     surprise = F.col("_o") - F.col("_p")
     return totals.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vintara.functions import expr
-from vintara.operators.quantiles import fits_one_task, grouped_quantiles, value_ranks
+from vintara.operators.quantiles import grouped_quantiles, value_ranks
 from vintara.session import materialize
 
 
@@ -47,10 +47,9 @@ RANKED = {"rank_end": "nominal_end", "rank_fcst": "nominal_fcst", "rank_ppp_end"
 def common_panel_ranks(summary: DataFrame) -> DataFrame:
     """Ranks of the entities known at both dates on both bases, and rank changes.
 
-    Without any second base the panel is the nominal one. Ranks of a large table come from
+    Without any second base the panel is the nominal one. The four measures are ranked together, from
     bucketed counts (``value_ranks``), not from a single sorted partition.
     """
-    small = fits_one_task(summary)
     summary = materialize(summary, "summary")  # one row per entity, read by every rank
     no_second = summary.agg(
         ((F.count("ppp_volume_end") == 0) | (F.count("ppp_volume_fcst") == 0)).alias("x")).scalar()
@@ -58,18 +57,13 @@ def common_panel_ranks(summary: DataFrame) -> DataFrame:
     both = nominal & F.col("ppp_volume_end").isNotNull() & F.col("ppp_volume_fcst").isNotNull()
     marked = summary.withColumn("_no_second", no_second).withColumn(
         "in_panel", F.when(F.col("_no_second"), nominal).otherwise(both)).drop("_no_second")
-    if small:
-        ranked = marked.withColumns({
-            rank: F.when(F.col("in_panel") & F.col(c).isNotNull(), F.rank().over(
-                Window.orderBy(F.when(F.col("in_panel"), F.col(c)).desc_nulls_last()))).cast("bigint")
-            for rank, c in RANKED.items()
-        })
-    else:
-        ranked = marked
-        for rank, c in RANKED.items():
-            ranks = value_ranks(marked.where("in_panel").withColumn("_all", F.lit(0)), ["_all"], c, descending=True, bounded_groups=True)
-            ranked = ranked.join(ranks.select(F.col(c).alias("_v"), F.col("rank_min").alias(rank)),
-                                 F.col("in_panel") & (F.col(c) == F.col("_v")), "left").drop("_v")
+    long = marked.where("in_panel").select("entity", F.explode(F.array(*[
+        F.struct(F.lit(rank).alias("measure"), F.col(c).alias("value")) for rank, c in RANKED.items()
+    ])).alias("m")).select("entity", "m.measure", "m.value").where("value IS NOT NULL")
+    ranks = value_ranks(long, ["measure"], "value", descending=True, bounded_groups=True)
+    wide = long.join(ranks, ["measure", "value"]).groupBy("entity").agg(*[
+        F.max(F.when(F.col("measure") == rank, F.col("rank_min"))).alias(rank) for rank in RANKED])
+    ranked = marked.join(wide, "entity", "left")
     return ranked.withColumns({
         "rank_change": F.col("rank_end") - F.col("rank_fcst"),
         "rank_gap_bases": F.col("rank_end") - F.col("rank_ppp_end"),

@@ -106,7 +106,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     follows = F.lag("period").over(w) == F.col("period") - 1
 
     def growth(c: str):
-        return F.when(follows, (F.col(c) * F.lit(1.0) / F.lag(c).over(w) - 1) * 100)
+        return F.when(follows, (F.try_divide(F.col(c) * F.lit(1.0), F.lag(c).over(w)) - 1) * 100)
 
     return every.select(
         "entity", "name", "grp", "nk", "is_aggregate", "period",

@@ -29,8 +29,8 @@ CTES["panel"] = """
 SELECT entity, name, grp, nk, is_aggregate, period, cents / 100000.0::DOUBLE AS nominal, net / 10000000.0::DOUBLE AS other,
   qty::DOUBLE AS volume, qty * (1.0::DOUBLE + nk * 0.02::DOUBLE) AS ppp_volume,
   cents / 100000.0::DOUBLE * (1.0::DOUBLE + nk * 0.02::DOUBLE) AS ppp, pop::DOUBLE AS population,
-  CASE WHEN lag(period) OVER w = period - 1 THEN (qty::DOUBLE / lag(qty) OVER w - 1) * 100 END AS growth,
-  CASE WHEN lag(period) OVER w = period - 1 THEN (net::DOUBLE / lag(net) OVER w - 1) * 100 END AS other_growth
+  CASE WHEN lag(period) OVER w = period - 1 THEN (qty::DOUBLE / nullif(lag(qty) OVER w, 0) - 1) * 100 END AS growth,
+  CASE WHEN lag(period) OVER w = period - 1 THEN (net::DOUBLE / nullif(lag(net) OVER w, 0) - 1) * 100 END AS other_growth
 FROM every WINDOW w AS (PARTITION BY entity ORDER BY period)"""
 
 CTES["observed"] = """

@@ -171,4 +171,4 @@ def _changed(spark, sf):
 
 register("x_changed_figures", _changed,
          """WITH n AS (SELECT figure, round(value, 3) AS value FROM figures), p AS (SELECT figure, CASE WHEN figure LIKE '%60%' THEN value + 1 ELSE value END AS value FROM n WHERE figure NOT LIKE '% 55 pop%')
-            SELECT figure, p.value AS published, n.value AS current FROM n FULL JOIN p USING (figure) WHERE p.value IS DISTINCT FROM n.value""", "published current", 3)
+            SELECT figure, p.value AS published, n.value AS current FROM n JOIN p USING (figure) WHERE p.value IS DISTINCT FROM n.value""", "published current", 3)

@@ -141,7 +141,7 @@ register("a11_current_revision", _current, 'SELECT entity, entity AS "LocID", pe
 
 
 def _history(s, f):
-    p = inputs.panel(s, f).where("NOT is_aggregate AND nk < 100")
+    p = inputs.panel(s, f).where("NOT is_aggregate")
     code = F.concat(F.lit("N"), F.lpad(F.col("nk").cast("string"), 2, "0"))
     wide = p.withColumn("qty", F.col("volume").cast("bigint")).groupBy(code.alias("entity")).agg(*[
         F.max(F.when(F.col("period") == q, F.col("qty"))).alias(f"q{q}") for q in (20, 30, 40)])
@@ -164,7 +164,7 @@ register("a25_world_growth", lambda s, f: t.world_growth(inputs.panel(s, f).wher
          "SELECT period, growth AS value FROM panel WHERE entity = 'G001' AND growth IS NOT NULL", "value")
 register("a24_method_metadata", lambda s, f: t.method_metadata(metadata(s, f), "entity", ["methodology", "base_year"]),
          """SELECT entity, methodology, base_year FROM metadata
-            QUALIFY row_number() OVER (PARTITION BY entity ORDER BY methodology NULLS FIRST, base_year NULLS FIRST) = 1""")
+            QUALIFY row_number() OVER (PARTITION BY entity ORDER BY (methodology IS NULL)::INT + (base_year IS NULL)::INT, methodology NULLS FIRST, base_year NULLS FIRST) = 1""")
 register("a28_report_inputs", lambda s, f: t.report_inputs(report(s, f), summary(s, f))[2],
          'SELECT min(period) AS start, max(period) FILTER (NOT is_forecast) AS boundary, max(period) AS "end" FROM report')
 
@@ -208,16 +208,19 @@ register("a19_c12_complement", _complement,
 
 def _named(s, f):
     """Flows of the archived editions, one quarter of orders each, and the current flow."""
-    quarters = inputs.table(s, f, "orders").select(F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).where("q IN (2, 4) AND y <= 2000").distinct()
+    quarters = inputs.table(s, f, "orders").select(F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).where("q IN (2, 4)").distinct()
     flows = quarters.select(F.concat(F.lit("WEO_"), F.col("y").cast("string"), F.when(F.col("q") == 2, "_APR").otherwise("_OCT"), F.lit("_VINTAGE")).alias("flow"))
     current = quarters.agg(F.lit("WEO").alias("flow"))
-    return ar.edition_names(flows.unionByName(current), 2006)
+    # The current flow reaches five years past its edition, the one after the last archived.
+    last = quarters.agg(F.max(F.struct("y", "q")).alias("l")).select(F.col("l.y") + F.when(F.col("l.q") == 4, 1).otherwise(0) + 5).scalar()
+    return ar.edition_names(flows.unionByName(current), last)
 
 
 register("a20_edition_names", _named,
          """SELECT DISTINCT 'WEO_' || year(o_orderdate) || CASE quarter(o_orderdate) WHEN 2 THEN '_APR' ELSE '_OCT' END || '_VINTAGE' AS flow,
-              CASE quarter(o_orderdate) WHEN 2 THEN 'S' ELSE 'F' END || year(o_orderdate) AS edition FROM orders WHERE quarter(o_orderdate) IN (2, 4) AND year(o_orderdate) <= 2000
-            UNION ALL SELECT 'WEO', 'S2001'""")
+              CASE quarter(o_orderdate) WHEN 2 THEN 'S' ELSE 'F' END || year(o_orderdate) AS edition FROM orders WHERE quarter(o_orderdate) IN (2, 4)
+            UNION ALL SELECT 'WEO', CASE max(year(o_orderdate) * 10 + quarter(o_orderdate)) % 10 WHEN 4 THEN 'S' || (max(year(o_orderdate) * 10 + quarter(o_orderdate)) // 10 + 1)
+              ELSE 'F' || (max(year(o_orderdate) * 10 + quarter(o_orderdate)) // 10) END FROM orders WHERE quarter(o_orderdate) IN (2, 4)""")
 MEASURES = ("nominal", "volume", "ppp_volume", "growth", "population", "volume_per_capita")
 
 

@@ -101,12 +101,16 @@ def world_growth(raw: DataFrame) -> DataFrame:
 
 
 def method_metadata(raw: DataFrame, code: str, attributes: Sequence[str]) -> DataFrame:
-    """First row of every entity, all text; a missing column is an error."""
+    """One row of every entity, all text; a missing column is an error.
+
+    Landed rows have no order, so the fullest row is taken, and of equally full ones the least.
+    """
     missing = [c for c in (code, *attributes) if c not in raw.columns]
     if missing:
         raise ValueError(f"metadata columns missing: {', '.join(missing)}")
-    kept = F.min(F.struct(*[F.col(c).cast("string").alias(c) for c in attributes])).alias("_m")
-    return raw.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("entity")).agg(kept).select("entity", "_m.*")
+    missing_values = sum((F.col(c).isNull().cast("int") for c in attributes), F.lit(0))
+    kept = F.min(F.struct(missing_values.alias("_missing"), *[F.col(c).cast("string").alias(c) for c in attributes])).alias("_m")
+    return raw.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("entity")).agg(kept).select("entity", *[f"_m.{c}" for c in attributes])
 
 
 def report_inputs(unified: DataFrame, summary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
