@@ -11,11 +11,12 @@ from vintara.llm.pieces import UNIGRAM, Decoder, Forward, Pieces, _encoded, deco
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
 PIECES = load(PATH)
-FORWARD = Forward(PIECES)
+FORWARD, DECODER = Forward(PIECES), Decoder(PIECES)
 
 
 def ids_of(texts):
-    ids, ends = _encoded(texts, PIECES, FORWARD)
+    ids, ends, exact = _encoded(texts, PIECES, FORWARD, DECODER)
+    assert exact == [d == t for d, t in zip(DECODER.decode(ids, ends), texts)]
     return [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
 
 
@@ -65,6 +66,6 @@ def test_unigram_scores_are_maximal(seed):
 
     for _ in range(30):
         text = "".join(rng.choice("ab ") for _ in range(10))
-        ids, ends = _encoded([text], pieces, Forward(pieces))
+        ids, ends, _ = _encoded([text], pieces, Forward(pieces), Decoder(pieces))
         assert abs(sum(pieces.scores[i] for i in ids) - search("▁" + text.replace(" ", "▁"))) < 1e-9
         assert Decoder(pieces).decode(ids, ends) == [text]

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import vintara
 from vintara.session import shared_folder
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` cuts UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def shipped(spark: SparkSession) -> None:
+    """Name this package's folder to the Python workers, who may run elsewhere (a cluster also needs ``--py-files`` or a path it shares)."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    root = str(Path(vintara.__file__).resolve().parent.parent)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,9 +81,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def chained(batches: Iterable[pa.RecordBatch]) -> pa.Table | None:
-    """All batches of one bounded group as a table, None where there are none."""
-    found = list(batches)
-    return pa.Table.from_batches(found) if found else None

@@ -184,10 +184,13 @@ class Decoder:
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of several id sequences that lie one after the other."""
+        return [t[1:] if self.prefix and t[:1] == " " else t for t in self.pieces(ids, ends)]
+
+    def pieces(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The same with the mark before the first word."""
         data = ragged(self.bytes, self.starts[ids], self.lengths[ids]).tobytes()
         at = np.concatenate([[0], np.cumsum(self.lengths[ids])])[np.concatenate([[0], ends]).astype(np.int64)].tolist()
-        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
-        return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
 
 
 # --- DataFrames ----------------------------------------------------------------------------------
@@ -210,8 +213,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices(texts, SLICE):
-                ids, ends = _encoded(texts[lo:hi], pieces, forward)
-                exact = list(map(str.__eq__, decoder.decode(ids, ends), texts[lo:hi]))
+                ids, ends, exact = _encoded(texts[lo:hi], pieces, forward, decoder)
                 for a, b in _pages(ends):
                     offsets = np.concatenate([[0], ends])[a : b + 1]
                     lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(ids[offsets[0] : offsets[-1]], pa.int32()))
@@ -228,19 +230,31 @@ def _pages(ends: np.ndarray, limit: int = 1 << 20) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
-def _encoded(texts: list[str], pieces: Pieces, forward: Forward) -> tuple[np.ndarray, np.ndarray]:
-    numbers: dict[str, int] = {}
-    flat, counts = [], []
+class _Numbered(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _encoded(texts: list[str], pieces: Pieces, forward: Forward, decoder: Decoder) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+    """Ids of the texts one after the other, where each ends, and whether its ids decode to it.
+
+    Ids decode piece by piece, so a text's do if those of each of its words do; a mark of its own decodes to a space.
+    """
+    numbers, flat, counts = _Numbered(), [], []
     for text in texts:
-        words = marked_words(text, pieces)
-        flat.extend([numbers.setdefault(w, len(numbers)) for w in words])
-        counts.append(len(words))
+        before = len(flat)
+        flat.extend(map(numbers.__getitem__, marked_words(text, pieces)))
+        counts.append(len(flat) - before)
     if not flat:
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    ids, lengths = forward.encode(list(numbers))
-    at = np.array(flat, np.int64)
-    ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.cumsum(counts)]
-    return ragged(ids, (np.cumsum(lengths) - lengths)[at], lengths[at]), ends
+        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), [MARK not in t for t in texts]
+    words = list(numbers)
+    ids, lengths = forward.encode(words)
+    wrong = np.array([d != _whole(w).replace(MARK, " ") for d, w in zip(decoder.pieces(ids, np.cumsum(lengths)), words)])
+    at, last = np.array(flat, np.int64), np.cumsum(counts)
+    total = lambda x: np.concatenate([[0], np.cumsum(x[at])])[np.concatenate([[0], last])]
+    exact = [n == 0 and MARK not in t for n, t in zip(np.diff(total(wrong.astype(np.int64))).tolist(), texts)]
+    return ragged(ids, (np.cumsum(lengths) - lengths)[at], lengths[at]), total(lengths)[1:], exact
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
