@@ -145,17 +145,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select(F.xxhash64("id", "text").alias("row"), F.xxhash64("text", F.lit(7)).alias("check"), "id", "text")
     keys = rows.select("text").mapInArrow(_keys(window), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     anchors = rows.select("row", "check", "text").mapInArrow(_anchors(window), "key bigint, span bigint, row bigint, check bigint, place bigint")
-    shared = written(anchors.join(keys.where("n > 1").select("key"), "key"), "anchors")
+    shared = written(anchors.join(keys.where("n > 1"), "key"), "anchors")
 
-    spans = shared.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "check", "place")).alias("example"))
-    several = spans.groupBy("key").agg(F.count("*").alias("spans")).where("spans > 1").select("key")
-    open_spans = spans.join(several, "key")
+    # A span that makes up all of its key is the only one; others share the key with different spans.
+    spans = shared.groupBy("key", "span").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.min(F.struct("row", "check", "place")).alias("example"))
+    open_spans = spans.where("times < n").select("key", "span", F.col("times").alias("n"), "example")
     wanted = open_spans.select("example.row", "example.check", F.struct("key", "span", "n", "example.place").alias("of")).groupBy("row", "check").agg(F.collect_list("of").alias("wanted"))
     windows = rows.join(wanted, ["row", "check"]).mapInArrow(_windows(window), "key bigint, span bigint, n bigint, bit int, window bigint")
     twice = windows.groupBy("key", "window").agg(F.sum("n").alias("times")).where("times > 1").select("key", "window")
     some = windows.join(twice, ["key", "window"]).groupBy("key", "span").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    all_of = spans.join(several, "key", "left_anti").where("n > 1").select("key", "span", F.lit(-1).cast("bigint").alias("mask"))
-    marked = shared.join(some.unionByName(all_of), ["key", "span"]).groupBy("row", "check").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
+    all_of = spans.where("times = n").select("key", "span", F.lit(-1).cast("bigint").alias("mask"))
+    marked = shared.drop("n").join(some.unionByName(all_of), ["key", "span"]).groupBy("row", "check").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
     joined = rows.join(marked, ["row", "check"], "left")
     schema = (f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string, spans array<array<bigint>>")
     return joined.select("id", "text", "marks").mapInArrow(_removed(window), schema).withColumnRenamed("id", id_col)
