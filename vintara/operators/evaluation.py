@@ -271,25 +271,30 @@ def error_feed(ev: DataFrame) -> DataFrame:
         expr.weighted_mean("error_own", "weight").alias("weighted_error"))
 
 
-def worst_periods(ev: DataFrame, n: int = 3) -> DataFrame:
-    """the target periods with the largest median error beyond horizon 0, the last one left out."""
+def error_series(ev: DataFrame, labelled: int = 3) -> DataFrame:
+    """median error of every target period beyond horizon 0, the last one left out; the largest are marked for labels."""
     last = ev.agg(F.max("period")).scalar()
     rows = ev.where((F.col("horizon") >= 1) & F.col("error_own").isNotNull() & (F.col("period") < last))
-    return grouped_quantiles(rows, ["period"], {"e": "error_own"}, {"median_error": ("e", 0.5)}).orderBy(
-        F.desc("median_error"), "period").limit(n)
+    series = grouped_quantiles(rows, ["period"], {"e": "error_own"}, {"median_error": ("e", 0.5)})
+    # One row per period of the calendar: ranked in one task.
+    return series.withColumn("labelled", F.row_number().over(Window.orderBy(F.desc("median_error"), "period")) <= labelled)
 
 
-def biggest_misses(ev: DataFrame, threshold: float = 10.0, n: int = 20) -> DataFrame:
-    """Largest absolute errors, tagged by sign."""
-    return ev.where(F.abs("error_own") > threshold).select(
+def at_horizon(ev: DataFrame, horizon: int | None) -> DataFrame:
+    """Rows of one horizon, or all of them."""
+    return ev if horizon is None else ev.where(F.col("horizon") == horizon)
+
+
+def biggest_misses(ev: DataFrame, threshold: float = 10.0, horizon: int | None = 1) -> DataFrame:
+    """All errors over the threshold, one year ahead unless told otherwise, tagged by sign."""
+    return at_horizon(ev, horizon).where(F.abs("error_own") > threshold).select(
         "entity", "edition", "period", "horizon", "error_own",
-        F.when(F.col("error_own") > 0, "too high").otherwise("too low").alias("side"),
-    ).orderBy(F.abs("error_own").desc(), "entity", "edition", "period").limit(n)
+        F.when(F.col("error_own") > 0, "too high").otherwise("too low").alias("side"))
 
 
-def describe_errors(ev: DataFrame) -> DataFrame:
+def describe_errors(ev: DataFrame, horizon: int | None = 1) -> DataFrame:
     """Count, mean, spread, extremes and quartiles by reference."""
-    rows = stacked_errors(ev)
+    rows = stacked_errors(at_horizon(ev, horizon))
     return summarise(
         rows, ["reference"],
         [F.count("error").alias("n"), F.avg("error").alias("mean"), F.stddev_samp("error").alias("sd"),
@@ -298,9 +303,9 @@ def describe_errors(ev: DataFrame) -> DataFrame:
     )
 
 
-def error_histogram(ev: DataFrame, bins: int = 50) -> DataFrame:
+def error_histogram(ev: DataFrame, bins: int = 50, horizon: int | None = 1) -> DataFrame:
     """Equal-width histogram of the own-reference errors over their range; equal errors share the first bin."""
-    rows = ev.where("error_own IS NOT NULL")
+    rows = at_horizon(ev, horizon).where("error_own IS NOT NULL")
     ends = rows.agg(F.struct(F.min("error_own").alias("lo"), F.max("error_own").alias("hi"))).scalar()
     ranged = rows.select("error_own", ends.alias("ends")).select("error_own", "ends.*")
     place = F.coalesce(F.try_divide(F.col("error_own") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))

@@ -186,18 +186,24 @@ register("b24_bias_verdict", on_ev(lambda t: e.bias_verdict(e.bias_by_horizon(t,
 register("f33_error_feed", on_ev(e.error_feed),
          f"""SELECT horizon, avg(error_own) AS mean_error, avg(abs(error_own)) AS mae, {WMEAN.format(x='error_own')} AS weighted_error
              FROM ev WHERE error_own IS NOT NULL GROUP BY 1""", "mean_error mae weighted_error")
-register("f33_worst_periods", on_ev(e.worst_periods),
+register("f33_error_series", on_ev(e.error_series),
+         """WITH m AS (SELECT period, median(error_own) AS median_error FROM ev WHERE horizon >= 1 AND error_own IS NOT NULL
+            AND period < (SELECT max(period) FROM ev) GROUP BY 1) SELECT *, row_number() OVER (ORDER BY median_error DESC, period) <= 3 AS labelled FROM m""", "median_error")
+register("f33_worst_periods", on_ev(lambda t: e.error_series(t).where("labelled").drop("labelled")),
          """SELECT period, median(error_own) AS median_error FROM ev WHERE horizon >= 1 AND error_own IS NOT NULL
             AND period < (SELECT max(period) FROM ev) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3""", "median_error")
 register("e9_biggest_misses", on_ev(e.biggest_misses),
          """SELECT entity, edition, period, horizon, error_own, CASE WHEN error_own > 0 THEN 'too high' ELSE 'too low' END AS side
-            FROM ev WHERE abs(error_own) > 10 ORDER BY abs(error_own) DESC, entity, edition, period LIMIT 20""", "error_own")
+            FROM ev WHERE abs(error_own) > 10 AND horizon = 1""", "error_own")
+register("e9_biggest_misses_all_horizons", on_ev(lambda t: e.biggest_misses(t, horizon=None)),
+         """SELECT entity, edition, period, horizon, error_own, CASE WHEN error_own > 0 THEN 'too high' ELSE 'too low' END AS side
+            FROM ev WHERE abs(error_own) > 10""", "error_own")
 register("e10_describe_errors", on_ev(e.describe_errors),
          f"""SELECT reference, count(*) AS n, avg(error) AS mean, stddev_samp(error) AS sd, min(error) AS lowest, max(error) AS highest,
-             quantile_cont(error, 0.25) AS p25, quantile_cont(error, 0.5) AS p50, quantile_cont(error, 0.75) AS p75 FROM ({STACKED}) GROUP BY 1""",
+             quantile_cont(error, 0.25) AS p25, quantile_cont(error, 0.5) AS p50, quantile_cont(error, 0.75) AS p75 FROM ({STACKED}) WHERE horizon = 1 GROUP BY 1""",
          "mean sd lowest highest p25 p50 p75")
 register("e10_error_histogram", on_ev(e.error_histogram),
-         """WITH r AS (SELECT error_own FROM ev WHERE error_own IS NOT NULL), m AS (SELECT min(error_own) lo, max(error_own) hi FROM r)
+         """WITH r AS (SELECT error_own FROM ev WHERE error_own IS NOT NULL AND horizon = 1), m AS (SELECT min(error_own) lo, max(error_own) hi FROM r)
             SELECT least(floor((error_own - lo) / (hi - lo) * 50), 49)::INTEGER AS bin, count(*) AS n FROM r, m GROUP BY 1""")
 register("e13_extreme_groups", on_ev(lambda t: e.extreme_groups(e.bias_by_group(t, REGIONS), "median_error")),
          f"""SELECT horizon, arg_min(grp, m) AS lowest, arg_max(grp, m) AS highest, count(*) AS groups
