@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vintara.llm.spotsigs import ANCHORS, fingerprints, likeness, near_sets, signatures, sketch
+from vintara.llm.spotsigs import ANCHORS, fingerprints, likeness, near_sets, sketch, with_signatures
 
 
 def chains(text):
@@ -22,7 +22,7 @@ def chains(text):
 
 def test_signatures_follow_anchors(spark):
     texts = ["The ring of the stone was, under a wall!", "no anchors", "the", "", None, "Der Ring und die Mauer", "the the ring"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", signatures(F.col("t")).alias("s"))
+    rows = with_signatures(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "s")
     for r in rows.collect():
         hashes = {h[0] for x in chains(r.t or "") for h in spark.range(1).select(F.hash(F.lit(x[0]), F.lit(x[1]).cast("string"))).collect()}
         assert hashes <= set(r.s) and len(r.s) >= 1 and r.s == sorted(set(r.s))
@@ -64,7 +64,7 @@ def test_given_documents(spark):
 
 def test_likeness_is_jaccard_of_small_sets(spark):
     a, b = "the red ring and the blue stone of a tall wall", "the red ring and the blue stone of a small door"
-    r = spark.createDataFrame([(a, b)], "a string, b string").select(signatures(F.col("a")).alias("x"), signatures(F.col("b")).alias("y")).withColumn("l", likeness(sketch(F.col("x")), sketch(F.col("y")))).first()
+    r = with_signatures(with_signatures(spark.createDataFrame([(a, b)], "a string, b string"), "a", "x"), "b", "y").withColumn("l", likeness(sketch(F.col("x")), sketch(F.col("y")))).first()
     assert r.l == len(set(r.x) & set(r.y)) / len(set(r.x) | set(r.y)) and 0 < r.l < 1
 
 
@@ -73,7 +73,7 @@ def test_pruned_join_equals_brute_force(spark):
     pairs, members = near_sets(docs, 0.7)
     sets = {}
     names = {r.id: r.set for r in members.collect()}
-    for r in docs.select("doc_id", signatures(F.col("text")).alias("s")).collect():
+    for r in with_signatures(docs.select("doc_id", "text"), "text", "s").collect():
         sets[names[r.doc_id]] = set(r.s)
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
     assert {(r.set_a, r.set_b) for r in pairs.collect()} == want and want

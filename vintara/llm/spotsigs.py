@@ -22,18 +22,23 @@ ANCHORS = ("a an and are as at be by for from had has have he her his in is it i
 CHAIN, EVERY, KEPT = 2, 8, 64
 
 
-def signatures(text: Column) -> Column:
-    """Distinct 32-bit hashes of a text's spot signatures, never empty, in order; null is the empty text."""
-    whole = F.coalesce(text, F.lit(""))
-    words = F.regexp_replace(F.lower(whole), r"[^\p{L}\p{N}]+", " ")
+def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the distinct 32-bit hashes of a text's spot signatures, never empty, in order; null is the empty text.
+
+    The steps are columns of their own: functions of arrays work out their arguments as often as they
+    name them, and a text should be cut once.
+    """
+    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
     anchored = F.regexp_replace(F.concat(F.lit(" "), F.trim(words), F.lit(" ")), f"(?<= )({'|'.join(dict.fromkeys(ANCHORS))}) ", "$1^")
-    marked = F.split(F.trim(anchored), " ")
-    bare = F.transform(marked, lambda w: F.substring_index(w, "^", -1))
-    pairs = F.arrays_zip(marked.alias("m"), bare.alias("b"), *[F.slice(bare, k + 1, F.greatest(F.size(bare) - k, F.lit(0))).alias(f"n{k}") for k in range(1, CHAIN)])
-    chain = lambda p: F.hash(p["m"], *[p[f"n{k}"] for k in range(1, CHAIN)])
+    following = [F.slice("_bare", k + 1, F.greatest(F.size("_bare") - k, F.lit(0))).alias(f"n{k}") for k in range(1, CHAIN)]
     begins = lambda p: (p["b"] != "") & (F.contains(p["m"], F.lit("^")) | (F.pmod(F.hash(p["b"]), F.lit(EVERY)) == 0))
-    found = F.array_sort(F.array_distinct(F.transform(F.filter(pairs, begins), chain)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.hash(whole, F.lit(1))))
+    chain = lambda p: F.hash(p["m"], *[p[f"n{k}"] for k in range(1, CHAIN)])
+    df = df.withColumn("_marked", F.split(F.trim(anchored), " "))
+    df = df.withColumn("_bare", F.transform("_marked", lambda w: F.substring_index(w, "^", -1)))
+    df = df.withColumn("_pairs", F.arrays_zip(F.col("_marked").alias("m"), F.col("_bare").alias("b"), *following))
+    df = df.withColumn("_found", F.array_sort(F.array_distinct(F.transform(F.filter("_pairs", begins), chain))))
+    whole = F.array(F.hash(F.coalesce(text, F.lit("")), F.lit(1)))
+    return df.withColumn(out, F.when(F.size("_found") > 0, F.col("_found")).otherwise(whole)).drop("_marked", "_bare", "_pairs", "_found")
 
 
 def sketch(found: Column) -> Column:
@@ -51,8 +56,10 @@ def printed(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint"))), 8, "0")), "")
 
 
-def with_next(docs: DataFrame, carried: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, the carried columns, and ``next_`` of each and of the text): the document after this in descending id.
+def with_next(docs: DataFrame, add, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, ``carried``, ``next_text``, ``next_carried``): the document after this in descending id.
+
+    ``add`` adds the column ``carried`` to a table of texts.
 
     After the last comes the first; a single document is its own next. Null ids come last, equal
     ids in descending order of their text's hash; a null text is the empty text. Ids are numbers. The order is cut into
@@ -72,10 +79,10 @@ def with_next(docs: DataFrame, carried: dict[str, Column], id_col: str = "doc_id
     heads = F.broadcast(heads.select(F.col("id").alias("head_id"), F.col("tie").alias("head_tie"), "before"))  # one row per range
     ghosts = rows.join(heads, F.col("id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["before"])
     ghosts = ghosts.select(F.lit(1).alias("ghost"), F.col("before").alias("range"), "id", "tie", "text")
-    placed = rows.select(F.lit(0).alias("ghost"), "range", "id", "tie", "text").unionByName(ghosts).withColumns(carried)
+    placed = rows.select(F.lit(0).alias("ghost"), "range", "id", "tie", "text").unionByName(ghosts)
     following = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("id"), F.desc("tie"))
-    led = placed.withColumns({f"next_{c}": F.lead(c).over(following) for c in ["text", *carried]})
-    return led.where("ghost = 0").select("id", "text", *carried, *[f"next_{c}" for c in ["text", *carried]])
+    led = add(placed).withColumns({f"next_{c}": F.lead(c).over(following) for c in ("text", "carried")})
+    return led.where("ghost = 0").select("id", "text", "carried", "next_text", "next_carried")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,11 +92,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first of the next document (see ``with_next``). Equal texts have equal fingerprints. A null text
     is the empty text. Null and repeated ids stay, row by row; other columns are not read; no rows give no rows.
     """
-    rows = with_next(docs, {"sketch": sketch(signatures(F.col("text")))}, id_col, text_col)
+    sketched = lambda df: with_signatures(df, "text", "_all").withColumn("carried", sketch(F.col("_all"))).drop("_all")
+    rows = with_next(docs, sketched, id_col, text_col)
     third = F.floor(F.char_length("text") / 3).cast("int")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = rows.withColumn("edited_text", edited).withColumn("edited", sketch(signatures(F.col("edited_text"))))
+    rows = with_signatures(rows.withColumn("edited_text", edited), "edited_text", "_all").withColumn("edited", sketch(F.col("_all")))
+    rows = rows.withColumnsRenamed({"carried": "sketch", "next_carried": "next_sketch"})
     return rows.select(F.col("id").alias(id_col), "n_chars", "edited_text", printed(F.col("sketch")).alias("fingerprint"), printed(F.col("edited")).alias("edited_fingerprint"),
                        likeness(F.col("sketch"), F.col("edited")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
@@ -102,7 +111,7 @@ def near_sets(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", t
     classes meet; inside, two sets meet if they share one of the rarest signatures of their prefixes
     (a set of n and threshold t: the n - ceil(t n) + 1 rarest), which no pair of that similarity lacks.
     """
-    found = docs.select(docs[id_col].alias("id"), signatures(docs[text_col].cast("string")).alias("signatures"))
+    found = with_signatures(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), "text", "signatures").drop("text")
     named = written(found.withColumn("set", F.md5(F.concat_ws(",", F.transform("signatures", lambda h: h.cast("string"))))), "spots")
     sets = named.groupBy("set").agg(F.first("signatures").alias("signatures")).withColumn("n", F.size("signatures"))
     single = sets.select("set", "n", F.explode("signatures").alias("h"))
