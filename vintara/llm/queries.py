@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vintara.llm import oracle
 from vintara.llm.common import fold, table
 from vintara.llm.jaccard import near_duplicates
 from vintara.llm.language import fit_language, predict_language
@@ -83,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substring_dedup": oracle.SUBSTRINGS, "op7_warc": oracle.WARC}
