@@ -33,7 +33,7 @@ def same(a, b):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.plans.queries()) == set(entry.plans.oracle_sql())
 
 
 def test_entry(spark):
