@@ -19,3 +19,30 @@ gone AS (SELECT DISTINCT r, i + k AS p FROM (SELECT r, i, unnest(range(35)) AS k
 x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 k AS (SELECT r, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone.p IS NULL) AS kept FROM x LEFT JOIN gone USING (r, p) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
+def _drawn(*parts: str) -> str:
+    text = " || '|' || ".join(("'0'", *parts))
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+#: A repetition limit of 2 without a budget: (largest share / smallest share) ** (1 - exponent) = 2 has a closed form.
+MIXING = rf"""
+WITH d AS (SELECT doc_id, source AS src, coalesce(source, '') AS source, coalesce(doc_id::VARCHAR, '') AS id,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+n AS (SELECT source, greatest(1, ceil(count(*) / 1024))::BIGINT AS blocks FROM d GROUP BY 1),
+b AS (SELECT d.*, {_drawn('id')} % blocks AS block FROM d JOIN n USING (source)),
+s AS (SELECT source, sum(tokens)::BIGINT AS total_of FROM b GROUP BY 1 HAVING sum(tokens) > 0),
+a AS (SELECT sum(total_of)::BIGINT AS total, max(total_of) / sum(total_of)::DOUBLE AS largest,
+    round(CASE WHEN max(total_of) <= 2 * min(total_of) THEN 0 ELSE 1 - ln(2) / ln(max(total_of) / min(total_of)::DOUBLE) END, 9) AS exponent FROM s),
+z AS (SELECT sum(pow(total_of / total::DOUBLE, exponent)) AS z FROM s, a),
+w AS (SELECT source, total_of, exponent, round(pow(total_of / total::DOUBLE, exponent) / z, 12) AS weight,
+    greatest(floor(round(pow(total_of / total::DOUBLE, exponent) / z, 12) * (total * largest / (pow(largest, exponent) / z)) + 1e-6), total_of)::BIGINT AS budget FROM s, a, z),
+k AS (SELECT source, block, sum(tokens)::BIGINT AS in_block FROM b GROUP BY 1, 2),
+e AS (SELECT *, budget // total_of AS whole, budget % total_of AS rest, unnest(range(0, budget // total_of + 1)) AS epoch FROM k JOIN w USING (source)),
+r AS (SELECT *, row_number() OVER o AS rank, sum(in_block) OVER (o ROWS UNBOUNDED PRECEDING)::BIGINT AS after FROM e
+  WINDOW o AS (PARTITION BY source, epoch ORDER BY {_drawn("'block'", 'epoch', 'source', 'block')}, block)),
+p AS (SELECT *, epoch = whole AND after > rest AS cut FROM r WHERE epoch < whole OR after - in_block < rest),
+m AS (SELECT b.*, exponent, weight, budget, epoch, rank, cut, rest - after + in_block AS room, {_drawn("'doc'", 'epoch', 'id')} AS draw FROM b JOIN p USING (source, block)),
+f AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block, epoch ORDER BY draw RANGE UNBOUNDED PRECEDING) AS so_far FROM m)
+SELECT doc_id, src AS source, exponent, weight, budget, tokens, epoch, rank::INTEGER AS block, draw FROM f WHERE NOT cut OR so_far <= room"""

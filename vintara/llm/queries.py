@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": oracle.SUBSTRINGS, "op7_warc": oracle.WARC}
+    return {"op1_mixing": oracle.MIXING, "op6_substring_dedup": oracle.SUBSTRINGS, "op7_warc": oracle.WARC}
