@@ -18,12 +18,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from vintara.llm.common import ragged, slices
 
 MARK = "▁"
-SLICE = 8 << 20
+SLICE = 6 << 20
 #: Compatible pairs that a Python worker remembers before it starts afresh.
 REMEMBERED = 2_000_000
 UNIGRAM, BPE = 1, 2
@@ -211,9 +212,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         pieces = sent.value
         forward, decoder = Forward(pieces), Decoder(pieces)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts, SLICE):
-                ids, ends, exact = _encoded(texts[lo:hi], pieces, forward, decoder)
+            column = batch.column(1)
+            for lo, hi in slices([range(n or 0) for n in pc.binary_length(column).to_pylist()], SLICE):
+                texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+                ids, ends, exact = _encoded(texts, pieces, forward, decoder)
                 for a, b in _pages(ends):
                     offsets = np.concatenate([[0], ends])[a : b + 1]
                     lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(ids[offsets[0] : offsets[-1]], pa.int32()))
