@@ -77,3 +77,13 @@ def test_pruned_join_equals_brute_force(spark):
         sets[names[r.doc_id]] = set(r.s)
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
     assert {(r.set_a, r.set_b) for r in pairs.collect()} == want and want
+
+
+def test_one_signature_of_a_thousand_counts(spark, docs_of):
+    words = [f"the word{k}x" for k in range(1000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "the other"]), " ".join(words[:800])]
+    got = {r.doc_id: r for r in fingerprints(docs_of(list(enumerate(texts)))).collect()}
+    sets = [set(r.s) for r in with_signatures(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "t", "s").orderBy("i").collect()]
+    assert len({r.fingerprint for r in got.values()}) == 3 and min(map(len, sets)) > 700
+    for i, following in ((2, 1), (1, 0), (0, 2)):
+        assert got[i].near_next == len(sets[i] & sets[following]) / len(sets[i] | sets[following]) < 1

@@ -4,8 +4,8 @@ A text in lower case is cut into words (letters and digits). A common word is an
 content word that follows, together with anchors right before it. A signature is such a marked word with
 the next ``CHAIN - 1`` content words. Lists and tables have few common words, so a content word whose own hash is a
 multiple of ``EVERY`` also begins a chain. A text without any signature has one, of its whole text.
-A fingerprint is the ``KEPT`` least of the signatures' 32-bit hashes; two of them estimate the Jaccard similarity
-of the signature sets, exactly where both sets are smaller than that.
+A fingerprint is the SHA-256 of the whole set of the signatures' 32-bit hashes in order; likeness is the Jaccard
+similarity of whole sets.
 """
 
 from __future__ import annotations
@@ -46,14 +46,14 @@ def sketch(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two signature sets as their sketches tell it, 0 to 1."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
-    return F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least)
+    """Jaccard similarity of two sets, 0 to 1."""
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
 
 
-def printed(sketched: Column) -> Column:
-    """The sketch as a string: eight hexadecimal digits a hash."""
-    return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint"))), 8, "0")), "")
+def printed(found: Column) -> Column:
+    """SHA-256 of a whole set in order: equal where the sets are."""
+    return F.sha2(F.array_join(F.transform(found, lambda h: h.cast("string")), ","), 256)
 
 
 def with_next(docs: DataFrame, add, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,18 +89,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, ``n_chars``, ``edited_text``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
 
     The edited text has the last third of the code points (rounded down) replaced by as many, or all, of the
-    first of the next document (see ``with_next``). Equal texts have equal fingerprints. A null text
+    first of the next document (see ``with_next``). ``near_edited`` and ``near_next`` are exact. Equal texts have equal fingerprints. A null text
     is the empty text. Null and repeated ids stay, row by row; other columns are not read; no rows give no rows.
     """
-    sketched = lambda df: with_signatures(df, "text", "_all").withColumn("carried", sketch(F.col("_all"))).drop("_all")
-    rows = with_next(docs, sketched, id_col, text_col)
+    rows = with_next(docs, lambda df: with_signatures(df, "text", "carried"), id_col, text_col)
     third = F.floor(F.char_length("text") / 3).cast("int")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = with_signatures(rows.withColumn("edited_text", edited), "edited_text", "_all").withColumn("edited", sketch(F.col("_all")))
-    rows = rows.withColumnsRenamed({"carried": "sketch", "next_carried": "next_sketch"})
-    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_text", printed(F.col("sketch")).alias("fingerprint"), printed(F.col("edited")).alias("edited_fingerprint"),
-                       likeness(F.col("sketch"), F.col("edited")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    rows = with_signatures(rows.withColumn("edited_text", edited), "edited_text", "edited")
+    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_text", printed(F.col("carried")).alias("fingerprint"), printed(F.col("edited")).alias("edited_fingerprint"),
+                       likeness(F.col("carried"), F.col("edited")).alias("near_edited"), likeness(F.col("carried"), F.col("next_carried")).alias("near_next"))
 
 
 def near_sets(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
