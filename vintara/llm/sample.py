@@ -9,12 +9,13 @@ def labelled_sample(rows: DataFrame, label: str, bound: int) -> DataFrame:
     """At most ``bound`` distinct texts of every label: (id, label, of) with ``of`` the label's rows.
 
     ``rows`` has the columns id, h (hash of the text) and ``label`` (not null). Copies count as one text. The
-    hash threshold of a label leaves about 1.5 times the bound before the exact cut, so a label
-    with a third of all rows is never gathered. The row counts per label are broadcast: labels are
+    hash threshold of a label, set from its distinct texts, leaves about 1.5 times the bound before the exact cut, so a label
+    with a third of all rows is never gathered. The counts per label are broadcast: labels are
     the classes of a model, a few hundred at most.
     """
-    sizes = rows.groupBy(label).agg(F.count("*").alias("of"))
+    texts = rows.groupBy(label, "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    sizes = texts.groupBy(label).agg(F.sum("copies").alias("of"), F.count("*").alias("texts"))
     share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    few = rows.join(F.broadcast(sizes), label).where(share < 1.5 * bound / F.col("of")).groupBy(label, "h").agg(F.min("id").alias("id"), F.min("of").alias("of"))
+    few = texts.join(F.broadcast(sizes), label).where(share < 1.5 * bound / F.col("texts"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("h"))
     return few.withColumn("rank", rank).where(F.col("rank") <= bound).select("id", label, "of")
