@@ -10,6 +10,7 @@ from vintara.llm import oracle
 from vintara.llm.common import fold, table
 from vintara.llm.jaccard import near_duplicates
 from vintara.llm.language import fit_language, predict_language
+from vintara.llm.lexical import ranked_search
 from vintara.llm.mixing import mixed
 from vintara.llm.pieces import encode
 from vintara.llm.quality import quality
@@ -79,9 +80,14 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_quality, op4_ngram_jaccard, op5_pieces, op6_substring_dedup, op7_warc, op8_token_counts, op9_toxicity, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_quality, op4_ngram_jaccard, op5_pieces, op6_substring_dedup, op7_warc, op8_token_counts, op9_toxicity, op10_spotsigs,
+                                   op12_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": oracle.MIXING, "op6_substring_dedup": oracle.SUBSTRINGS, "op7_warc": oracle.WARC}
+    return {"op1_mixing": oracle.MIXING, "op6_substring_dedup": oracle.SUBSTRINGS, "op7_warc": oracle.WARC, "op12_lexical_search": oracle.LEXICAL}
