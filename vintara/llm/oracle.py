@@ -32,6 +32,31 @@ k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY sco
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50"""
 
 
+#: A CRC is linear: the exclusive or of what every byte adds at its distance from the end, and of the CRC of as many zero bytes.
+#: For Levenshtein's bytes to be code points, the 64 letters beyond ASCII are written as the 64 ASCII characters before a.
+VARIANTS = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, coalesce(doc_id::VARCHAR, '') || ':' AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+u AS (SELECT r, any_value(id) AS id, run, count(*)::BIGINT AS n FROM (SELECT r, id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM d) GROUP BY r, run),
+m AS (SELECT row_number() OVER () AS k, run, n, hex(encode(id || run)) AS bytes FROM u),
+t AS (SELECT i::UBIGINT AS i, 0 AS k, i::UBIGINT AS c FROM range(256) x(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM t WHERE k < 8),
+tab AS (SELECT i, c FROM t WHERE k = 8),
+longest AS (SELECT max(len(bytes)) // 2 AS most FROM m),
+con AS (SELECT i AS byte, 0 AS far, c FROM tab UNION ALL SELECT byte, far + 1, xor(con.c >> 8, tab.c) FROM con JOIN tab ON tab.i = con.c % 256, longest WHERE far + 1 < most),
+zero AS (SELECT 0 AS n, 4294967295::UBIGINT AS c UNION ALL SELECT n + 1, xor(zero.c >> 8, tab.c) FROM zero JOIN tab ON tab.i = zero.c % 256, longest WHERE n < most),
+p AS (SELECT k, len(bytes) // 2 AS size, unnest(range(len(bytes) // 2)) AS pos, bytes FROM m),
+s AS (SELECT k, any_value(size) AS size, bit_xor(c) AS c FROM p JOIN con ON far = size - 1 - pos AND byte = ('0x' || substr(bytes, (2 * pos + 1)::INT, 2))::UBIGINT GROUP BY k),
+h AS (SELECT k, (xor(xor(s.c, zero.c), 4294967295::UBIGINT))::BIGINT AS h FROM s JOIN zero ON zero.n = s.size),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM m JOIN h USING (k) GROUP BY 1),
+v AS (SELECT word, n, translate(word, (SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(192, 256) x(i)), (SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(33, 97) x(i))) AS plain FROM w WHERE n >= 5 AND len(word) >= 6),
+x AS (SELECT word, n, plain, plain AS part FROM v UNION SELECT word, n, plain, substr(plain, 1, i::INT - 1) || substr(plain, i::INT + 1) FROM (SELECT *, unnest(range(1, len(plain) + 1)) AS i FROM v)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM x a JOIN x b USING (part) WHERE a.word <> b.word AND levenshtein(a.plain, b.plain) = 1),
+f AS (SELECT word, count(*)::BIGINT AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY word),
+g AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN f USING (word)),
+up AS (SELECT word, word AS root, 0 AS steps FROM g UNION ALL SELECT up.word, g.form, steps + 1 FROM up JOIN g ON g.word = up.root WHERE g.form IS NOT NULL),
+root AS (SELECT word, first(root ORDER BY steps DESC) AS root FROM up GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM g JOIN root USING (word)"""
+
+
 def _drawn(*parts: str) -> str:
     text = " || '|' || ".join(("'0'", *parts))
     return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"

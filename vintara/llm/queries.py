@@ -18,6 +18,7 @@ from vintara.llm.spotsigs import fingerprints
 from vintara.llm.substrings import remove_repeats
 from vintara.llm.token_counts import token_counts
 from vintara.llm.toxicity import fit_toxicity, score_toxicity
+from vintara.llm.variants import variant_groups, word_counts
 from vintara.llm.warc import archived_pages
 
 #: A document of more tokens does not fit a training context.
@@ -80,14 +81,18 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(word_counts(table(spark, sf_dir, "documents")))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_quality, op4_ngram_jaccard, op5_pieces, op6_substring_dedup, op7_warc, op8_token_counts, op9_toxicity, op10_spotsigs,
-                                   op12_lexical_search)}
+                                   op11_spelling_variants, op12_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": oracle.MIXING, "op6_substring_dedup": oracle.SUBSTRINGS, "op7_warc": oracle.WARC, "op12_lexical_search": oracle.LEXICAL}
+    return {"op1_mixing": oracle.MIXING, "op6_substring_dedup": oracle.SUBSTRINGS, "op7_warc": oracle.WARC, "op11_spelling_variants": oracle.VARIANTS, "op12_lexical_search": oracle.LEXICAL}
