@@ -65,6 +65,16 @@ def slices(texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def bitmap(places: DataFrame, bits: int) -> bytes:
+    """Which of the numbers 0 to ``bits`` - 1 the column ``place`` holds, a bit each: bounded, whatever the rows."""
+    part = 32_768  # the bits of a Spark bitmap
+    rows = places.groupBy(F.floor(F.col("place") / part).alias("part")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(part))).alias("bits"))
+    found = bytearray(-(-bits // part) * part // 8)
+    for r in rows.collect():
+        found[r.part * part // 8 : r.part * part // 8 + len(r.bits)] = r.bits
+    return bytes(found)
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``values[s : s + n]`` of every (s, n), one after the other."""
     ends = np.cumsum(lengths)

@@ -13,6 +13,7 @@ from vintara.llm.language import fit_language, predict_language
 from vintara.llm.lexical import ranked_search
 from vintara.llm.mixing import mixed
 from vintara.llm.pieces import encode
+from vintara.llm.private import personal_data, printed
 from vintara.llm.quality import quality
 from vintara.llm.spotsigs import fingerprints
 from vintara.llm.substrings import remove_repeats
@@ -89,9 +90,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(printed("base_spans"), 256).alias("base_sha256"), printed("spans").alias("spans"), printed("added").alias("added"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_quality, op4_ngram_jaccard, op5_pieces, op6_substring_dedup, op7_warc, op8_token_counts, op9_toxicity, op10_spotsigs,
-                                   op11_spelling_variants, op12_lexical_search)}
+                                   op11_spelling_variants, op12_lexical_search, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

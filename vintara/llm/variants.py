@@ -19,15 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vintara.llm.common import mix, shipped, utf8, written
+from vintara.llm.common import bitmap, mix, shipped, utf8, written
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 #: Of the runs of a document, those whose hash this divides lose a code point.
 DAMAGED = 199
 #: Fewer symbols make smaller neighbourhoods and more pairs to verify.
 SYMBOLS = 8
-#: Bits of the bitmap; a Spark bitmap has 32,768.
-BITS, PART = 1 << 26, 32_768
+#: Bits of the bitmap.
+BITS = 1 << 26
 #: A neighbour carries its word up to this length; a longer word is joined back by its hash.
 CARRIED = 64
 #: Words that a task counts before it passes them on, and hashes made at once (results don't depend on them).
@@ -115,12 +115,7 @@ def _roots(led: DataFrame) -> DataFrame:
 
 def _bitmap(known: DataFrame) -> bytes:
     """Which hashes of reduced words there are, modulo ``BITS``."""
-    places = known.mapInArrow(_reduced, "key bigint, near string, near_n bigint").select(F.pmod("key", F.lit(BITS)).alias("place"))
-    parts = places.groupBy(F.floor(F.col("place") / PART).alias("part")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(PART))).alias("bits"))
-    bitmap = bytearray(BITS // 8)
-    for r in parts.collect():  # BITS / PART rows of 4 KB at most
-        bitmap[r.part * PART // 8 : r.part * PART // 8 + len(r.bits)] = r.bits
-    return bytes(bitmap)
+    return bitmap(known.mapInArrow(_reduced, "key bigint, near string, near_n bigint").select(F.pmod("key", F.lit(BITS)).alias("place")), BITS)
 
 
 def symbols(codes: np.ndarray) -> np.ndarray:
