@@ -38,8 +38,8 @@ def test_realtime_training_never_sees_the_future(spark):
     preds = c.realtime_predictions(cases(spark), 5, 2000, min_cell=100).where("method = 'all'").toPandas()
     # Errors jump after 1998: at edition v only m <= v - 7 is known, so the band of 2005 ignores the jump.
     assert preds[preds["v"] <= 2005]["hi"].max() < 20 and preds["v"].min() == 2000
-    train = c.expanding_training(cases(spark), 5, 2000, 2006).groupBy("v").agg(F.max("edition_period").alias("m")).collect()
-    assert all(x.m == x.v - 7 for x in train)
+    train = c.training_sizes(cases(spark), 5, 2000, 2006).collect()
+    assert [x.v for x in sorted(train)] == list(range(2000, 2007)) and all(x.latest == x.v - 7 and x.n == 30 * (x.v - 1996) for x in train)
 
 
 def test_group_known_at_the_edition(spark):
@@ -48,6 +48,19 @@ def test_group_known_at_the_edition(spark):
     assert {(x.entity, x.season): x.grp for x in b.groups_at_edition(rows, history).collect()} == {("A", "S"): "LIC", ("A", "F"): "LMC", ("B", "S"): "HIC"}
 
 
+def test_cascade_over_many_groups(spark):
+    """20,000 groups of a few cases each: no cell stands, some classes do, and every row keeps its own group's statistics."""
+    levels = spark.range(80_000).select(
+        F.concat(F.lit("E"), F.col("id").cast("string")).alias("entity"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("g"), (F.col("id") % 20_000).cast("string"))).alias("grp"),
+        F.lit(1).alias("horizon"), (F.col("id") % 5 + 1).cast("int").alias("cls"), (F.col("id") % 97).cast("double").alias("level_error_own"), F.when(F.col("id") % 2 == 0, -1.0).otherwise(1.0).alias("worst_realised"))
+    rows = levels.where("id % 40 = 0").select("entity", "grp", "horizon", F.when(F.expr("level_error_own % 3 > 0"), F.col("cls")).alias("cls"))
+    found = b.with_cells(rows, b.wide_statistics(levels, ["horizon"]), ["horizon"], 100).toPandas()
+    assert len(found) == 2000 and set(found["_cell"].str.split("|").str[0]) == {"class", "all"}
+    assert all((r["_q0"]["n"] == 16_000) == (r["cls"] == r["cls"]) and r["_all"]["n"] == 80_000 for _, r in found.iterrows())
+    known = found[found["grp"].notna()]
+    assert len(known) and all(g["n"] <= 4 for g in known["_group"]) and found[found["grp"].isna()]["_group"].isna().all()
+
+
 def test_bands_cell_class_and_overall_fallbacks(spark, world):
     rows = []
     for grp, slow, fast in (("HIC", 120, 120), ("LIC", 0, 0)):

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vintara.operators.archive import as_of_join
-from vintara.operators.calibration import crps
-from vintara.operators.quantiles import grouped_quantiles, running_totals, value_ranks
+from vintara.operators import expanding
+from vintara.operators.quantiles import grouped_quantiles, quantiles_at, with_ranks
 
 rng = np.random.default_rng(7)
 
@@ -47,33 +47,56 @@ def test_many_groups(spark):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_value_ranks(spark, sample, descending):
-    got = value_ranks(spark.createDataFrame(sample), ["g"], "x", descending=descending).toPandas()
-    ranks = sample.assign(
-        lo=sample.groupby("g")["x"].rank(method="min", ascending=not descending), av=sample.groupby("g")["x"].rank(method="average", ascending=not descending),
-    ).drop_duplicates(["g", "x"])
-    both = got.merge(ranks, on=["g", "x"])
-    assert len(both) == len(got) == len(ranks)
-    assert (both["rank_min"] == both["lo"]).all() and (both["rank_avg"] == both["av"]).all()
-
-
-def test_running_totals(spark, sample):
-    rows = sample.assign(t=np.arange(len(sample)))
-    got = running_totals(spark.createDataFrame(rows), ["g"], "x", "t", F.lit(1)).toPandas().sort_values("t")
-    expected = rows.sort_values(["g", "x", "t"])
-    expected = expected.assign(n=expected.groupby("g").cumcount() + 1, s=expected.groupby("g")["x"].cumsum()).sort_values("t")
-    assert (got["run_n"].to_numpy() == expected["n"].to_numpy()).all()
-    assert np.allclose(got["run_sum"], expected["s"])
-
-
-def test_crps_against_its_definition(spark):
-    x, ys = np.round(rng.normal(size=60), 2), np.array([-3.0, 0.0, 0.11, 4.0, x0 := 0.5])
-    samples = spark.createDataFrame(pd.DataFrame({"c": "c", "x": np.append(x, x0)}))
-    got = crps(samples, spark.createDataFrame(pd.DataFrame({"c": "c", "y": ys})), ["c"], "x", "y").toPandas().set_index("y")["crps"]
-    all_x = np.append(x, x0)
-    for y in ys:
-        expected = np.abs(all_x - y).mean() - np.abs(all_x[:, None] - all_x[None, :]).mean() / 2
-        assert got[y] == pytest.approx(expected)
+def test_ranks_attached_to_rows(spark, sample, descending):
+    half = pd.DataFrame({"g": "h", "x": np.append(np.full(3000, 1.5), rng.normal(size=3000))})  # one value holds half of a group
+    rows = pd.concat([sample[["g", "x"]], half]).reset_index(drop=True)
+    got = with_ranks(spark.createDataFrame(rows.assign(i=np.arange(len(rows)))).repartition(5), ["g"], "x", descending=descending).toPandas().set_index("i").sort_index()
+    known = rows[rows["g"].notna() & rows["x"].notna()]
+    by = known.groupby("g")["x"]
+    assert len(got) == len(known)
+    assert (got["rank_min"] == by.rank(method="min", ascending=not descending)).all() and (got["rank_avg"] == by.rank(method="average", ascending=not descending)).all()
+    assert (got["n"] == by.transform("size")).all()
+
+
+def test_any_number_of_quantiles_by_rank(spark, sample):
+    values = sample[sample["g"].notna() & sample["x"].notna()]
+    levels = [0.0, 0.013, 0.25, 1 / 3, 0.5, 0.77, 0.999, 1.0]
+    wanted = pd.DataFrame([(g, i, p) for g in [*values["g"].unique(), "nowhere"] for i, p in enumerate(levels)], columns=["g", "i", "p"])
+    got = quantiles_at(spark.createDataFrame(values[["g", "x"]]), ["g"], "x", spark.createDataFrame(wanted)).toPandas()
+    assert len(got) == len(levels) * values["g"].nunique()
+    for r in got.itertuples():
+        assert r.q == pytest.approx(np.quantile(values[values["g"] == r.g]["x"], r.p), abs=1e-12)
+
+
+def test_expanding_samples_against_their_definition(spark):
+    """Values enter cells at some time and leave some at a later one; every time sees what is there."""
+    values = np.round(rng.normal(size=400), 1)
+    rows = [("a" if k % 3 else "b", float(x), int(rng.integers(1, 6)), 1) for k, x in enumerate(values)]
+    rows += [(c, x, min(t + 2, 7), -1) for c, x, t, _ in rows[::4]]
+    outcomes = [(c, y, t, 0) for c in "ab" for y in (-4.0, 0.0, 0.3, 5.0) for t in (1, 4, 6)]
+    events = spark.createDataFrame(rows + outcomes, "cell string, x double, t int, w long").groupBy("cell", "x", "t", F.expr("w = 0").alias("o")).agg(F.sum("w").alias("w")).where("w <> 0 OR o").drop("o")
+    times = [1, 2, 3, 4, 5, 6]
+
+    def held(cell, v):
+        here = [(x, w) for c, x, t, w in rows if c == cell and t <= v]
+        return np.repeat(*map(np.array, zip(*[(x, sum(w for y, w in here if y == x)) for x in sorted({x for x, _ in here})])))
+
+    for per_bucket in (expanding.PER_BUCKET, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(expanding, "PER_BUCKET", per_bucket)
+            patch.setattr(expanding, "AT_ONCE", 4)
+            placed = expanding.in_buckets(events)
+            got = expanding.quantiles(placed, times, {"lo": 0.1, "mid": 0.5}).toPandas()
+            assert len(got) == 12
+            for r in got.itertuples():
+                assert [r.lo, r.mid] == pytest.approx(np.quantile(held(r.cell, r.v), [0.1, 0.5]))
+            scores = expanding.crps(placed, times).toPandas()
+            assert len(scores) == len(outcomes)
+            for r in scores.itertuples():
+                x = held(r.cell, r.v)
+                assert r.crps == pytest.approx(np.abs(x - r.y).mean() - np.abs(x[:, None] - x[None, :]).mean() / 2)
+    sums = expanding.totals(events, times, {"n": "w"}).toPandas()
+    assert all(r.n == len(held(r.cell, r.v)) for r in sums.itertuples())
 
 
 def test_as_of_join_against_a_plain_search(spark):

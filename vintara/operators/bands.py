@@ -1,8 +1,8 @@
 """Empirical bands from past errors.
 
-Past cases are grouped by cells: growth class x group, class, group and all. The cells of
-one key (a horizon, or a test edition) are few and fixed, so their statistics travel as one
-map per key: a single broadcast join serves the whole cascade of fallbacks.
+Past cases are grouped by cells: growth class x group, class, group and all. Their statistics are a table of one row per
+key (a horizon, or a test edition) and cell. A row's cascade of fallbacks is resolved once for all rows of its class and group, then joined to
+them (``with_cells``), so groups may be any number.
 """
 
 from __future__ import annotations
@@ -90,63 +90,73 @@ def classify(cases: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFra
         "cls", expr.digitize("projected_growth_pct", F.col("edges"))).drop("edges")
 
 
-def cell_statistics(cases: DataFrame, keys: Sequence[str], regimes: bool = False, shares_only: bool = False) -> DataFrame:
-    """band quantiles, median, size, downturn share and depth of every cell.
+REGIMES = ("", "crisis:", "calm:")  # prefixes of the cells' names, in the order of the numbered columns
+STATISTICS = ("n", "frequency", "downturn_pct", "lo", "hi", "median", "depth")
+
+
+def wide_statistics(cases: DataFrame, keys: Sequence[str], regimes: bool = False) -> DataFrame:
+    """one row per key and cell: size, downturn share, band quantiles, median and depth.
 
-    With ``regimes``, the same for the cases in a world crisis and for the others: columns of
-    one aggregation, turned into cells of their own (``crisis:``, ``calm:``) afterwards.
-    ``shares_only`` leaves their quantiles out.
+    The columns of all cases end in 0; with ``regimes`` those of the cases in a world crisis in 1, of the others in 2.
     """
     low, high = fixed.BAND_QUANTILES
     extra = ["crisis"] if regimes else []
     rows = cases.select(*keys, *extra, "level_error_own", "worst_realised", F.explode(memberships()).alias("cell"))
     down = F.col("worst_realised") < 0
-    parts = {"": F.lit(True)} | ({"crisis:": F.col("crisis"), "calm:": ~F.col("crisis")} if regimes else {})
+    parts = [F.lit(True)] + ([F.col("crisis"), ~F.col("crisis")] if regimes else [])
     aggregates, measures, targets = [], {}, {}
-    for i, (name, inside) in enumerate(parts.items()):
+    for i, inside in enumerate(parts):
         aggregates += [
             F.count_if(inside).alias(f"n{i}"), F.avg(F.when(inside, F.coalesce(down, F.lit(False)).cast("double"))).alias(f"frequency{i}"),
             expr.share_pct(F.when(inside, down)).alias(f"downturn_pct{i}")]
-        if not (name and shares_only):
-            measures |= {f"e{i}": F.when(inside, F.col("level_error_own")), f"w{i}": F.when(inside & down, F.col("worst_realised"))}
-            targets |= {f"lo{i}": (f"e{i}", low), f"hi{i}": (f"e{i}", high), f"median{i}": (f"e{i}", 0.5), f"depth{i}": (f"w{i}", 0.5)}
-    table = summarise(rows, [*keys, "cell"], aggregates, measures, targets)
-    known = lambda c: F.col(c) if c in table.columns else F.lit(None).cast("double")
-    cells = F.array(*[
-        F.struct(F.concat(F.lit(name), "cell").alias("cell"), *[known(f"{c}{i}").alias(c) for c in STATISTICS])
-        for i, name in enumerate(parts)])
-    return table.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where("n > 0")
-
+        measures |= {f"e{i}": F.when(inside, F.col("level_error_own")), f"w{i}": F.when(inside & down, F.col("worst_realised"))}
+        targets |= {f"lo{i}": (f"e{i}", low), f"hi{i}": (f"e{i}", high), f"median{i}": (f"e{i}", 0.5), f"depth{i}": (f"w{i}", 0.5)}
+    return summarise(rows, [*keys, "cell"], aggregates, measures, targets, bounded_groups=False)
 
-MAX_CELLS = 10_000  # cells of one key; groups are a short list, and the map of cells is broadcast
-STATISTICS = ("n", "frequency", "downturn_pct", "lo", "hi", "median", "depth")
-
-
-def cell_map(statistics: DataFrame, keys: Sequence[str], min_cell: int) -> DataFrame:
-    """one map per key of the cells that stand on their own (class x group from ``min_cell`` cases)."""
-    stands = (F.col("n") >= min_cell) | ~F.col("cell").rlike(r"^([a-z]+:)?cell\|")
-    table = statistics.where(stands).groupBy(*keys).agg(F.collect_list(F.struct("cell", F.struct(*STATISTICS))).alias("_l"))
-    few = F.when(F.size("_l") <= MAX_CELLS, F.col("_l")).otherwise(F.raise_error(F.lit("too many groups for a map of cells")))
-    return table.select(*keys, F.map_from_entries(few).alias("cells"))
 
+def cell_statistics(cases: DataFrame, keys: Sequence[str], regimes: bool = False) -> DataFrame:
+    """The same with a row for each regime, as cells of their own (``crisis:``, ``calm:``)."""
+    table = wide_statistics(cases, keys, regimes)
+    cells = F.array(*[
+        F.struct(F.concat(F.lit(name), "cell").alias("cell"), *[F.col(f"{c}{i}").alias(c) for c in STATISTICS])
+        for i, name in enumerate(REGIMES[: 3 if regimes else 1])])
+    return table.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where("n > 0")
 
-def pick(regime: str = "") -> Column:
-    """C17: the cell's statistics, else the class's, else all of them."""
-    at = lambda c: F.try_element_at("cells", F.concat(F.lit(regime), c))
-    return F.coalesce(at(cell_id()), at(class_id()), at(F.lit("all")))
 
+def with_cells(rows: DataFrame, wide: DataFrame, keys: Sequence[str], min_cell: int) -> DataFrame:
+    """Adds to every row of (keys, cls, grp) the statistics its cascade of cells leads to.
 
-def picked_cell() -> Column:
-    """The identity of the cell ``pick`` reads."""
-    has = lambda c: F.when(F.map_contains_key("cells", F.coalesce(c, F.lit(""))), c)
-    return F.coalesce(has(cell_id()), has(class_id()), F.lit("all"))
+    The cascade is resolved once per distinct key, class and group, which is joined to the cells' statistics level by level and then to
+    the rows by equality; a class x group cell stands on its own from ``min_cell`` cases, the others from one. Added are
+    ``_cell`` (the identity picked), ``_q0`` and, where ``wide`` has regimes, ``_q1`` and ``_q2`` (statistics picked), and the
+    statistics of all cases of the own class, the own group and everything, ``_class``, ``_group``, ``_all`` (null where empty).
+    """
+    keys = list(keys)
+    regimes = [i for i in range(len(REGIMES)) if f"n{i}" in wide.columns]
+    columns = [c for c in wide.columns if c not in (*keys, "cell")]
+    names = lambda i: [c for c in STATISTICS if f"{c}{i}" in columns]
+    asked = rows.select(*keys, "cls", "grp").distinct().withColumns({"_c0": cell_id(), "_c1": class_id(), "_c2": group_id(), "_c3": F.lit("all")})
+    for level in range(4):
+        asked = asked.join(wide.select(*keys, F.col("cell").alias(f"_c{level}"), F.struct(*columns).alias(f"_s{level}")), [*keys, f"_c{level}"], "left")
+
+    def of(level: int, i: int, least: int = 1) -> Column:
+        at = F.col(f"_s{level}")
+        return F.when(at[f"n{i}"] >= least, F.struct(*[at[f"{c}{i}"].alias(c) for c in names(i)]))
+
+    stands = [F.col("_s0")["n0"] >= min_cell, F.col("_s1")["n0"] > 0]
+    resolved = asked.select(
+        *[F.col(k).alias(f"_k_{k}") for k in (*keys, "cls", "grp")], F.when(stands[0], F.col("_c0")).when(stands[1], F.col("_c1")).otherwise("all").alias("_cell"),
+        *[F.coalesce(of(0, i, min_cell), of(1, i), of(3, i)).alias(f"_q{i}") for i in regimes],
+        of(1, 0).alias("_class"), of(2, 0).alias("_group"), of(3, 0).alias("_all"))
+    same = [rows[k].eqNullSafe(resolved[f"_k_{k}"]) for k in (*keys, "cls", "grp")]
+    return rows.join(resolved, same, "left").drop(*[f"_k_{k}" for k in (*keys, "cls", "grp")])
 
 
 def mixture(pi: Column) -> dict[str, Column]:
     """downturn probability, world crises apart; a regime without cases takes the overall frequency."""
-    base = pick()["frequency"]
-    crisis = F.coalesce(pick("crisis:")["frequency"], base)
-    calm = F.coalesce(pick("calm:")["frequency"], base)
+    base = F.col("_q0")["frequency"]
+    crisis = F.coalesce(F.col("_q1")["frequency"], base)
+    calm = F.coalesce(F.col("_q2")["frequency"], base)
     return {"p_crisis": crisis, "p_calm": calm, "p_mix": pi * crisis + (1 - pi) * calm}
 
 
@@ -168,26 +178,24 @@ def projection_bands(
         F.col("horizon").between(0, horizons) & F.col("level_error_own").isNotNull() & F.col("projected_growth_pct").isNotNull())
     edges = materialize(quantile_edges(past, keys, "projected_growth_pct"), "edges")
     classed = in_crisis(classify(past, edges, keys), world, F.col("horizon"))
-    cells = cell_map(cell_statistics(classed, keys, regimes=True), keys, min_cell)
-    tables = crisis_probabilities(cells.join(edges, keys), world, F.col("horizon"))
+    cells = materialize(wide_statistics(classed, keys, regimes=True), "band_cells")
+    tables = crisis_probabilities(edges, world, F.col("horizon"))
 
     rows = entities.select("entity", "name", "grp", F.explode(F.sequence(F.lit(0), F.lit(horizons))).alias("horizon"))
-    rows = rows.join(current, ["entity", "horizon"], "left").join(F.broadcast(tables), "horizon")
-    rows = rows.withColumn("cls", expr.digitize("projected_growth_pct", F.col("edges")))
-    group_stats = F.try_element_at("cells", group_id())
-    group_stats = F.coalesce(F.when(group_stats["n"] >= min_cell, group_stats), F.try_element_at("cells", F.lit("all")))
-    rows = rows.withColumns({
-        "_q": pick(), "_g": group_stats, "_c": pick("crisis:"), "_id": picked_cell(), **mixture(F.col("pi"))})
+    rows = rows.join(current, ["entity", "horizon"], "left").join(F.broadcast(tables), "horizon")  # a row per horizon
+    rows = rows.withColumn("cls", expr.digitize("projected_growth_pct", F.col("edges"))).drop("edges")
+    rows = with_cells(rows, cells, keys, min_cell).withColumns({
+        "_g": F.when(F.col("_group.n") >= min_cell, F.col("_group")).otherwise(F.col("_all")), **mixture(F.col("pi"))})
     return rows.select(
         "entity", "name", "grp", "horizon", "projected_growth_pct", "cls",
-        F.substring_index("_id", "|", 1).alias("based_on"),
-        F.col("_q.n").alias("cases"), F.col("_q.lo").alias("error_p10"), F.col("_q.median").alias("error_median"),
-        F.col("_q.hi").alias("error_p90"),
-        expr.inverted_bound("_q.hi").alias("low_pct"), expr.inverted_bound("_q.lo").alias("high_pct"),
+        F.substring_index("_cell", "|", 1).alias("based_on"),
+        F.col("_q0.n").alias("cases"), F.col("_q0.lo").alias("error_p10"), F.col("_q0.median").alias("error_median"),
+        F.col("_q0.hi").alias("error_p90"),
+        expr.inverted_bound("_q0.hi").alias("low_pct"), expr.inverted_bound("_q0.lo").alias("high_pct"),
         expr.inverted_bound("_g.hi").alias("low_pct_group"), expr.inverted_bound("_g.lo").alias("high_pct_group"),
         (F.col("p_mix") * 100).alias("downturn_pct"), (F.col("p_crisis") * 100).alias("downturn_crisis_pct"),
         (F.col("p_calm") * 100).alias("downturn_calm_pct"), (F.col("pi") * 100).alias("crisis_pct"),
-        F.col("_c.median").alias("error_median_crisis"), F.col("_q.depth").alias("depth_median"),
+        F.col("_q1.median").alias("error_median_crisis"), F.col("_q0.depth").alias("depth_median"),
     )
 
 
@@ -201,18 +209,18 @@ def retrospective_calibration(
     train = cases.where(F.col("edition_period") <= cut)
     test = cases.where(F.col("edition_period") > cut)
     edges = quantile_edges(train, ["horizon"], "projected_growth_pct")
-    cells = cell_map(cell_statistics(classify(train, edges, ["horizon"]), ["horizon"]), ["horizon"], min_cell)
+    cells = wide_statistics(classify(train, edges, ["horizon"]), ["horizon"])
     own = grouped_quantiles(train, ["entity"], {"e": "level_error_own"}, {"_lo": ("e", low), "_hi": ("e", high)})
-    rows = classify(test, edges, ["horizon"]).join(F.broadcast(cells), "horizon").join(own, "entity", "left")
-    without_all = F.coalesce(F.try_element_at("cells", cell_id()), F.try_element_at("cells", class_id()))
+    rows = with_cells(classify(test, edges, ["horizon"]), cells, ["horizon"], min_cell).join(own, "entity", "left")
+    by_cell = F.when(F.col("_cell") != "all", F.col("_q0"))
 
     def method(name: str, stats_lo: Column, stats_hi: Column) -> Column:
         return F.struct(F.lit(name).alias("method"), stats_lo.alias("lo"), stats_hi.alias("hi"))
 
-    by_class, by_group = F.try_element_at("cells", class_id()), F.try_element_at("cells", group_id())
+    by_class, by_group = F.col("_class"), F.col("_group")
     long = rows.select(
         "large", "grp", "weight", "level_error_own", F.explode(F.array(
-            method("class x group", without_all["lo"], without_all["hi"]), method("class", by_class["lo"], by_class["hi"]),
+            method("class x group", by_cell["lo"], by_cell["hi"]), method("class", by_class["lo"], by_class["hi"]),
             method("group", by_group["lo"], by_group["hi"]), method("own history", F.col("_lo"), F.col("_hi")),
         )).alias("m"),
     ).select("*", "m.*").where("lo IS NOT NULL AND hi IS NOT NULL").withColumn(

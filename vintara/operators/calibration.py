@@ -1,7 +1,7 @@
 """Real-time probabilistic calibration.
 
-Test editions are a calendar, so the expanding training sets are one key: every past case
-is sent to the test editions that could know it, and all editions are treated in one job.
+Training sets grow with the tested edition. A case is one row from the first edition that could know it; what an edition
+has seen is a prefix (``expanding``), and all editions are treated in one job.
 """
 
 from __future__ import annotations
@@ -11,11 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vintara.functions import expr, fixed
-from vintara.operators.bands import (
-    cell_map, cell_statistics, class_id, classify, crisis_probabilities, group_id, in_crisis, memberships, mixture, pick, picked_cell,
-)
-from vintara.operators.evaluation import quantile_edges
-from vintara.operators.quantiles import grouped_quantiles, running_totals, summarise
+from vintara.operators import expanding
+from vintara.operators.bands import cell_id, class_id, classify, crisis_probabilities, group_id, in_crisis, memberships, mixture, with_cells
+from vintara.operators.quantiles import summarise
 from vintara.session import materialize
 
 RETAINED = "class x group"
@@ -25,29 +23,66 @@ MIXTURE = "class x group, crises apart"
 CASE = ["entity", "edition"]
 
 
-def expanding_training(cases: DataFrame, horizon: int, first: int, last: int) -> DataFrame:
-    """Every case for every test edition v that could know its error, m <= v - h - 2."""
+def training_sizes(cases: DataFrame, horizon: int, first: int, last: int) -> DataFrame:
+    """What every tested edition v has to train on: the cases of editions m <= v - h - 2, whose error it could know.
+
+    A case counts from one edition on; the counts are added up over the editions, and no case is sent to each of them.
+    """
     start = F.greatest(F.col("edition_period") + horizon + 2, F.lit(first))
-    return cases.where(start <= last).withColumn("v", F.explode(F.sequence(start, F.lit(last))))
+    begun = cases.where(start <= last).groupBy(start.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.max("edition_period").alias("latest"))
+    calendar = begun.agg(F.min("v").alias("v")).where("v IS NOT NULL").select(F.explode(F.sequence("v", F.lit(last))).alias("v"))
+    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per edition of the calendar
+    return calendar.join(begun, "v", "left").select("v", F.sum("n").over(upto).alias("n"), F.max("latest").over(upto).alias("latest"))
 
 
-def crps(samples: DataFrame, queries: DataFrame, keys: Sequence[str], sample: str, outcome: str) -> DataFrame:
-    """H2: CRPS of empirical distributions, E|X - y| - E|X - X'| / 2, from running sums.
+def class_events(cases: DataFrame, edges: DataFrame, horizon: int) -> DataFrame:
+    """Events (cell, x, t, w, down, crisis, crisis_down) of the training cases, in which class they are for each tested edition.
 
-    Distinct sample values, counted before any shuffle of rows, and distinct outcomes are
-    ordered together (samples first at ties).
+    The class edges move with the edition, but a case changes its class a few times at most: it enters a cell at the
+    first edition that knows it or that puts it there, and leaves at the edition that moves it.
     """
-    keys = list(keys)
-    asked = queries.select(*keys, F.col(outcome).alias("_x")).distinct().select(*keys, "_x", F.lit(1).alias("_q"), F.lit(None).cast("bigint").alias("_w"))
-    told = samples.groupBy(*keys, F.col(sample).alias("_x")).agg(F.count(F.lit(1)).alias("_w")).select(*keys, "_x", F.lit(0).alias("_q"), "_w")
-    run = materialize(running_totals(told.unionByName(asked), keys, "_x", "_q", F.col("_w")), "crps")
-    middle = F.col("run_n") - (F.col("_w") - 1) / 2  # mean rank of the copies of a value
-    spread = run.where("_q = 0").groupBy(*keys).agg(
-        (2 * F.sum(F.col("_w") * (2 * middle - F.col("all_n") - 1) * F.col("_x")) / F.pow(F.max("all_n"), 2)).alias("_disp"))
-    y, k, n = F.col("_x"), F.col("run_n"), F.col("all_n")
-    distance = (y * k - F.col("run_sum")) + (F.col("all_sum") - F.col("run_sum")) - y * (n - k)
-    return run.where("_q = 1").join(spread, keys).select(
-        *keys, F.col("_x").alias(outcome), (distance / n - F.col("_disp") / 2).alias("crps"))
+    calendar = Window.orderBy("v")  # one row per tested edition
+    told = edges.select("v", "edges", F.lag("v").over(calendar).alias("last_v"), F.lag("edges").over(calendar).alias("last_edges"))
+    every = told.agg(F.collect_list(F.struct("v", "edges", "last_v", "last_edges"))).scalar()
+    start = F.col("edition_period") + horizon + 2
+    steps = cases.withColumn("_every", every).withColumn("_s", F.explode(F.filter("_every", lambda e: e["v"] >= start)))
+    first = F.col("_s.last_v").isNull() | (F.col("_s.last_v") < start)
+    moved = steps.select(
+        "grp", F.col("level_error_own").alias("x"), (F.col("worst_realised") < 0).cast("bigint").alias("_d"), F.col("crisis").cast("bigint").alias("_c"),
+        F.col("_s.v").alias("t"), first.alias("_first"), expr.digitize("projected_growth_pct", F.col("_s.edges")).alias("cls"),
+        F.when(~first, expr.digitize("projected_growth_pct", F.col("_s.last_edges"))).alias("_was")).where("_first OR cls <> _was")
+
+    def event(cell: Column, w: int) -> Column:
+        return F.when(cell.isNotNull(), F.struct(cell.alias("cell"), F.lit(w).cast("bigint").alias("w")))
+
+    lasting = [F.when(F.col("_first"), event(c, 1)) for c in (F.lit("all"), group_id())]
+    entered, left = ([event(class_id(c), w), event(cell_id(c), w)] for c, w in (("cls", 1), ("_was", -1)))
+    rows = moved.select("x", "t", "_d", "_c", F.explode(F.filter(F.array(*lasting, *entered, *left), lambda e: e.isNotNull())).alias("e")).select("e.*", "x", "t", "_d", "_c")
+    return rows.groupBy("cell", "x", "t").agg(
+        F.sum("w").alias("w"), F.sum(F.col("w") * F.col("_d")).alias("down"), F.sum(F.col("w") * F.col("_c")).alias("crisis"),
+        F.sum(F.col("w") * F.col("_c") * F.col("_d")).alias("crisis_down"))
+
+
+def own_history(cases: DataFrame, horizon: int, first: int, minimum: int) -> DataFrame:
+    """An entity's own past errors at every case to be tested: band, downturn share and CRPS from its earlier cases.
+
+    An entity has a case per edition: its past fits a window frame, whatever the number of entities.
+    """
+    low, high = fixed.BAND_QUANTILES
+    past = Window.partitionBy("entity").orderBy("edition_period").rangeBetween(Window.unboundedPreceding, -(horizon + 2))
+    held = F.collect_list(F.struct(F.col("level_error_own").alias("x"), (F.col("worst_realised") < 0).cast("double").alias("d")))
+    rows = cases.withColumn("_h", F.array_sort(held.over(past))).where((F.col("edition_period") >= first) & (F.size("_h") >= minimum))
+    rows = rows.withColumns({"_x": F.col("_h.x"), "_n": F.size("_h"), "_y": F.col("level_error_own")})
+
+    def at(p: float) -> Column:
+        place = (F.col("_n") - 1) * F.lit(p)
+        below = F.get("_x", F.floor(place).cast("int"))
+        return below + (F.get("_x", F.ceil(place).cast("int")) - below) * (place - F.floor(place))
+
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    distance = total(F.transform("_x", lambda x: F.abs(x - F.col("_y")))) / F.col("_n")
+    spread = total(F.transform("_x", lambda x, i: (2 * i + 1 - F.col("_n")) * x)) / (F.col("_n") * F.col("_n"))
+    return rows.select(*CASE, at(low).alias("_lo"), at(high).alias("_hi"), (total(F.col("_h.d")) / F.col("_n")).alias("_f"), (distance - spread).alias("_crps"))
 
 
 def realtime_predictions(
@@ -59,61 +94,69 @@ def realtime_predictions(
     needed = ["level_error_own", "projected_growth_pct", "worst_realised", "worst_projected"]
     cases = levels.where(F.col("horizon") == horizon).dropna(subset=needed).select(
         "entity", "grp", "edition", "edition_period", "period", "weight", *needed)
+    cases = cases.withColumn("crisis", F.lit(False)) if world is None else in_crisis(cases, world, F.lit(horizon))
     cases = materialize(cases, "rt_cases")
     last = cases.agg(F.max("edition_period").alias("m")).first()["m"]  # one number of the calendar
     if last is None or last < first:
         raise ValueError("no edition to test in real time")
-    train = expanding_training(cases, horizon, first, last)
-    enough = train.groupBy("v").agg(F.count(F.lit(1)).alias("_train")).where(F.col("_train") >= min_cell).select("v")
-    edges = quantile_edges(train.join(F.broadcast(enough), "v"), ["v"], "projected_growth_pct")
+    times = list(range(first, last + 1))
+
+    # Class edges of every edition with enough cases, from the growth known to it.
+    start = F.greatest(F.col("edition_period") + horizon + 2, F.lit(first))
+    growth = cases.where(start <= last).groupBy(F.lit("growth").alias("cell"), F.col("projected_growth_pct").alias("x"), start.alias("t")).agg(F.count(F.lit(1)).alias("w"))
+    growth = materialize(expanding.in_buckets(growth, cases.select("projected_growth_pct")), "rt_growth")
+    inner = {f"_e{i}": i / fixed.GROWTH_CLASSES for i in range(1, fixed.GROWTH_CLASSES)}
+    enough = training_sizes(cases, horizon, first, last).where(F.col("n") >= min_cell).select("v")
+    edges = expanding.quantiles(growth, times, inner).join(enough, "v").select("v", F.array(*inner).alias("edges"))
     edges = materialize(edges, "rt_edges")
-    train = classify(train, edges, ["v"])
     test = classify(cases.where(F.col("edition_period") >= first).withColumn("v", F.col("edition_period")), edges, ["v"])
+
+    # A cell's sample at an edition; the outcomes to be scored in it are events without weight.
+    events = class_events(cases, edges, horizon)
+    zero = F.lit(0).cast("bigint")
+    scored = test.select(F.explode(memberships()).alias("cell"), F.col("level_error_own").alias("x"), F.col("v").alias("t")).distinct().select(
+        "cell", "x", "t", *[zero.alias(c) for c in ("w", "down", "crisis", "crisis_down")])
+    placed = materialize(expanding.in_buckets(events.where("w <> 0 OR down <> 0 OR crisis <> 0 OR crisis_down <> 0").unionByName(scored), cases.select("level_error_own")), "rt_events")
+    counts = expanding.totals(placed, times, {"n": "w", "d": "down", "c": "crisis", "k": "crisis_down"})
+    calm, calm_down = F.col("n") - F.col("c"), F.col("d") - F.col("k")
+    wide = counts.where("n > 0").join(expanding.quantiles(placed, times, {"lo0": low, "hi0": high}), ["cell", "v"]).select(
+        "v", "cell", F.col("n").alias("n0"), (F.col("d") / F.col("n")).alias("frequency0"), "lo0", "hi0",
+        F.col("c").alias("n1"), F.try_divide(F.col("k"), F.col("c")).alias("frequency1"), calm.alias("n2"), F.try_divide(calm_down, calm).alias("frequency2"))
+    wide = materialize(wide, "rt_cells")
+    own = own_history(cases, horizon, first, own_min)
+    rows = with_cells(test, wide, ["v"], min_cell).join(own, CASE, "left")
     if world is not None:
-        train = in_crisis(train, world, F.lit(horizon), F.col("v") - 2)
-    cells = cell_map(cell_statistics(train, ["v"], regimes=world is not None, shares_only=True), ["v"], min_cell)
-    if world is not None:
-        cells = crisis_probabilities(cells, world, F.lit(horizon), F.col("v") - 2)
-    own = summarise(
-        train, ["v", "entity"], [F.count(F.lit(1)).alias("_n"), F.avg((F.col("worst_realised") < 0).cast("double")).alias("_f")],
-        {"e": "level_error_own"}, {"_lo": ("e", low), "_hi": ("e", high)}, bounded_groups=False,
-    ).where(F.col("_n") >= own_min)
-    rows = test.join(F.broadcast(cells), "v").join(own, ["v", "entity"], "left")
-
-    def method(name: str, cell: Column, lo: Column, hi: Column, p: Column) -> Column:
+        pi = crisis_probabilities(edges.select("v"), world, F.lit(horizon), F.col("v") - 2)
+        rows = rows.join(F.broadcast(pi), "v")  # one row per tested edition
+
+    def method(name: str, cell: Column | None, stats: Column | None, p: Column) -> Column:
         null = F.lit(None)
-        return F.struct(F.lit(name).alias("method"), (null if cell is None else cell).cast("string").alias("cell"),
-                        (null if lo is None else lo).cast("double").alias("lo"), (null if hi is None else hi).cast("double").alias("hi"),
-                        p.alias("p"))
+        bound = lambda c: null.cast("double") if stats is None else stats[c]
+        return F.struct(F.lit(name).alias("method"), (null if cell is None else cell).cast("string").alias("cell"), bound("lo").alias("lo"), bound("hi").alias("hi"),
+                        null.cast("double").alias("own_crps"), p.cast("double").alias("p"))
 
-    def from_map(name: str, cell: Column) -> Column:
-        s = F.try_element_at("cells", cell)
-        return method(name, cell, s["lo"], s["hi"], s["frequency"])
+    def fallback(name: str, cell: Column, stats: str) -> Column:
+        has = F.col(stats).isNotNull()
+        picked = F.when(has, F.col(stats)).otherwise(F.col("_all"))
+        return method(name, F.when(has, cell).otherwise("all"), picked, picked["frequency"])
 
-    every = F.lit("all")
-    has = lambda c: F.when(F.map_contains_key("cells", F.coalesce(c, F.lit(""))), c)
     options = [
-        from_map(RETAINED, picked_cell()), from_map("class", F.coalesce(has(class_id()), every)),
-        from_map("group", F.coalesce(has(group_id()), every)), from_map("all", every),
-        F.when(F.col("_n").isNotNull(), method("own history", F.concat(F.lit("own|"), F.col("entity")), F.col("_lo"), F.col("_hi"), F.col("_f"))),
-        method(PATH, None, None, None, (F.col("worst_projected") < 0).cast("double")),
+        method(RETAINED, F.col("_cell"), F.col("_q0"), F.col("_q0.frequency")), fallback("class", class_id(), "_class"), fallback("group", group_id(), "_group"),
+        method("all", F.lit("all"), F.col("_all"), F.col("_all.frequency")),
+        F.when(F.col("_f").isNotNull(), F.struct(
+            F.lit("own history").alias("method"), F.lit(None).cast("string").alias("cell"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_crps").alias("own_crps"), F.col("_f").alias("p"))),
+        method(PATH, None, None, (F.col("worst_projected") < 0)),
     ]
     if world is not None:
-        options.append(method(MIXTURE, None, None, None, mixture(F.col("pi"))["p_mix"]))
+        options.append(method(MIXTURE, None, None, mixture(F.col("pi"))["p_mix"]))
     long = rows.select(
         "entity", "grp", "edition", "v", "period", "weight", "cls", F.col("level_error_own").alias("error"),
         (F.col("worst_realised") < 0).cast("double").alias("down"),
         F.explode(F.filter(F.array(*options), lambda m: m.isNotNull())).alias("m"),
     ).select("*", "m.*").drop("m")
-    long = materialize(long, "rt_long")
-
-    own_cell = F.array(F.concat(F.lit("own|"), F.col("entity")))
-    used = long.where("cell IS NOT NULL").select("v", "cell").distinct()
-    samples = train.select("v", "level_error_own", F.explode(F.concat(memberships(), own_cell)).alias("cell")).join(
-        used, ["v", "cell"], "left_semi")
-    scores = crps(samples, long.where("cell IS NOT NULL"), ["v", "cell"], "level_error_own", "error")
+    scores = expanding.crps(placed, times).withColumnRenamed("y", "error")
     return long.join(scores, ["v", "cell", "error"], "left").select(
-        *CASE, "grp", "v", "period", "weight", "cls", "error", "down", "method", "lo", "hi", "crps", "p",
+        *CASE, "grp", "v", "period", "weight", "cls", "error", "down", "method", "lo", "hi", F.coalesce("own_crps", "crps").alias("crps"), "p",
         expr.covered("lo", "hi", "error").alias("covered"), expr.interval_score("lo", "hi", "error").alias("score"),
         expr.brier("p", "down").alias("brier"),
     )

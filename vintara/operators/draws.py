@@ -7,27 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vintara.functions import expr, fixed
-from vintara.operators.bands import cell_map, cell_statistics, classify, memberships, picked_cell
+from vintara.operators.bands import classify, memberships, with_cells
 from vintara.operators.evaluation import quantile_edges
-from vintara.operators.quantiles import grouped_quantiles, value_ranks
+from vintara.operators.quantiles import grouped_quantiles, quantiles_at, with_ranks
 from vintara.session import materialize
 
 
 def past_cells(levels: DataFrame, horizons: int, min_cell: int = fixed.MIN_CELL) -> tuple[DataFrame, DataFrame]:
-    """Past cases with their retained cell and position u in it, and the cells of every horizon.
+    """Past cases with their retained cell and position u in it, and the cells' sizes of every horizon.
 
-    Positions are average ranks of distinct values counted by value buckets: a cell may
-    hold any number of cases.
+    Positions are average ranks attached bucket by bucket: a cell may hold any number of cases, and a value any share of it.
     """
     past = levels.where(
         F.col("horizon").between(0, horizons) & F.col("level_error_own").isNotNull() & F.col("projected_growth_pct").isNotNull())
     edges = quantile_edges(past, ["horizon"], "projected_growth_pct")
     classed = materialize(classify(past, edges, ["horizon"]), "draw_cases")
-    cells = materialize(cell_map(cell_statistics(classed, ["horizon"]), ["horizon"], min_cell), "draw_cells")
-    placed = classed.join(F.broadcast(cells), "horizon").withColumn("cell", picked_cell()).drop("cells")
-    ranks = value_ranks(placed, ["horizon", "cell"], "level_error_own", bounded_groups=True)
-    u = ranks.select("horizon", "cell", "level_error_own", ((F.col("rank_avg") - 0.5) / F.col("n")).alias("u"))
-    return placed.join(u, ["horizon", "cell", "level_error_own"]), cells
+    sizes = classed.select("horizon", F.explode(memberships()).alias("cell")).groupBy("horizon", "cell").agg(F.count(F.lit(1)).alias("n0"))
+    cells = materialize(sizes, "draw_cells")
+    placed = materialize(with_cells(classed, cells, ["horizon"], min_cell).withColumn("cell", F.col("_cell")).drop("_cell", "_q0", "_class", "_group", "_all"), "draw_placed")
+    ranks = with_ranks(placed, ["horizon", "cell"], "level_error_own")
+    return ranks.withColumn("u", (F.col("rank_avg") - 0.5) / F.col("n")).drop("rank_min", "rank_avg", "n"), cells
 
 
 def eligible_editions(levels: DataFrame, horizon: int, minimum: int = fixed.MIN_ENTITIES_PER_DRAW) -> DataFrame:
@@ -59,25 +58,22 @@ def quantile_levels(rows: DataFrame, keys: Sequence[str], draw: str) -> DataFram
 
 
 def ratios_to_horizon(levels: DataFrame, bands: DataFrame, editions: DataFrame, horizons: int, min_cell: int = fixed.MIN_CELL) -> DataFrame:
-    """Realised over projected by draw: quantile of the entity's present cell at the draw's level."""
+    """Realised over projected by draw: quantile of the entity's present cell at the draw's level.
+
+    The levels are asked for as a table, once for each cell, and answered by rank selection in one plan, whatever their number.
+    """
     placed, cells = past_cells(levels, horizons, min_cell)
     entities = bands.groupBy("entity").agg(F.min("grp").alias("grp"))
     levels_q = materialize(quantile_levels(positions(placed, editions, entities, horizons), ["horizon", "entity"], "edition"), "draw_levels")
-    n = levels_q.agg(F.max("n").alias("n")).first()["n"]  # number of replayed editions, one number of the calendar
-    if n is None:
-        raise ValueError("no edition covers enough entities to be replayed")
     classed = placed.select("horizon", "cls", "grp", "level_error_own")
     members = classed.select("horizon", "level_error_own", F.explode(memberships()).alias("cell"))
-    targets = {f"q{k}": ("e", (k - 0.5) / n) for k in range(1, n + 1)}
-    table = grouped_quantiles(members, ["horizon", "cell"], {"e": "level_error_own"}, targets, bounded_groups=True).select(
-        "horizon", "cell", F.array(*targets).alias("_qs"))
-    now = bands.select("entity", "grp", "horizon", "cls").join(F.broadcast(cells), "horizon").select(
-        "entity", "horizon", picked_cell().alias("cell"))
-    drawn = levels_q.join(now, ["horizon", "entity"], "left").withColumn("cell", F.coalesce("cell", F.lit("all"))).join(
-        F.broadcast(table), ["horizon", "cell"])
-    return drawn.select(
-        F.col("edition").alias("draw"), "entity", "horizon",
-        F.try_divide(F.lit(1.0), 1 + F.get("_qs", F.col("k") - 1) / 100).alias("ratio"))
+    now = bands.select("entity", "grp", "horizon", "cls")
+    now = with_cells(now, cells, ["horizon"], min_cell).select("entity", "horizon", F.col("_cell").alias("cell"))
+    drawn = materialize(levels_q.join(now, ["horizon", "entity"], "left").withColumn("cell", F.coalesce("cell", F.lit("all"))), "draw_asked")
+    asked = drawn.select("horizon", "cell", "k", "n").distinct().withColumn("p", (F.col("k") - 0.5) / F.col("n"))
+    table = quantiles_at(members, ["horizon", "cell"], "level_error_own", asked, placed.select("level_error_own")).drop("p")
+    return drawn.join(table, ["horizon", "cell", "k", "n"]).select(
+        F.col("edition").alias("draw"), "entity", "horizon", F.try_divide(F.lit(1.0), 1 + F.col("q") / 100).alias("ratio"))
 
 
 def draw_trajectories(ratios: DataFrame, scenarios: DataFrame, edition_period: int, horizons: int, end: int) -> DataFrame:
@@ -107,8 +103,7 @@ def draw_trajectories(ratios: DataFrame, scenarios: DataFrame, edition_period: i
 
 def population_levels(past: DataFrame, entities: DataFrame) -> DataFrame:
     """Level of every past revision in an entity's history, from ranks pooled over the size class."""
-    ranks = value_ranks(past, ["size"], "z", bounded_groups=True)
-    u = past.join(ranks.select("size", "z", ((F.col("rank_avg") - 0.5) / F.col("n")).alias("u")), ["size", "z"])
+    u = with_ranks(past, ["size"], "z", bounded_groups=True).withColumn("u", (F.col("rank_avg") - 0.5) / F.col("n"))
     known = u.groupBy("entity", "revision").agg(F.avg("u").alias("u"))
     listed = past.agg(F.sort_array(F.collect_set("revision"))).scalar()
     grid = entities.withColumn("_r", listed).select("entity", F.explode("_r").alias("revision")).join(known, ["entity", "revision"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vintara.functions import expr, fixed
 from vintara.operators.longrun import fit_power_law
-from vintara.operators.quantiles import summarise, value_ranks
+from vintara.operators.quantiles import summarise, with_ranks
 
 THIRDS = ("narrow", "middle", "wide")
 
@@ -37,10 +37,9 @@ def with_group(errors: DataFrame, groups: DataFrame, history: DataFrame) -> Data
 def width_third(rows: DataFrame, keys: Sequence[str], width: str) -> DataFrame:
     """Third of a width by average rank, so ties share one; horizons may hold every entity."""
     keys = list(keys)
-    ranks = value_ranks(rows, keys, width, bounded_groups=True).select(*keys, width, "rank_avg", "n")
     third = F.least(F.lit(2), F.floor(3 * (F.col("rank_avg") - 0.5) / F.col("n"))).cast("int")
     labels = F.array(*[F.lit(t) for t in THIRDS])
-    return rows.join(ranks, [*keys, width]).withColumn("third", F.get(labels, third)).drop("rank_avg", "n")
+    return with_ranks(rows, keys, width, bounded_groups=True).withColumn("third", F.get(labels, third)).drop("rank_min", "rank_avg", "n")
 
 
 def current_bounds(current: DataFrame, revision: int) -> DataFrame:

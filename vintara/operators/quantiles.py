@@ -10,12 +10,13 @@ bracket is verified against the exact counts, so the result is exact or the job
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SKETCH_ACCURACY = 10_000
-COARSE, FINE = 32, 32  # value buckets of a group: 32 x 32
+BUCKETS = 1024  # of values, besides those of single values
 
 
 def not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -117,79 +118,85 @@ def summarise(
     return plain.join(exact, keys, "left")
 
 
-def bucket_edges(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Value edges that cut every group into up to 1024 buckets of similar size."""
-    probabilities = [i / (COARSE * FINE) for i in range(1, COARSE * FINE)]
-    return df.groupBy(*keys).agg(
-        F.percentile_approx(value, probabilities, SKETCH_ACCURACY).alias("_edges")
-    ).withColumn(
-        "_coarse", F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.get("_edges", i * FINE - 1))
-    )
-
-
-def bucket_of(value: Column) -> Column:
-    """Index of the value bucket, by two short scans of the edges; ties share a bucket."""
-    coarse = F.size(F.filter("_coarse", lambda e: e <= value))
-    fine = F.size(F.filter(F.slice("_edges", coarse * FINE + 1, FINE - 1), lambda e: e <= value))
-    return coarse * FINE + fine
+def in_value_buckets(df: DataFrame, value: str, like: DataFrame | None = None) -> DataFrame:
+    """Adds ``_bucket``: common value edges cut all rows, and so every group of them, into buckets of at most about a 1024th of the rows.
 
-
-def value_ranks(
+    A value that fills a bucket or more is an edge. Every edge has a bucket of its own, an even number, between the odd
+    ones. The edges, 1023 numbers at most, pass through the driver, and a row finds its bucket by binary search.
+    They may be taken from ``like``, a table at hand of one column of similar values: edges even out the buckets, and results don't depend on them.
+    """
+    values = df.select(value) if like is None else like
+    shares = ", ".join(f"{i / BUCKETS!r}D" for i in range(1, BUCKETS))
+    found = values.agg(F.expr(f"percentile_approx({values.columns[0]}, array({shares}), {SKETCH_ACCURACY})")).first()[0] or [0.0]
+    edges = sorted({e for e in found if math.isfinite(e)}) or [0.0]
+    # As one text: a call for each number would cost more than the job.
+    listed = f"array({', '.join(f'{float(e)!r}D' for e in edges)})"
+    steps = ", ".join(str(BUCKETS >> k) for k in range(1, BUCKETS.bit_length()))
+    at = f"aggregate(array({steps}), 0, (a, s) -> CASE WHEN a + s <= {len(edges)} AND element_at({listed}, a + s) <= {value} THEN a + s ELSE a END)"
+    single = f"CASE WHEN _at > 0 AND element_at({listed}, _at) = {value} THEN 0 ELSE 1 END"
+    return df.withColumn("_at", F.expr(at)).withColumn("_bucket", F.expr(f"2 * _at + {single}")).drop("_at")
+
+
+def with_ranks(
     df: DataFrame, keys: Sequence[str], value: str, descending: bool = False, bounded_groups: bool = False
 ) -> DataFrame:
-    """Ranks of the distinct values of every group, without ever sorting a group in one task.
+    """Adds to every row its rank by ``value`` in its group: ``rank_min`` (ties share the first), ``rank_avg`` and ``n`` (rows of the group).
 
-    Returns keys, value, ``rank_min`` (ties share the first rank), ``rank_avg`` and
-    ``n`` (rows of the group). Rows are counted by value first, so ties cost nothing.
+    Rows without a key or value go. A group is cut into value buckets; a row's rank is the rows of the buckets before,
+    which are counted, plus its place in its own bucket, which is sorted alone, so nothing is joined by value. A value
+    that fills a bucket or more is an edge of the buckets and has one of its own, where all ranks are the same: its rows need no sort and stay spread out.
     """
     keys = list(keys)
-    counts = (
-        not_null(df, [*keys, value]).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    )
-    sign = -1 if descending else 1
-    counts = counts.withColumn("_s", F.col(value).cast("double") * sign)
-    edges = bucket_edges(counts, keys, "_s")
-    bucketed = _attach(counts, edges, keys, bounded_groups).select(
-        *keys, value, "_c", "_s", bucket_of(F.col("_s")).alias("_bucket")
-    )
+    rows = not_null(df, [*keys, value]).withColumn("_s", F.col(value).cast("double") * (-1 if descending else 1))
+    placed = in_value_buckets(rows, "_s")
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    offsets = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_in")).select(
-        *keys, "_bucket",
+    offsets = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_in")).select(
+        *keys, "_bucket", "_in",
         (F.sum("_in").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")).alias("_before"),
         F.sum("_in").over(Window.partitionBy(*keys)).alias("n"),
     )
-    inner = Window.partitionBy(*keys, "_bucket").orderBy("_s")
-    cumulated = bucketed.withColumn("_upto", F.sum("_c").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    return _attach(cumulated, offsets, [*keys, "_bucket"], bounded_groups).select(
-        *keys, value,
-        (F.col("_before") + F.col("_upto") - F.col("_c") + 1).alias("rank_min"),
-        (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2.0).alias("rank_avg"),
-        "n",
-    )
+    single = F.col("_bucket") % 2 == 0
+    salted = _attach(placed, offsets, [*keys, "_bucket"], bounded_groups).withColumn("_salt", F.when(single, F.spark_partition_id()).otherwise(0))
+    inner = [*keys, "_bucket", "_salt"]
+    first = F.when(single, 1).otherwise(F.rank().over(Window.partitionBy(*inner).orderBy("_s")))
+    ties = F.when(single, F.col("_in")).otherwise(F.count(F.lit(1)).over(Window.partitionBy(*inner, "_s")))
+    return salted.withColumns({"rank_min": F.col("_before") + first, "_ties": ties}).withColumn(
+        "rank_avg", F.col("rank_min") + (F.col("_ties") - 1) / 2.0).drop("_s", "_bucket", "_in", "_before", "_salt", "_ties")
 
 
-def running_totals(
-    df: DataFrame, keys: Sequence[str], value: str, tie: str, weight: Column, bounded_groups: bool = False
-) -> DataFrame:
-    """Running weight and weighted sum of ``value`` in value order; a NULL weight counts for nothing.
+def quantiles_at(values: DataFrame, keys: Sequence[str], value: str, wanted: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Any number of quantiles by rank selection: ``wanted`` (keys and other columns, probability ``p``) with the interpolated quantile ``q``.
 
-    Adds ``run_n``, ``run_sum`` (inclusive), ``all_n`` and ``all_sum``. Large groups are cut
-    into value buckets: totals of the buckets before, plus a short window inside each.
+    The plan is the same whatever is wanted. Values are counted by bucket; a wanted rank first finds its bucket among a group's
+    buckets, then its value among the bucket's values, each time as the last entry that begins at or before it.
+    Rows of ``wanted`` without values in their group are left out. ``like``: see ``in_value_buckets``.
     """
     keys = list(keys)
-    rows = not_null(df, [*keys, value]).withColumn("_c", F.coalesce(weight, F.lit(0))).withColumn("_a", F.col("_c") * F.col(value))
-    edges = bucket_edges(rows, keys, value)
-    bucketed = _attach(rows, edges, keys, bounded_groups).withColumn(
-        "_bucket", bucket_of(F.col(value))).drop("_edges", "_coarse")
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    offsets = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_n"), F.sum("_a").alias("_s")).select(
-        *keys, "_bucket",
-        (F.sum("_n").over(before) - F.col("_n")).alias("_n0"), (F.sum("_s").over(before) - F.col("_s")).alias("_s0"),
-        F.sum("_n").over(whole).alias("all_n"), F.sum("_s").over(whole).alias("all_sum"),
-    )
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(value, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = bucketed.withColumns({"_n1": F.sum("_c").over(inner), "_s1": F.sum("_a").over(inner)})
-    return _attach(local, offsets, [*keys, "_bucket"], bounded_groups).withColumns({
-        "run_n": F.col("_n0") + F.col("_n1"), "run_sum": F.col("_s0") + F.col("_s1"),
-    }).drop("_a", "_c", "_bucket", "_n0", "_s0", "_n1", "_s1")
+    counts = not_null(values, [*keys, value]).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.where(~F.isnan("_x"))
+    placed = in_value_buckets(counts, "_x", like)
+    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = placed.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_in")).withColumns({
+        "_before": F.sum("_in").over(upto) - F.col("_in"), "_n": F.sum("_in").over(Window.partitionBy(*keys))})
+    sides = F.array(F.lit(0), F.lit(1))
+    asked = wanted.join(offsets.select(*keys, "_n").distinct(), keys).withColumn("_position", (F.col("_n") - 1) * F.col("p"))
+    asked = asked.withColumn("_side", F.explode(sides)).withColumn(
+        "_rank", (F.when(F.col("_side") == 0, F.floor("_position")).otherwise(F.ceil("_position"))).cast("bigint"))
+    row = F.struct(*wanted.columns, "_position", "_side")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+
+    def last(by: list[str], entries: DataFrame, asking: DataFrame, *columns: str) -> DataFrame:
+        before = Window.partitionBy(*by).orderBy("_rank", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return entries.unionByName(asking).withColumns({c: F.last(c, ignorenulls=True).over(before) for c in columns}).where("_asks = 1")
+
+    asking = asked.select(*keys, "_rank", F.lit(1).alias("_asks"), row.alias("_row"), none("_bucket", "int"), none("_before", "bigint"))
+    empty = none("_row", asking.schema["_row"].dataType)
+    buckets = offsets.select(*keys, F.col("_before").alias("_rank"), F.lit(0).alias("_asks"), empty, "_bucket", "_before")
+    found = last(keys, buckets, asking, "_bucket", "_before").select(
+        *keys, "_bucket", (F.col("_rank") - F.col("_before")).alias("_rank"), F.lit(1).alias("_asks"), "_row", none("_x", "double"))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begun = placed.select(*keys, "_bucket", (F.sum("_c").over(inner) - F.col("_c")).alias("_rank"), F.lit(0).alias("_asks"), empty, "_x")
+    picked = last([*keys, "_bucket"], begun, found, "_x").select("_row.*", "_x")
+    low, high = (F.max(F.when(F.col("_side") == side, F.col("_x"))) for side in (0, 1))
+    return picked.groupBy(*wanted.columns, "_position").agg(low.alias("_low"), high.alias("_high")).select(
+        *wanted.columns, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_position") - F.floor("_position"))).alias("q"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vintara.functions import expr
-from vintara.operators.quantiles import grouped_quantiles, value_ranks
+from vintara.operators.quantiles import grouped_quantiles, with_ranks
 from vintara.session import materialize
 
 
@@ -48,7 +48,7 @@ def common_panel_ranks(summary: DataFrame) -> DataFrame:
     """Ranks of the entities known at both dates on both bases, and rank changes.
 
     Without any second base the panel is the nominal one. The four measures are ranked together, from
-    bucketed counts (``value_ranks``), not from a single sorted partition.
+    bucketed counts (``with_ranks``), not from a single sorted partition.
     """
     summary = materialize(summary, "summary")  # one row per entity, read by every rank
     no_second = summary.agg(
@@ -60,8 +60,8 @@ def common_panel_ranks(summary: DataFrame) -> DataFrame:
     long = marked.where("in_panel").select("entity", F.explode(F.array(*[
         F.struct(F.lit(rank).alias("measure"), F.col(c).alias("value")) for rank, c in RANKED.items()
     ])).alias("m")).select("entity", "m.measure", "m.value").where("value IS NOT NULL")
-    ranks = value_ranks(long, ["measure"], "value", descending=True, bounded_groups=True)
-    wide = long.join(ranks, ["measure", "value"]).groupBy("entity").agg(*[
+    ranks = with_ranks(long, ["measure"], "value", descending=True, bounded_groups=True)
+    wide = ranks.groupBy("entity").agg(*[
         F.max(F.when(F.col("measure") == rank, F.col("rank_min"))).alias(rank) for rank in RANKED])
     ranked = marked.join(wide, "entity", "left")
     return ranked.withColumns({

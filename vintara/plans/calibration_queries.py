@@ -223,9 +223,8 @@ r AS (SELECT a.v, a.cell, a.error, d - disp / 2 AS crps FROM a JOIN rt_disp USIN
 SELECT l.entity, l.edition, grp, l.v, period, weight, cls, l.error, down, method, lo, hi, crps, p, (l.error BETWEEN lo AND hi)::INT::DOUBLE AS covered,
   CASE WHEN lo IS NOT NULL THEN hi - lo + 10 * greatest(lo - l.error, 0) + 10 * greatest(l.error - hi, 0) END AS score, pow(p - down, 2) AS brier
 FROM rt_long l LEFT JOIN r ON r.v = l.v AND r.cell = l.cell AND r.error = l.error"""
-register("c8_expanding_training", lambda s, d: c.expanding_training(
-    levels_at_edition(s, d).where("horizon = 3 AND level_error_own IS NOT NULL"), 3, RT_FIRST, 43).groupBy("v").agg(
-    F.count(F.lit(1)).alias("n"), F.max("edition_period").alias("latest")),
+register("c8_expanding_training", lambda s, d: c.training_sizes(
+    levels_at_edition(s, d).where("horizon = 3 AND level_error_own IS NOT NULL"), 3, RT_FIRST, 43),
     """SELECT v::INTEGER AS v, count(*) AS n, max(edition_period) AS latest FROM range(31, 44) k(v) JOIN levels_pit ON horizon = 3 AND level_error_own IS NOT NULL
        AND edition_period <= v - 5 GROUP BY 1""")
 register("h1_h2_realtime_predictions", lambda s, d: c.realtime_predictions(levels_at_edition(s, d), RT_HORIZON, RT_FIRST, world(s, d)),
