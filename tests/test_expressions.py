@@ -49,3 +49,12 @@ def test_edition_order_and_step(spark):
 def test_inverse_normal(spark):
     got = values(spark, expr.inverse_normal(F.lit(0.9)), expr.inverse_normal(F.lit(0.5)))
     assert got[0] == pytest.approx(fixed.Z90) and math.isclose(got[1], 0.0, abs_tol=1e-12)
+
+
+def test_inverse_normal_over_its_whole_range(spark):
+    from statistics import NormalDist
+
+    levels = [1e-300, 1e-20, 1e-9, 0.001, 0.0749, 0.0751, 0.31, 0.5, 0.6, 0.9249, 0.9251, 0.999, 1 - 1e-12]
+    got = spark.createDataFrame([(p,) for p in [*levels, 0.0, 1.0, None]], "p double").select("p", expr.inverse_normal("p").alias("z")).collect()
+    for r in got:
+        assert r.z is None if r.p in (None, 0.0, 1.0) else r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-12, abs=1e-12)

@@ -1,11 +1,10 @@
-"""Column expressions: no UDF except the inverse normal distribution."""
+"""Column expressions: built-in functions only."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from vintara.functions import fixed
 
@@ -146,10 +145,18 @@ def known_text(value: Column | str) -> Column:
     return F.nullif(F.trim(col(value)), F.lit("Not applicable"))
 
 
-@F.pandas_udf(T.DoubleType())
-def inverse_normal(p: pd.Series) -> pd.Series:
-    """Quantile of the standard normal distribution."""
-    from statistics import NormalDist
+def inverse_normal(p: Column | str) -> Column:
+    """Quantile of the standard normal distribution; NULL outside the open interval from 0 to 1."""
+    p = col(p)
 
-    inverse = NormalDist().inv_cdf
-    return p.map(lambda v: inverse(v) if 0 < v < 1 else None)
+    def ratio(part: int, r: Column) -> Column:
+        above, below = fixed.INVERSE_NORMAL[part]
+        value = [F.lit(above[0]), F.lit(below[0])]
+        for a, b in zip(above[1:], below[1:]):
+            value = [value[0] * r + a, value[1] * r + b]
+        return value[0] / value[1]
+
+    q = p - 0.5
+    r = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    tail = F.when(r <= 5, ratio(1, r - 1.6)).otherwise(ratio(2, r - 5)) * F.signum(q)
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, q * ratio(0, F.lit(0.180625) - q * q)).otherwise(tail))

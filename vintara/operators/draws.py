@@ -125,8 +125,7 @@ def assign_revisions(editions: DataFrame, revisions: DataFrame) -> DataFrame:
 
 def population_draws(levels: DataFrame, assignment: DataFrame, scenarios: DataFrame, periods: tuple[int, int]) -> DataFrame:
     """Population of every draw at z = inverse normal of its level, in half-widths of its side."""
-    z = levels.select("level_q").distinct().withColumn("z", expr.inverse_normal("level_q") / fixed.Z90)
-    placed = levels.join(z, "level_q").select("entity", "revision", "z").join(F.broadcast(assignment), "revision")
+    placed = levels.select("entity", "revision", (expr.inverse_normal("level_q") / fixed.Z90).alias("z")).join(F.broadcast(assignment), "revision")
     central = scenarios.where((F.col("scenario") == "central") & F.col("period").between(*periods)).select(
         "entity", "period", "pop_central", F.ln(F.col("pop_low_calibrated") / F.col("pop_central")).alias("_l"),
         F.ln(F.col("pop_high_calibrated") / F.col("pop_central")).alias("_h"))

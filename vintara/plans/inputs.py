@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 from vintara.session import materialize
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-START, CUT, END = 20, 40, 46  # first period, last observed period of a report, last full period
-FIRST_EDITION, LAST_EDITION = 24, 46
+START, CUT, END = 20, 40, 46  # the periods of the report that the queries publish: first, last observed, last projected
+BEFORE_EDITIONS = 4  # periods that the first edition has behind it
 DAMPING = (0.9, 0.75, 0.6, 0.5, 0.4, 0.3)
 _MEMO: dict[tuple, DataFrame] = {}
 _SCHEMAS: dict[tuple, StructType] = {}
@@ -47,6 +47,15 @@ def period_of(ts: str):
     return ((F.year(ts) - 1990) * 4 + F.quarter(ts) - 1).cast("int")
 
 
+@memo
+def calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """One row from the facts: first period, last period, and the last whole one (the last, if its last day is there)."""
+    dates = table(spark, sf, "lineitem").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    ends = F.to_date("last") == F.date_sub(F.add_months(F.trunc("last", "quarter"), 3), 1)
+    return dates.select(period_of("first").alias("first_period"), period_of("last").alias("last_period"),
+                        (period_of("last") - F.when(ends, 0).otherwise(1)).alias("last_whole"))
+
+
 def suppliers(spark: SparkSession, sf: str) -> DataFrame:
     """Entity dimension: code, name, group (region of the nation) and nation key."""
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
@@ -75,15 +84,14 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
             F.sum("qty").alias("qty"),
             F.count(F.lit(1)).alias("pop"),
         )
-        .where(F.col("period") <= END)
         .withColumn("entity", F.concat(F.lit("E"), F.col("l_suppkey").cast("string")))
         .drop("l_suppkey")
     )
 
 
 @memo
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Entity panel with the world (G001) and region (G11x) aggregates.
+def whole_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Entity panel with the world (G001) and region (G11x) aggregates; rows of a quarter that is still open are flagged and have no growth.
 
     Every cell is sent to the totals it belongs to and added up in one aggregation, combined
     before the shuffle: the facts are scanned once, and no total is summed by one task.
@@ -103,13 +111,14 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     every = rows.select("t.*", "period", "cents", "net", "qty", "pop").groupBy(
         "entity", "name", "grp", "nk", "is_aggregate", "period").agg(*[F.sum(c).alias(c) for c in ("cents", "net", "qty", "pop")])
     w = Window.partitionBy("entity").orderBy("period")
-    follows = F.lag("period").over(w) == F.col("period") - 1
+    is_open = F.col("period") > calendar(spark, sf).select("last_whole").scalar()
+    follows = ~F.col("is_open") & (F.lag("period").over(w) == F.col("period") - 1)
 
     def growth(c: str):
         return F.when(follows, (F.try_divide(F.col(c) * F.lit(1.0), F.lag(c).over(w)) - 1) * 100)
 
-    return every.select(
-        "entity", "name", "grp", "nk", "is_aggregate", "period",
+    return every.withColumn("is_open", is_open).select(
+        "entity", "name", "grp", "nk", "is_aggregate", "period", "is_open",
         (F.col("cents") / F.lit(100000.0)).alias("nominal"),
         (F.col("net") / F.lit(10000000.0)).alias("other"),
         F.col("qty").cast("double").alias("volume"),
@@ -120,6 +129,11 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole periods of the panel."""
+    return whole_panel(spark, sf).where("NOT is_open").drop("is_open")
+
+
 def observed_source(spark: SparkSession, sf: str) -> DataFrame:
     """T3, observed side, in the raw units of its source."""
     return panel(spark, sf).select(
@@ -128,7 +142,7 @@ def observed_source(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("volume") * 1e9).alias("volume_raw"), (F.col("ppp_volume") * 1e9).alias("ppp_volume_raw"),
         (F.col("population") * 1e6).alias("population_raw"),
         F.try_divide(F.col("nominal"), F.col("population")).alias("per_capita"), F.col("growth"),
-    ).where("period <= 40")
+    ).where(F.col("period") <= CUT)
 
 
 def forecast_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +177,9 @@ def vintages(spark: SparkSession, sf: str) -> DataFrame:
              row("F", 2, -2, F.col("growth")), row("S", 2, -2, F.col("growth"))]
     out = known.select("entity", "name", F.explode(F.array(*rows)).alias("r")).select(
         "entity", "name", "r.*").where("value IS NOT NULL")
-    return out.where(F.col("edition_period").between(FIRST_EDITION, LAST_EDITION)).select(
+    known_periods = calendar(spark, sf)
+    first, last = known_periods.select(F.col("first_period") + BEFORE_EDITIONS).scalar(), known_periods.select("last_whole").scalar()
+    return out.where(F.col("edition_period").between(first, last)).select(
         "entity", "name", (F.col("edition_period") + F.col("horizon")).alias("period"),
         F.concat("season", F.col("edition_period").cast("string")).alias("edition"),
         "season", "edition_period", "horizon", "value", (F.col("horizon") >= 0).alias("is_projection"))

@@ -10,12 +10,17 @@ CTES["suppliers"] = """
 SELECT 'E' || s_suppkey AS entity, s_name AS name, r_name AS grp, s_nationkey AS nk
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"""
 
+CTES["calendar"] = """
+SELECT ((year(min(l_shipdate)) - 1990) * 4 + quarter(min(l_shipdate)) - 1)::INTEGER AS first_period, ((year(max(l_shipdate)) - 1990) * 4 + quarter(max(l_shipdate)) - 1)::INTEGER AS last_period,
+  ((year(max(l_shipdate)) - 1990) * 4 + quarter(max(l_shipdate)) - 1 - (max(l_shipdate)::DATE < date_trunc('quarter', max(l_shipdate))::DATE + INTERVAL 3 MONTH - INTERVAL 1 DAY)::INTEGER)::INTEGER AS last_whole
+FROM lineitem"""
+
 CTES["cells"] = """
 SELECT 'E' || l_suppkey AS entity, ((year(l_shipdate) - 1990) * 4 + quarter(l_shipdate) - 1)::INTEGER AS period,
   sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents,
   sum(round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT))::BIGINT AS net,
   sum(l_quantity::BIGINT)::BIGINT AS qty, count(*) AS pop
-FROM lineitem GROUP BY 1, 2 HAVING period <= 46"""
+FROM lineitem GROUP BY 1, 2"""
 
 CTES["every"] = """
 WITH base AS (SELECT c.*, s.name, s.grp, s.nk FROM cells c LEFT JOIN suppliers s USING (entity))
@@ -25,13 +30,15 @@ FROM base GROUP BY period
 UNION ALL SELECT 'G11' || list_position(['AFRICA','AMERICA','ASIA','EUROPE','MIDDLE EAST'], grp), grp, NULL, 0, true, period,
   sum(cents)::BIGINT, sum(net)::BIGINT, sum(qty)::BIGINT, sum(pop)::BIGINT FROM base WHERE grp IS NOT NULL GROUP BY grp, period"""
 
-CTES["panel"] = """
-SELECT entity, name, grp, nk, is_aggregate, period, cents / 100000.0::DOUBLE AS nominal, net / 10000000.0::DOUBLE AS other,
+CTES["whole_panel"] = """
+SELECT entity, name, grp, nk, is_aggregate, period, period > last_whole AS is_open, cents / 100000.0::DOUBLE AS nominal, net / 10000000.0::DOUBLE AS other,
   qty::DOUBLE AS volume, qty * (1.0::DOUBLE + nk * 0.02::DOUBLE) AS ppp_volume,
   cents / 100000.0::DOUBLE * (1.0::DOUBLE + nk * 0.02::DOUBLE) AS ppp, pop::DOUBLE AS population,
-  CASE WHEN lag(period) OVER w = period - 1 THEN (qty::DOUBLE / nullif(lag(qty) OVER w, 0) - 1) * 100 END AS growth,
-  CASE WHEN lag(period) OVER w = period - 1 THEN (net::DOUBLE / nullif(lag(net) OVER w, 0) - 1) * 100 END AS other_growth
-FROM every WINDOW w AS (PARTITION BY entity ORDER BY period)"""
+  CASE WHEN period <= last_whole AND lag(period) OVER w = period - 1 THEN (qty::DOUBLE / nullif(lag(qty) OVER w, 0) - 1) * 100 END AS growth,
+  CASE WHEN period <= last_whole AND lag(period) OVER w = period - 1 THEN (net::DOUBLE / nullif(lag(net) OVER w, 0) - 1) * 100 END AS other_growth
+FROM every, calendar WINDOW w AS (PARTITION BY entity ORDER BY period)"""
+
+CTES["panel"] = "SELECT * EXCLUDE (is_open) FROM whole_panel WHERE NOT is_open"
 
 CTES["observed"] = """
 SELECT entity, name, period, is_aggregate, grp, nominal * 1e9 AS nominal_raw, ppp * 1e9 AS ppp_raw, volume * 1e9 AS volume_raw,
@@ -56,7 +63,7 @@ r AS (SELECT entity, name, season, (period + shift)::INTEGER AS edition_period,
   CASE WHEN horizon >= 0 THEN mean4 * km::DOUBLE ELSE growth * kg::DOUBLE END AS value FROM g CROSS JOIN shape)
 SELECT entity, name, (edition_period + horizon)::INTEGER AS period, season || edition_period AS edition, season,
   edition_period, horizon, value, horizon >= 0 AS is_projection
-FROM r WHERE value IS NOT NULL AND edition_period BETWEEN 24 AND 46"""
+FROM r WHERE value IS NOT NULL AND edition_period BETWEEN (SELECT first_period + 4 FROM calendar) AND (SELECT last_whole FROM calendar)"""
 
 CTES["real_vintages"] = "SELECT * FROM vintages WHERE NOT regexp_matches(entity, '^G[0-9]')"
 

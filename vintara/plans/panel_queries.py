@@ -96,7 +96,7 @@ CTES["toptable"] = "SELECT entity, name, nominal_start, nominal_end, nominal_fcs
 CTES["voltable"] = "SELECT entity, nominal_end, volume_end, cagr_nominal_hist, cagr_volume_hist, nominal_volume_gap FROM ranked WHERE cagr_nominal_hist IS NOT NULL AND cagr_volume_hist IS NOT NULL ORDER BY nominal_end DESC NULLS LAST, entity LIMIT 10"
 CTES["ppptable"] = "SELECT entity, rank_ppp_end, nominal_end, ppp_volume_end, rank_end, rank_gap_bases FROM ranked WHERE rank_ppp_end IS NOT NULL ORDER BY rank_ppp_end, entity LIMIT 15"
 
-register("t3_panel", lambda a, b: inputs.panel.build(a, b), "SELECT * FROM panel")
+register("t3_panel", lambda a, b: inputs.whole_panel.build(a, b), "SELECT * FROM whole_panel")
 register("b1_harmonise_units", lambda a, b: p.harmonise_observed(inputs.observed_source(a, b)),
          """SELECT entity, name, period, 'observed' AS data_type, false AS is_forecast, is_aggregate, grp, nominal_raw / 1e9 AS nominal, growth,
             ppp_raw / 1e9 AS ppp, per_capita, volume_raw / 1e9 AS volume, ppp_volume_raw / 1e9 AS ppp_volume, population_raw / 1e6 AS population FROM observed""")

@@ -189,16 +189,45 @@ def _archived(s, f):
 
 
 register("a3_a18_archive_once", _archived, "SELECT entity, indicator, period, value, edition FROM edition_archive WHERE indicator = 'NGDP' AND edition IN ('F44', 'S45', 'F46')", "value", 9)
-register("a18_archive_index", lambda s, f: ar.archive_index(edition_archive(s, f)),
+
+
+def _index(s, f):
+    """The index that two appends left, the second with nothing new for the editions of the first."""
+    path = f"{shared_folder(s)}/archive-{uuid.uuid4().hex}"
+    rows = edition_archive(s, f)
+    ar.archive_once(rows.where("edition IN ('S44', 'F44')"), path, "edition")
+    ar.archive_once(rows, path, "edition")
+    return ar.Folder(s, path).index(ar.ARCHIVE_INDEX).withColumnRenamed("partition", "edition")
+
+
+def _metadata(s, f):
+    """Method metadata archived edition by edition, like the data, and never rewritten."""
+    path = f"{shared_folder(s)}/metadata-{uuid.uuid4().hex}"
+    rows = t.method_metadata(metadata(s, f), "entity", ["methodology", "base_year"])
+    ar.archive_once(rows.withColumn("edition", F.lit("F45")), path, "edition")
+    ar.archive_once(rows.withColumn("methodology", F.lit("other")).withColumn("edition", F.explode(F.array(F.lit("F45"), F.lit("S46")))), path, "edition")
+    return ar.read_archive(s, path, "entity string, methodology string, base_year string, edition string")
+
+
+register("a18_metadata_archive", _metadata,
+         """WITH m AS (SELECT entity, methodology, base_year FROM metadata
+              QUALIFY row_number() OVER (PARTITION BY entity ORDER BY (methodology IS NULL)::INT + (base_year IS NULL)::INT, methodology NULLS FIRST, base_year NULLS FIRST) = 1)
+            SELECT entity, methodology, base_year, 'F45' AS edition FROM m UNION ALL SELECT entity, 'other', base_year, 'S46' FROM m""")
+register("a18_archive_index", _index,
          'SELECT edition, count(*) AS "values", count(DISTINCT entity) AS entities, count(DISTINCT indicator) AS indicators, min(period) AS first_period, max(period) AS last_period FROM edition_archive GROUP BY 1')
 register("a7_latest_edition", lambda s, f: ar.latest_edition(edition_archive(s, f), "NGDP_R"),
          "SELECT entity, period, value FROM edition_archive WHERE indicator = 'NGDP_R' AND edition = 'F46'", "value")
 
 
 def _complement(s, f):
-    rows = real_vintages(s, f).select(F.lit("growth").alias("indicator"), "edition", "entity", "period", "value")
+    """Two updates of a written complement; the result is what is read back after the second."""
+    path = f"{shared_folder(s)}/complement-{uuid.uuid4().hex}"
+    rows = real_vintages(s, f).select(F.lit("growth").alias("indicator"), "entity", "period", "value", "edition")
     main = rows.where("substring(edition, 2) < '44'").select("indicator", "edition").distinct()
-    return ar.complement_editions(rows.where("edition IN ('S43', 'S44', 'F44', 'S45')").withColumn("value", F.col("value") - 1000.0), rows.where("edition IN ('F43', 'F44', 'S45', 'F45')"), main)
+    first = main.where("edition <> 'S43'")  # the main source has S43 only by the second update
+    ar.update_complement(rows.where("edition IN ('S43', 'S44', 'F44', 'S45')").withColumn("value", F.col("value") - 1000.0), first, path)
+    ar.update_complement(rows.where("edition IN ('F43', 'F44', 'S45', 'F45')"), main, path)
+    return ar.read_complement(s, path, "indicator string, entity string, period int, value double, edition string")
 
 
 register("a19_c12_complement", _complement,

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vintara.functions import expr
+from vintara.session import materialize
 
 
 def edition_names(flows: DataFrame, last_period: Column | int, span: int = 5) -> DataFrame:
@@ -31,30 +33,80 @@ def edition_names(flows: DataFrame, last_period: Column | int, span: int = 5) ->
     return archives.unionByName(checked).select("flow", F.concat("season", F.col("year").cast("string")).alias("edition"))
 
 
-def archived_partitions(spark: SparkSession, path: str, partition: str) -> list[str]:
-    """A4: archived versions in order, from the partition folders alone."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    prefix = f"{partition}="
-    return sorted(n[len(prefix):] for n in names if n.startswith(prefix))
+class Folder:
+    """A folder of the cluster's file system with an index of what is committed in it.
+
+    Rows are written to a staging folder of their own, moved to their place, and listed in the index last, by one small write.
+    Only what the index lists exists for readers: a run that dies before leaves nothing but files that no one reads, and can be repeated.
+    Names that begin with ``_`` are passed over by readers of the folder itself.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}")
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self.at(name))
+
+    def names(self, name: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self.at(name))) if self.exists(name) else []
+
+    def move(self, source: str, target: str) -> None:
+        """Move into place; an old copy there was never committed."""
+        if self.exists(target):
+            self.remove(target)
+        self._fs.mkdirs(self.at(target).getParent())
+        if not self._fs.rename(self.at(source), self.at(target)):
+            raise OSError(f"cannot move {source} to {target}")
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self.at(name), True)
+
+    def index(self, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/_index") if self.exists("_index") else self.spark.createDataFrame([], schema)
+
+    def commit(self, rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/_index")
+
+
+ARCHIVE_INDEX = "partition string, values bigint, entities bigint, indicators bigint, first_period int, last_period int"
+COMPLEMENT_INDEX = "edition string, run int, present boolean"
+
+
+def archived_partitions(spark: SparkSession, path: str) -> list[str]:
+    """A4: archived versions in order, from the index."""
+    return sorted(r.partition for r in Folder(spark, path).index(ARCHIVE_INDEX).select("partition").distinct().collect())  # versions are a calendar
 
 
 def archive_once(rows: DataFrame, path: str, partition: str) -> list[str]:
-    """Append the partitions that are not archived yet; what is archived is never rewritten."""
+    """Append the partitions that are not archived yet, with their row of the index; what is archived is never rewritten.
+
+    The index counts values, and entities, indicators and periods where the rows have such columns.
+    """
     spark = rows.sparkSession
-    present = archived_partitions(spark, path, partition)
-    new = rows.where(~F.col(partition).cast("string").isin(present)) if present else rows
-    new.write.partitionBy(partition).mode("append").parquet(path)
-    return [p for p in archived_partitions(spark, path, partition) if p not in present]
+    folder, present = Folder(spark, path), archived_partitions(spark, path)
+    staging = f"_staging-{uuid.uuid4().hex}"
+    new = rows.where(F.col(partition).isNotNull() & ~F.col(partition).cast("string").isin(present))
+    new.write.partitionBy(partition).parquet(f"{folder.path}/{staging}")
+    found = [n for n in folder.names(staging) if n.startswith(f"{partition}=")]
+    if found:
+        staged = spark.read.parquet(f"{folder.path}/{staging}")
+        index = materialize(archive_index(staged, partition), "archive_index")
+        for name in found:
+            folder.move(f"{staging}/{name}", name)
+        folder.commit(index.select(F.col(partition).cast("string").alias("partition"), "values", "entities", "indicators", "first_period", "last_period"))
+    folder.remove(staging)
+    return [p for p in archived_partitions(spark, path) if p not in present]
 
 
 def read_archive(spark: SparkSession, path: str, schema: str, indicator: str | None = None, partitions: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """A3: all archived versions, or some of them; filters reach the partitions and the files."""
-    df = spark.read.schema(schema).parquet(path)
+    """A3: all committed versions, or some of them; filters reach the partitions and the files."""
+    df, committed = spark.read.schema(schema).parquet(path), archived_partitions(spark, path)
+    df = df.where(F.col(df.columns[-1]).cast("string").isin(committed))  # the partition column
     for column, values in (partitions or {}).items():
         df = df.where(F.col(column).isin(list(values)))
     return df if indicator is None else df.where(F.col("indicator") == indicator)
@@ -70,9 +122,10 @@ def latest_edition(archive: DataFrame, indicator: str) -> DataFrame:
 
 def archive_index(archive: DataFrame, partition: str = "edition") -> DataFrame:
     """Volume of every archived edition."""
+    has = lambda c, column, kind: (column if c in archive.columns else F.lit(None)).cast(kind)
     return archive.groupBy(partition).agg(
-        F.count(F.lit(1)).alias("values"), F.count_distinct("entity").alias("entities"), F.count_distinct("indicator").alias("indicators"),
-        F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+        F.count(F.lit(1)).alias("values"), *[has(c, F.count_distinct(c), "bigint").alias(n) for c, n in (("entity", "entities"), ("indicator", "indicators"))],
+        has("period", F.min("period"), "int").alias("first_period"), has("period", F.max("period"), "int").alias("last_period"))
 
 
 def complement_editions(existing: DataFrame, served: DataFrame, main_editions: DataFrame, horizons: tuple[int, int] = (-2, 5)) -> DataFrame:
@@ -87,9 +140,44 @@ def complement_editions(existing: DataFrame, served: DataFrame, main_editions: D
     return kept.unionByName(fresh)
 
 
-def write_complement(rows: DataFrame, path: str) -> None:
-    """Replace only the editions present in ``rows``."""
-    rows.write.partitionBy("edition").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+def read_complement(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The committed copy of every edition. ``schema`` ends in the edition."""
+    folder = Folder(spark, path)
+    index = folder.index(COMPLEMENT_INDEX)
+    if not folder.exists("_index"):
+        return spark.createDataFrame([], schema)
+    last = index.groupBy("edition").agg(F.max_by(F.struct("run", "present"), "run").alias("l")).where("l.present").select("edition", F.col("l.run").alias("run"))
+    rows = spark.read.schema(f"{schema}, run int").parquet(folder.path)
+    return rows.join(F.broadcast(last), ["run", "edition"], "left_semi").drop("run")  # a row per edition of the calendar
+
+
+def update_complement(served: DataFrame, main_editions: DataFrame, path: str, horizons: tuple[int, int] = (-2, 5)) -> int:
+    """Bring a written complement up to date; returns the run's number.
+
+    Editions served now are written next to their old copies, as this run's; editions that the main source has since are marked as gone. The index row
+    of the run makes both visible at once; the old copies go after that, so that a run that dies changes nothing for readers.
+    """
+    spark = served.sparkSession
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in served.schema if f.name != "edition") + ", edition string"
+    folder = Folder(spark, path)
+    run = (folder.index(COMPLEMENT_INDEX).agg(F.max("run")).first()[0] or 0) + 1
+    existing = read_complement(spark, path, schema)
+    columns = [c.split()[0] for c in schema.split(", ")]
+    after = materialize(complement_editions(existing.select(*columns), served.select(*columns), main_editions, horizons), "complement")
+    before = existing.select("edition").distinct().withColumn("old", F.lit(True))
+    touched = served.select("edition").distinct().withColumn("fresh", F.lit(True))
+    states = after.select("edition").distinct().withColumn("present", F.lit(True)).join(before, "edition", "full").join(touched, "edition", "left")
+    gone_in_part = existing.join(main_editions, ["indicator", "edition"], "left_semi").select("edition").distinct().withColumn("less", F.lit(True))
+    changed = materialize(states.join(gone_in_part, "edition", "left").where("fresh OR less OR present IS NULL OR old IS NULL").select(
+        "edition", F.coalesce("present", F.lit(False)).alias("present")), "changed_editions")
+    staging = f"_staging-{uuid.uuid4().hex}"
+    after.join(F.broadcast(changed.where("present")), "edition", "left_semi").write.partitionBy("edition").parquet(f"{folder.path}/{staging}")
+    folder.move(staging, f"run={run}")
+    replaced = folder.index(COMPLEMENT_INDEX).where("present").join(changed, "edition", "left_semi").select("run", "edition").collect()  # editions are a calendar
+    folder.commit(changed.select("edition", F.lit(run).alias("run"), "present"))
+    for old in replaced:
+        folder.remove(f"run={old.run}/edition={old.edition}")
+    return run
 
 
 def write_report(tables: Mapping[str, DataFrame], path: str, run: str) -> dict[str, str]:
