@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vintara.functions import expr
@@ -9,16 +11,20 @@ from vintara.operators.quantiles import grouped_quantiles, with_ranks
 from vintara.session import materialize
 
 
-def reference_periods(start: int, end: int, forecast_end: int) -> dict[str, int]:
+def reference_periods(start: int, end: Column | int, forecast_end: int) -> dict[str, Column]:
     """The four dates of the summary; the middle is ten periods after the start, or half-way."""
-    middle = start + 10 if start + 10 < end else start + (end - start) // 2
-    return {"start": start, "mid": middle, "end": end, "fcst": forecast_end}
+    end = F.lit(end) if isinstance(end, int) else end
+    middle = F.when(F.lit(start + 10) < end, F.lit(start + 10)).otherwise(F.lit(start) + F.floor((end - F.lit(start)) / 2))
+    return {"start": F.lit(start), "mid": middle, "end": end, "fcst": F.lit(forecast_end)}
+
 
+def entity_summary(unified: DataFrame, start: int, end: Column | int, forecast_end: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Levels at the reference periods and compound growth, one shuffle for all measures.
 
-def entity_summary(unified: DataFrame, start: int, end: int, forecast_end: int) -> DataFrame:
-    """Levels at the reference periods and compound growth, one shuffle for all measures."""
+    With ``keys``, one summary for each of their values, on which ``end`` may depend.
+    """
     dates = reference_periods(start, end, forecast_end)
-    n_hist, n_fcst = end - start, forecast_end - end
+    n_hist, n_fcst = dates["end"] - start, F.lit(forecast_end) - dates["end"]
     wanted = {
         "nominal": ("start", "mid", "end", "fcst"), "volume": ("start", "end", "fcst"), "ppp_volume": ("start", "end", "fcst"),
         "population": ("start", "end", "fcst"), "volume_per_capita": ("start", "end", "fcst"), "ppp_volume_per_capita": ("end", "fcst"),
@@ -27,7 +33,7 @@ def entity_summary(unified: DataFrame, start: int, end: int, forecast_end: int)
     def at(c: str, d: str) -> Column:
         return F.avg(F.when(F.col("period") == dates[d], F.col(c))).alias(f"{c}_{d}")
 
-    levels = unified.where(~F.col("is_aggregate")).groupBy("entity").agg(
+    levels = unified.where(~F.col("is_aggregate")).groupBy(*keys, "entity").agg(
         F.min_by("name", "period").alias("name"), F.min_by("grp", F.when(F.col("grp").isNotNull(), F.col("period"))).alias("grp"),
         F.count("nominal").alias("_known"), *[at(c, d) for c, ds in wanted.items() for d in ds],
     ).where("_known > 0").drop("_known")
@@ -44,26 +50,28 @@ def entity_summary(unified: DataFrame, start: int, end: int, forecast_end: int)
 RANKED = {"rank_end": "nominal_end", "rank_fcst": "nominal_fcst", "rank_ppp_end": "ppp_volume_end", "rank_ppp_fcst": "ppp_volume_fcst"}
 
 
-def common_panel_ranks(summary: DataFrame) -> DataFrame:
+def common_panel_ranks(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Ranks of the entities known at both dates on both bases, and rank changes.
 
     Without any second base the panel is the nominal one. The four measures are ranked together, from
-    bucketed counts (``with_ranks``), not from a single sorted partition.
+    bucketed counts (``with_ranks``), not from a single sorted partition. With ``keys`` (few values, such as
+    the cuts of reports) every value has its own panel and ranks.
     """
+    keys = list(keys)
     summary = materialize(summary, "summary")  # one row per entity, read by every rank
-    no_second = summary.agg(
-        ((F.count("ppp_volume_end") == 0) | (F.count("ppp_volume_fcst") == 0)).alias("x")).scalar()
+    no_second = summary.groupBy(*keys).agg(
+        ((F.count("ppp_volume_end") == 0) | (F.count("ppp_volume_fcst") == 0)).alias("_no_second"))
     nominal = F.col("nominal_end").isNotNull() & F.col("nominal_fcst").isNotNull()
     both = nominal & F.col("ppp_volume_end").isNotNull() & F.col("ppp_volume_fcst").isNotNull()
-    marked = summary.withColumn("_no_second", no_second).withColumn(
-        "in_panel", F.when(F.col("_no_second"), nominal).otherwise(both)).drop("_no_second")
-    long = marked.where("in_panel").select("entity", F.explode(F.array(*[
+    told = summary.join(F.broadcast(no_second), keys) if keys else summary.withColumn("_no_second", no_second.scalar())
+    marked = told.withColumn("in_panel", F.when(F.col("_no_second"), nominal).otherwise(both)).drop("_no_second")
+    long = marked.where("in_panel").select(*keys, "entity", F.explode(F.array(*[
         F.struct(F.lit(rank).alias("measure"), F.col(c).alias("value")) for rank, c in RANKED.items()
-    ])).alias("m")).select("entity", "m.measure", "m.value").where("value IS NOT NULL")
-    ranks = with_ranks(long, ["measure"], "value", descending=True, bounded_groups=True)
-    wide = ranks.groupBy("entity").agg(*[
+    ])).alias("m")).select(*keys, "entity", "m.measure", "m.value").where("value IS NOT NULL")
+    ranks = with_ranks(long, [*keys, "measure"], "value", descending=True, bounded_groups=True)
+    wide = ranks.groupBy(*keys, "entity").agg(*[
         F.max(F.when(F.col("measure") == rank, F.col("rank_min"))).alias(rank) for rank in RANKED])
-    ranked = marked.join(wide, "entity", "left")
+    ranked = marked.join(wide, [*keys, "entity"], "left")
     return ranked.withColumns({
         "rank_change": F.col("rank_end") - F.col("rank_fcst"),
         "rank_gap_bases": F.col("rank_end") - F.col("rank_ppp_end"),

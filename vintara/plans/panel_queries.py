@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from vintara.functions import expr
-from vintara.operators import panel as p, summary as s
+from vintara.operators import panel as p, reports as r, summary as s
 from vintara.plans import inputs
 from vintara.plans.inputs import CUT, END, START, memo
 from vintara.plans.oracle import CTES
 from vintara.plans.registry import register
+from vintara.session import shared_folder
 
 
 @memo
@@ -78,12 +82,19 @@ _wanted = {"nominal": "start mid end fcst", "volume": "start end fcst", "ppp_vol
            "volume_per_capita": "start end fcst", "ppp_volume_per_capita": "end fcst"}
 _levels = [f"{c}_{d}" for c, ds in _wanted.items() for d in ds.split()]
 _growths = [f"cagr_{c}_{k}" for c in ("nominal", "volume", "population", "volume_per_capita") for k in ("hist", "fcst")]
-CTES["esum"] = f"""
+
+
+def _esum(source: str, dates: dict[str, int]) -> str:
+    hist, fcst = dates["end"] - dates["start"], dates["fcst"] - dates["end"]
+    return f"""
 WITH l AS (SELECT entity, arg_min(name, period) AS name, arg_min(grp, period) AS grp,
-  {', '.join(_at(c, d, _dates[d]) for c, ds in _wanted.items() for d in ds.split())}
-  FROM report WHERE NOT is_aggregate GROUP BY 1 HAVING count(nominal) > 0)
-SELECT *, {', '.join(_cagr(c, 'start', 'end', 20) + f' AS cagr_{c}_hist, ' + _cagr(c, 'end', 'fcst', 6) + f' AS cagr_{c}_fcst' for c in ('nominal', 'volume', 'population', 'volume_per_capita'))},
-  nominal_fcst - nominal_end AS nominal_change, {_cagr('nominal', 'start', 'end', 20)} - {_cagr('volume', 'start', 'end', 20)} AS nominal_volume_gap FROM l"""
+  {', '.join(_at(c, d, dates[d]) for c, ds in _wanted.items() for d in ds.split())}
+  FROM {source} WHERE NOT is_aggregate GROUP BY 1 HAVING count(nominal) > 0)
+SELECT *, {', '.join(_cagr(c, 'start', 'end', hist) + f' AS cagr_{c}_hist, ' + _cagr(c, 'end', 'fcst', fcst) + f' AS cagr_{c}_fcst' for c in ('nominal', 'volume', 'population', 'volume_per_capita'))},
+  nominal_fcst - nominal_end AS nominal_change, {_cagr('nominal', 'start', 'end', hist)} - {_cagr('volume', 'start', 'end', hist)} AS nominal_volume_gap FROM l"""
+
+
+CTES["esum"] = _esum("report", _dates)
 CTES["ranked"] = """
 WITH m AS (SELECT *, nominal_end IS NOT NULL AND nominal_fcst IS NOT NULL AND ((ppp_volume_end IS NOT NULL AND ppp_volume_fcst IS NOT NULL)
     OR (SELECT count(ppp_volume_end) = 0 OR count(ppp_volume_fcst) = 0 FROM esum)) AS in_panel FROM esum),
@@ -140,9 +151,54 @@ WITH k AS (SELECT unnest([40, 39, 38, 37, 36])::INTEGER AS cut),
 pth AS (SELECT cut, entity, arg_max(nominal, period) AS fn, count(growth) = max(period) - cut AS chain, max(period) AS last FROM k JOIN forecast ON period > cut GROUP BY 1, 2)
 SELECT k.cut, o.entity FROM k JOIN incomplete o ON o.period = k.cut JOIN pth p ON p.cut = k.cut AND p.entity = o.entity
 WHERE NOT o.is_aggregate AND nominal_raw IS NOT NULL AND ppp_volume_raw IS NOT NULL AND fn IS NOT NULL AND chain AND last = (SELECT max(period) FROM forecast)"""
-register("d9_candidate_panels", lambda a, b: p.candidate_panels(_incomplete(a, b), inputs.forecast_source(a, b), CUT), "SELECT * FROM candidates")
+CANDIDATES = r.candidate_periods(START, CUT)
+
+
+def _at_cut(text: str, cut: int, source: str) -> str:
+    """An expression of the report for another cut, over the source of that cut."""
+    return re.sub(rf"\b(FROM|JOIN) {source}\b", rf"\1 {source}_{cut}", re.sub(r"(= |> |prev, )40\b", rf"\g<1>{cut}", text))
+
+
+for _k in CANDIDATES:
+    CTES[f"observed_{_k}"] = f"SELECT * FROM incomplete WHERE period <= {_k}"
+    CTES[f"forecast_{_k}"] = f"SELECT * REPLACE (period > {_k} AS is_forecast) FROM forecast"
+    CTES[f"unified_{_k}"] = re.sub(r"FROM (observed|forecast)\b", rf"FROM \1_{_k}", CTES["unified"])
+    CTES[f"spliced_{_k}"] = _at_cut(CTES["spliced"], _k, "unified")
+    CTES[f"chained_{_k}"] = _at_cut(CTES["chained"], _k, "spliced")
+    CTES[f"report_{_k}"] = _at_cut(CTES["report"], _k, "chained")
+    CTES[f"esum_{_k}"] = _esum(f"report_{_k}", _dates | {"end": _k})
+    CTES[f"ranked_{_k}"] = _at_cut(CTES["ranked"], _k, "esum")
+CTES["ranks_by_cut"] = " UNION ALL BY NAME ".join(f"SELECT {_k} AS cut, * FROM ranked_{_k}" for _k in CANDIDATES)
+
+
+@memo
+def candidate_ranks(spark, sf):
+    return r.ranked_reports(p.report_panels(_incomplete(spark, sf), inputs.forecast_source(spark, sf), CANDIDATES), START, END)
+
+
+def _two_reports(a, b):
+    """Both reports written, then read back: who has which rank in which, and who lost one."""
+    path = f"{shared_folder(a)}/reports-{uuid.uuid4().hex}"
+    names = list(r.two_reports(_incomplete(a, b), inputs.forecast_source(a, b), p.latest_levels(inputs.panel(a, b).where("NOT is_aggregate")), START, CUT, END, path))
+    lost = r.read_reports(a, path, names, "unranked").withColumn("unranked", F.lit(True))
+    kept = r.read_reports(a, path, names, "summary").join(lost, ["report", "entity"], "left")
+    return kept.select("report", "cut", "entity", "nominal_end", "ppp_volume_fcst", "cagr_volume_hist", "rank_end", "rank_change", "rank_gap_bases", F.coalesce("unranked", F.lit(False)).alias("unranked"))
+
+
+register("d9_candidate_panels", lambda a, b: r.ranked_candidates(candidate_ranks(a, b)), "SELECT * FROM candidates")
+CTES["losses"] = """
+WITH c AS (SELECT cut, entity FROM ranks_by_cut WHERE rank_end IS NOT NULL),
+w AS (SELECT c.entity, coalesce(arg_max(nominal, period), 0) AS w FROM (SELECT DISTINCT entity FROM c) c LEFT JOIN panel p USING (entity) GROUP BY 1)
+SELECT k.cut, count(c.entity) AS entities, coalesce(sum(CASE WHEN c.entity IS NULL THEN w ELSE 0 END) / sum(w) * 100, 0) AS lost_pct
+FROM (SELECT DISTINCT cut FROM c) k CROSS JOIN w LEFT JOIN c ON c.cut = k.cut AND c.entity = w.entity GROUP BY 1"""
+register("d9_two_reports", _two_reports, """
+WITH kept AS (SELECT coalesce((SELECT max(cut) FROM losses WHERE lost_pct < 0.1), (SELECT arg_max(cut, entities * 1000 + cut) FROM losses)) AS ref),
+n AS (SELECT 'reference' AS report, ref AS cut FROM kept UNION ALL SELECT 'recent', 40 FROM kept WHERE ref <> 40)
+SELECT report, cut, entity, nominal_end, ppp_volume_fcst, cagr_volume_hist, rank_end, rank_change, rank_gap_bases,
+  rank_end IS NULL AND entity IN (SELECT x.entity FROM ranks_by_cut x, kept WHERE x.cut = ref AND x.rank_end IS NOT NULL) AS unranked FROM ranks_by_cut JOIN n USING (cut)""",
+         "nominal_end ppp_volume_fcst cagr_volume_hist", 6)
 register("d8_reference_period", lambda a, b: p.reference_period(
-    p.candidate_panels(_incomplete(a, b), inputs.forecast_source(a, b), CUT), p.latest_levels(inputs.panel(a, b).where("NOT is_aggregate"))),
+    r.ranked_candidates(candidate_ranks(a, b)), p.latest_levels(inputs.panel(a, b).where("NOT is_aggregate"))),
     """WITH w AS (SELECT c.entity, coalesce(arg_max(nominal, period), 0) AS w FROM (SELECT DISTINCT entity FROM candidates) c LEFT JOIN panel p USING (entity) GROUP BY 1),
        l AS (SELECT k.cut, count(c.entity) AS entities, coalesce(sum(CASE WHEN c.entity IS NULL THEN w ELSE 0 END) / sum(w) * 100, 0) AS lost_pct
          FROM (SELECT DISTINCT cut FROM candidates) k CROSS JOIN w LEFT JOIN candidates c ON c.cut = k.cut AND c.entity = w.entity GROUP BY 1)
