@@ -36,3 +36,20 @@ def test_ngrams_of_a_long_text_are_those_of_its_stretches():
     counts, letters = grams("ab " * 700_000)
     assert letters == 1_400_000 and counts.shape == (SIZE,)
     assert grams(None)[1] == grams("")[1] == 0
+
+
+def test_sample_is_bounded_by_texts_and_not_by_ids(docs_of, monkeypatch):
+    """One id, or none, for all rows: the model is that of the texts."""
+    rows = [(f"the of and that with {i}", "en") for i in range(300)] + [(f"der die und das nicht {i}", "de") for i in range(300)]
+    models = [fit_language(docs_of([(name(k), *r) for k, r in enumerate(rows)]), F.lit(True), bound=5) for name in (lambda k: k, lambda k: 7, lambda k: None)]
+    assert all(m.languages == ["de", "en"] and np.array_equal(m.centroids, models[0].centroids) for m in models)
+
+
+def test_letters_in_no_order_and_unlearned_languages_are_rejected(spark, docs_of):
+    rng = np.random.default_rng(0)
+    model = fit_language(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), F.lit(True))
+    noise = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(40))) for i in range(30)]
+    unlearned = [(40, "ja pani jest w domu ale nie wiem czy przyjdzie jutro rano z dziećmi bo wszyscy są już bardzo zmęczeni i chcą spać"),
+                 (41, "minä olen talossa mutta en tiedä tuleeko hän huomenna aamulla lasten kanssa koska kaikki ovat jo hyvin väsyneitä ja haluavat nukkua"),
+                 (42, "ben evdeyim ama yarın sabah çocuklarla gelip gelmeyeceğini bilmiyorum çünkü herkes çok yorgun ve uyumak istiyor artık")]
+    assert all(r.rejected for r in predict_language(docs_of(noise + unlearned), model).collect())

@@ -1,14 +1,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vintara.llm.sample import labelled_sample
+from vintara.llm.sample import labelled_sample, sampled_texts
 
 
 @pytest.mark.parametrize("copies", [1, 2000])
 def test_copies_do_not_shrink_the_sample(spark, copies):
-    rows = spark.range(10 * copies).select("id", F.xxhash64(F.col("id") % 10).alias("h"), F.lit("en").alias("lang"))
-    got = labelled_sample(rows, "lang", 50).collect()
-    assert sorted(r.id for r in got) == list(range(10)) and {r.of for r in got} == {10 * copies}
+    rows = spark.range(10 * copies).select((F.col("id") % 10).cast("string").alias("text"), F.lit("en").alias("lang")).withColumn("h", F.xxhash64("text"))
+    got = labelled_sample(rows, "lang", 50)
+    assert {r.of for r in got.collect()} == {10 * copies}
+    assert sorted(r.text for r in sampled_texts(rows, got, ["h", "lang"]).collect()) == [str(k) for k in range(10)]
 
 
 def test_bound_holds(spark):

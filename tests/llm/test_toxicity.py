@@ -1,65 +1,100 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vintara.llm import toxicity
 from vintara.llm.common import fold
-from vintara.llm.toxicity import Index, Vocabulary, fit_toxicity, score_toxicity
+from vintara.llm.toxicity import HALF, Index, fit_toxicity, score_toxicity, terms_of, vector_of
 
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def test_neighbours_equal_brute_force():
+def test_neighbours_and_votes_equal_brute_force():
     rng = np.random.default_rng(7)
     examples = []
     for i in range(900):
-        ids = np.append(np.sort(rng.choice(30, rng.integers(0, 5), replace=False)), 30)
-        examples.append((i, int(rng.integers(2)), 1.0, ids.tolist(), [*rng.integers(1, 5, len(ids) - 1).tolist(), int(rng.integers(1, 400))]))
-    index = Index([str(t) for t in range(30)], rng.integers(1, 400, 30).astype(float), 900, examples, 15)
-    vectors = {}
-    for i, *_, t, c in examples:
-        dense = np.zeros(31)
-        dense[t] = index.vector(np.array(t, int), np.array(c, int))[1]
-        vectors.setdefault(tuple(np.round(dense, 12)), i)
-    matrix = np.array(list(vectors))
+        ids = np.sort(rng.choice(60, rng.integers(0, 9), replace=False))
+        label = int(rng.random() < (0.8 if 3 in ids else 0.2))
+        examples.append((i, label, 2.0 if label else 0.5, ids, rng.integers(1, 5, len(ids)).astype(float)))
+    index = Index([str(t) for t in range(60)], rng.integers(1, 400, 60).astype(float), 900, examples, 15)
+    assert (index.telling >= toxicity.LEAST).all() and index.telling.argmax() == 3
+    entries = {}
+    for i, label, stands, ids, counts in examples:
+        dense = np.zeros(60)
+        dense[ids] = index.scaled(ids, counts)
+        if len(ids):
+            e = entries.setdefault(tuple(np.round(dense, 12)), [i, 0.0, 0.0])
+            e[1], e[2] = e[1] + label * stands, e[2] + stands
+    matrix = np.array(list(entries))
+    facts = list(entries.values())
     for _ in range(80):
-        ids = np.append(np.sort(rng.choice(30, rng.integers(1, 6), replace=False)), 30)
-        counts = np.append(rng.integers(1, 4, len(ids) - 1), rng.integers(1, 300))
-        query = np.zeros(31)
-        query[ids] = index.vector(ids, counts)[1]
-        places, cosines = index.nearest(ids, counts)
-        assert np.allclose(cosines, np.sort(matrix @ query)[::-1][:15])
-        assert np.allclose([matrix[list(vectors.values()).index(i)] @ query for i in index.ids[places]], cosines)
+        ids = np.sort(rng.choice(60, rng.integers(1, 6), replace=False))
+        counts = rng.integers(1, 4, len(ids)).astype(float)
+        query = np.zeros(60)
+        query[ids] = index.scaled(ids, counts)
+        cosines = matrix @ query
+        score, evidence, found = index.score(ids, counts, len(ids))
+        assert np.allclose(found, np.sort(cosines[cosines > 0])[::-1][:15])
+        by_id = {f[0]: (c, f) for c, f in zip(cosines, facts)}
+        assert np.allclose([by_id[i][0] for i in evidence], found)
+        votes = [f[2] / index.unit * HALF / (HALF + math.sqrt(max(2 - 2 * c, 0))) for c, f in (by_id[i] for i in evidence)]
+        shares = [f[1] / f[2] for _, f in (by_id[i] for i in evidence)]
+        assert score == pytest.approx((sum(v * s for v, s in zip(votes, shares)) + 0.5 * index.prior) / (sum(votes) + 0.5))
 
 
 def test_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    index = fit_toxicity(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    model = fit_toxicity(docs, labels, fold(F.col("doc_id"), 4) != 2)
     held = labels.where(fold(F.col("doc_id"), 4) == 2)
-    rows = score_toxicity(docs.join(held.select("doc_id"), "doc_id"), index).join(held, "doc_id").collect()
-    toxic, clean = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
-    assert np.mean([s >= 0.3 for s in toxic]) > 0.85 and np.mean([s >= 0.3 for s in clean]) < 0.01
+    rows = score_toxicity(docs.join(held.select("doc_id"), "doc_id"), model).join(held, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    toxic, clean = np.array([r.score for r in rows if r.toxic == 1]), np.array([r.score for r in rows if r.toxic == 0])
+    assert np.mean(toxic[:, None] > clean) + np.mean(toxic[:, None] == clean) / 2 > 0.97  # area under the curve
+    assert np.mean(toxic >= 0.3) > 0.8 and np.mean(clean >= 0.3) < 0.01
+    worded = [r for r in rows if terms_of((r.text or "").encode())]
+    assert np.mean([len(r.evidence) > 0 for r in worded]) > 0.95
+
+
+def rows_of_insults():
+    return [(i, f"plain words number {i}") for i in range(40)] + [(100 + i, f"IDIOT!! plain words {i}") for i in range(40)]
 
 
 @pytest.mark.parametrize("labelled", [True, False])
 def test_edge_cases(spark, docs_of, labelled):
-    rows = [(i, f"plain words number {i}") for i in range(40)] + [(100 + i, f"IDIOT!! plain words {i}") for i in range(40)]
-    odd = [(None, "idiot"), (200, None), (201, ""), (202, "idiot " * 200_000), (100, "IDIOT!! plain words 0"), (203, "you idiot")]
+    rows = rows_of_insults()
+    odd = [(None, "idiot"), (200, None), (201, ""), (202, "idiot " * 200_000), (100, "IDIOT!! plain words 0"), (203, "you idiot"), (204, "漢字 unseen"), (205, "12 — !")]
     labels = spark.createDataFrame([(i, 1, int(i >= 100)) for i, _ in rows if i is not None] + [(None, 1, 1), (200, 1, None), (100, 1, 0)] if labelled else [], LABELS)
-    docs = docs_of(rows + odd).withColumn("score", F.lit("clash"))
-    index = fit_toxicity(docs, labels, F.lit(True))
-    got = score_toxicity(docs, index).collect()
+    docs = docs_of(rows + odd).withColumns({c: F.lit("clash") for c in ("score", "h", "id", "label", "of")})
+    model = fit_toxicity(docs, labels, F.lit(True))
+    got = score_toxicity(docs, model).collect()
     assert len(got) == len(rows + odd) and all(0 <= r.score <= 1 for r in got)
     by = {r.doc_id: r.score for r in got}
     if labelled:
-        assert by[203] > 0.9 and by[202] > 0.9 and by[None] > 0.9 and by[201] == by[200] < 0.1
+        assert by[203] > 0.9 and by[202] > 0.9 and by[None] > 0.9 and by[201] == by[200] == by[205] == 0.0 and 0 < by[204] < 1
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, score_toxicity(docs, fit_toxicity(docs, labels, F.lit(True))).collect()), key=str)
     else:
         assert set(by.values()) == {0.5}
-    assert score_toxicity(docs.limit(0), index).count() == 0
+    assert score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_sample_is_bounded_by_texts_and_not_by_ids(spark, docs_of):
+    """One id for a thousand rows: every text is an example once, up to the bound."""
+    docs = docs_of([(7, f"IDIOT words {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(1000)] + [(8, "clean words here")] * 50)
+    labels = spark.createDataFrame([(7, 1, 1), (8, 1, 0)], LABELS)
+    index, ids = fit_toxicity(docs, labels, F.lit(True), bound=5)
+    assert len(ids) == 6 and sorted(set(ids)) == [7, 8] and 0 < len(index.ids) <= 6
+
+
+def test_ids_of_text(spark):
+    docs = spark.createDataFrame([("a", "IDIOT words"), ("b", "clean words"), (None, "an IDIOT")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1, 1), ("b", 1, 0)], "doc_id string, quality int, toxic int")
+    got = {r.doc_id: r for r in score_toxicity(docs, fit_toxicity(docs, labels, F.lit(True))).collect()}
+    assert got[None].evidence == ["a"] and got["b"].evidence[0] == "b"
 
 
-def test_words_are_looked_up_by_beginnings():
-    words = Vocabulary({"idiot": 0, "idio-": 1, "lowei-": 2})
-    ids, counts = words.counts("Idiot! LOWEIß other loweichen idiotic".encode())
-    assert dict(zip(ids.tolist(), counts.tolist())) == {0: 1, 1: 2, 2: 2, 3: 1}
+def test_terms_are_whole_runs_of_letters():
+    ids, counts, n = vector_of("Idiot! idiot’s ÉTÉ x2y".encode(), {"idiot": 0, "été": 1, "x": 2})
+    assert dict(zip(ids.tolist(), counts.tolist())) == {0: 2, 1: 1, 2: 1} and n == 5

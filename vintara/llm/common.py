@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(doc_id: Column, folds: int) -> Column:
-    """Fold of a document: crc32 of its id written as text, modulo the number of folds (null id: null)."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+    """Fold of a document: crc32 of its id written as text (a null id as nothing), modulo the number of folds."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
 def new_path(spark: SparkSession, name: str) -> str:

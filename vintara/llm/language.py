@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vintara.llm.common import written
-from vintara.llm.sample import labelled_sample
+from vintara.llm.sample import labelled_sample, sampled_texts
 
 BITS = 12
 SIZE = 1 << BITS
@@ -72,21 +72,21 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     return kept.mapInArrow(predict, schema).withColumnRenamed("id", id_col)
 
 
-def fit_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 1500, clusters: int = 4) -> LanguageModel:
+def fit_language(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", bound: int = 1500, clusters: int = 4) -> LanguageModel:
     """Fit on the rows where ``learn`` holds and language and text are not null.
 
-    Document frequencies cover all those rows; the centroids a sample of at most ``bound``
-    texts per language. Without such rows the model has no language.
+    Document frequencies cover all those rows; the centroids a sample of at most ``bound`` distinct
+    texts per language, whatever the ids. Without such rows the model has no language.
     """
     rows = docs.where(learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
-        docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+        docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), F.xxhash64(docs[text_col].cast("string")).alias("h"))
     counted = rows.select("text").mapInArrow(_frequencies, "feature int, df bigint").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(SIZE + 1)
     for r in counted:  # SIZE + 1 rows at most
         df[r.feature] = r.df
     weights = (np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1).astype(np.float32)
-    sample = written(labelled_sample(rows.select("id", "lang", F.xxhash64("text").alias("h")), "lang", bound).select("id", "lang"), "language-sample")
-    vectors = rows.join(F.broadcast(sample), ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_vectors(weights), "lang string, letters int, vector binary")
+    sample = written(labelled_sample(rows.select("lang", "h"), "lang", bound).select("h", "lang"), "language-sample")
+    vectors = sampled_texts(rows, sample, ["h", "lang"]).select("lang", "text").mapInArrow(_vectors(weights), "lang string, letters int, vector binary")
     fitted = vectors.groupBy("lang").applyInArrow(_clustered(clusters), "lang string, centroid binary, lows array<float>").collect()
     languages = sorted({r.lang for r in fitted})
     if len(languages) > MAX_LANGUAGES:

@@ -1,138 +1,117 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are the letter runs of a text, in lower case, and their beginnings of 4 to 6 letters (insults
-come with many endings); all words without a kept term count as one more term of low weight, so that a
-cosine also tells how dense the telling words are. The fit takes at most ``bound`` examples of each label, keeps the
-``vocabulary`` terms that speak most strongly for label 1 there (likelihood ratio), and weighs them by their
-document frequency over all documents. The index holds each term's postings block by block with the block's
-largest weight, so that blocks whose bound is under the k-th best cosine are skipped: the neighbours are exact.
+Terms are the letter runs of a text, in lower case. The fit takes at most ``bound`` distinct texts of each label as examples and indexes every term
+of theirs. A term's weight is its count times its inverse document frequency over all documents, times its telling: how surely and how much
+more common it is among examples of label 1 (likelihood ratio and lift), but ``LEAST`` at least. So neighbours agree first in telling words and in how dense
+these are, and texts without any are compared by all their words. The index holds each term's postings block by block with the block's
+largest weight; blocks whose bound is under the k-th best cosine are skipped, and the neighbours are exact.
 Votes are weighted by cosine and by how many rows of its label an example stands for, which calibrates the score.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vintara.llm.common import utf8, written
-from vintara.llm.sample import labelled_sample
+from vintara.llm.common import ragged, shipped, utf8, written
+from vintara.llm.sample import labelled_sample, sampled_texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
-HEAD = min(PREFIXES)
-#: Likelihood ratio (chi-square, one degree) that a term needs: one in a hundred thousand by chance.
-SIGNIFICANT = 20.0
-#: Times as common among examples of label 1 as among the others: weaker terms are in most documents and tell little.
-LIFT = 3
-BLOCK = 64
-#: Weight of a word outside the vocabulary, where an inverse document frequency is 1 to about 8.
-OTHER_WEIGHT = 0.05
+#: Likelihood ratio (chi-square, one degree) at which a term has half of its full telling.
+SURE = 20.0
+#: Telling of a term that is no more common under label 1.
+LEAST = 0.01
+BLOCK = 128
 #: Chord distance at which a vote has half the weight of one at distance 0.
-HALF = 0.05
-#: Words that a task remembers before it starts afresh (results don't depend on it).
-REMEMBERED = 600_000
-
-
-def terms_of(word: bytes, heads: set[str] | None = None) -> list[str]:
-    """Terms of a word; of runs that begin with one of the heads, where these are given."""
-    found = []
-    for run in LETTERS.findall(word.decode("utf-8", "replace").lower()):
-        if heads is None or run[:HEAD] in heads:
-            found += [run, *(f"{run[:n]}-" for n in PREFIXES if len(run) >= n)]
-    return found
-
-
-class Vocabulary(dict):
-    """Word -> ids of its terms, worked out on the first sight of a word."""
-
-    def __init__(self, ids: dict[str, int]):
-        super().__init__()
-        self.ids = ids
-        self.heads = {t.rstrip("-")[:HEAD] for t in ids}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        found = tuple(self.ids[t] for t in terms_of(word, self.heads) if t in self.ids)
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of the terms of a whole text; the last id counts the words without any."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        words = text.split()
-        hits = [found for found in map(self.__getitem__, words) if found]
-        other = len(words) - len(hits)
-        if not hits:
-            return np.full(min(other, 1), len(self.ids)), np.full(min(other, 1), other)
-        ids, counts = np.unique(np.array([i for found in hits for i in found], np.int64), return_counts=True)
-        return (np.append(ids, len(self.ids)), np.append(counts, other)) if other else (ids, counts)
+HALF = 0.2
+
+
+def terms_of(text: bytes) -> list[str]:
+    return LETTERS.findall(text.decode("utf-8", "replace").lower())
+
+
+def vector_of(text: bytes, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and counts of a whole text's terms that the examples have, in order, and the number of its terms in all."""
+    counts = Counter(terms_of(text))
+    found = sorted((ids[t], n) for t, n in counts.items() if t in ids)
+    return np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.float64), len(counts)
+
+
+def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Telling of terms that stand in ``a`` of the n1 examples of label 1 and in ``b`` of the n0 others."""
+    if not n1 or not n0:
+        return np.full(len(a), LEAST)
+
+    def part(x: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(x > 0, x * np.log(x * float(n0 + n1) / (total * float(n))), 0.0)
+
+    ratio = 2 * (part(a, a + b, n1) + part(b, a + b, n0) + part(n1 - a, n1 + n0 - a - b, n1) + part(n0 - b, n1 + n0 - a - b, n0))
+    lift = (a / n1) / ((b + 0.5) / n0)
+    return np.where(lift > 1, np.maximum(ratio / (ratio + SURE) * (1 - 1 / np.maximum(lift, 1)) ** 2, LEAST), LEAST)
 
 
 class Index:
     """Block-max inverted index of the examples; examples of one vector are one entry."""
 
-    def __init__(self, terms: list[str], df: np.ndarray, n_docs: int, examples: list[tuple[int, int, float, list[int], list[int]]], k: int):
-        """examples: (id, label, rows it stands for, term ids, counts)."""
+    def __init__(self, terms: list[str], df: np.ndarray, n_docs: int, examples: list[tuple[int, int, float, np.ndarray, np.ndarray]], k: int):
+        """examples: (number, label, rows it stands for, term ids, counts)."""
         self.terms, self.k = terms, k
-        self.idf = np.append(np.log((1 + n_docs) / (1 + df)) + 1, OTHER_WEIGHT)
+        sides = [np.zeros(len(terms)), np.zeros(len(terms))]
+        for _, label, _, ids, _ in examples:
+            sides[label][ids] += 1
+        n1 = sum(e[1] for e in examples)
+        self.telling = telling(sides[1], sides[0], n1, len(examples) - n1)
+        self.weights = (np.log((1 + n_docs) / (1 + df)) + 1) * self.telling
         self.prior = (sum(e[1] * e[2] for e in examples) + 1) / (sum(e[2] for e in examples) + 2)
-        none = [e for e in examples if not any(t < len(terms) for t in e[3])]
-        #: Score of a text without a telling term: the share of label 1 among such examples.
-        self.without = (sum(e[1] * e[2] for e in none) + self.prior) / (sum(e[2] for e in none) + 1)
+        #: Score of a text without a word: nothing in it is toxic, if that could be learned.
+        self.without = 0.0 if 0 < n1 < len(examples) else self.prior
         entries: dict[tuple, list] = {}
-        for i, label, stands, t, c in sorted(examples, key=lambda e: e[0]):
-            ids, weights = self.vector(np.array(t, np.int64), np.array(c, np.int64))
+        for i, label, stands, ids, counts in sorted(examples, key=lambda e: e[0]):
+            values = self.scaled(ids, counts)
             if len(ids):
-                entry = entries.setdefault((tuple(t), tuple(np.round(weights, 12))), [i, 0.0, 0.0, ids, weights])
+                entry = entries.setdefault((ids.tobytes(), values.tobytes()), [i, 0.0, 0.0, ids, values])
                 entry[1] += label * stands
                 entry[2] += stands
-        # Neighbours in this order have like weights, which keeps the bounds of the blocks tight.
-        order = sorted(entries.values(), key=lambda e: (round(20 * self._other(e)), int(e[3][e[4][: len(e[3]) - (e[3][-1] == len(terms))].argmax()]) if e[3][0] < len(terms) else -1, e[0]))
+        # Neighbours in this order share their heaviest term, which keeps the bounds of the blocks tight.
+        order = sorted(entries.values(), key=lambda e: (int(e[3][e[4].argmax()]), -float(e[4].max()), e[0]))
         self.ids = np.array([e[0] for e in order], np.int64)
         self.labels = np.array([e[1] / e[2] for e in order])
         self.stands = np.array([e[2] for e in order])
-        self.other = np.array([self._other(e) for e in order])
-        self.block_max = np.zeros((len(terms) + 1, max(-(-len(order) // BLOCK), 1)))
-        lists: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for place, (*_, ids, weights) in enumerate(order):
-            for term, weight in zip(ids.tolist(), weights.tolist()):
-                if term < len(terms):
-                    at = lists.setdefault((term, place // BLOCK), ([], []))
-                    at[0].append(place % BLOCK)
-                    at[1].append(weight)
-                self.block_max[term, place // BLOCK] = max(self.block_max[term, place // BLOCK], weight)
-        self.postings = {key: (np.array(p), np.array(w)) for key, (p, w) in lists.items()}
         self.unit = float(np.median([e[2] for e in examples])) if examples else 1.0
-
-    def _other(self, entry: list) -> float:
-        return float(entry[4][-1]) if entry[3][-1] == len(self.terms) else 0.0
-
-    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weights = counts * self.idf[ids] if len(ids) else np.zeros(0)
-        norm = np.linalg.norm(weights)
-        return ids, weights / norm if norm else weights
+        n_blocks = max(-(-len(order) // BLOCK), 1)
+        places = np.repeat(np.arange(len(order)), [len(e[3]) for e in order]) if order else np.zeros(0, np.int64)
+        flat = np.concatenate([e[3] for e in order]) if order else np.zeros(0, np.int64)
+        values = np.concatenate([e[4] for e in order]) if order else np.zeros(0)
+        self.block_max = np.zeros((n_blocks, len(terms)), np.float32)
+        np.maximum.at(self.block_max, (places // BLOCK, flat), np.nextafter(values.astype(np.float32), np.float32(2)))  # rounded up
+        by = np.lexsort((places, flat, places // BLOCK))
+        self.starts = np.searchsorted((places // BLOCK * len(terms) + flat)[by], np.arange(n_blocks * len(terms) + 1))
+        self.places, self.values = places[by] % BLOCK, values[by]
+
+    def scaled(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        values = counts * self.weights[ids]
+        norm = np.linalg.norm(values)
+        return values / norm if norm else values
 
     def nearest(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest entries with a term in common, ties to the earlier place."""
-        ids, weights = self.vector(ids, counts)
-        if not len(ids) or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = weights @ self.block_max[ids]
-        telling = [(t, w) for t, w in zip(ids.tolist(), weights.tolist()) if t < len(self.terms)]
-        rest = float(weights[-1]) if ids[-1] == len(self.terms) else 0.0
         places, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
+        if not len(ids) or not len(self.ids):
+            return places, cosines
+        weights = self.scaled(ids, counts)
+        bounds = self.block_max[:, ids] @ weights
         for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or bounds[block] < kth - 1e-12:
+            if bounds[block] <= 0 or bounds[block] < kth - 1e-6:
                 break
-            scores = rest * self.other[block * BLOCK : (block + 1) * BLOCK]
-            for term, weight in telling:
-                if (found := self.postings.get((term, block))) is not None:
-                    scores[found[0]] += weight * found[1]
+            at = block * len(self.terms) + ids
+            starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
+            scores = np.bincount(ragged(self.places, starts, lengths), np.repeat(weights, lengths) * ragged(self.values, starts, lengths), BLOCK)
             here = np.flatnonzero(scores > max(kth - 1e-12, 0))
             places, cosines = np.concatenate([places, here + block * BLOCK]), np.concatenate([cosines, scores[here]])
             best = np.lexsort((places, -np.round(cosines, 12)))[: self.k]
@@ -140,8 +119,8 @@ class Index:
             kth = cosines[-1] if len(best) == self.k else 0.0
         return places, cosines
 
-    def score(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, list[int], list[float]]:
-        if not len(ids) or ids[0] == len(self.terms):
+    def score(self, ids: np.ndarray, counts: np.ndarray, n_terms: int) -> tuple[float, list[int], list[float]]:
+        if not n_terms:
             return float(self.without), [], []
         places, cosines = self.nearest(ids, counts)
         distance = np.sqrt(np.maximum(2 - 2 * cosines, 0))
@@ -151,86 +130,63 @@ class Index:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                 bound: int = 4000, vocabulary: int = 2048, k: int = 15) -> Index:
-    """Learn from labelled documents where ``learn`` (a column over the labels' rows) holds.
+                 bound: int = 600, k: int = 15) -> tuple[Index, list]:
+    """Learn from labelled documents where ``learn`` (a column over the labels' rows) holds: the index, and the ids of its examples by number.
 
-    Null labels, ids and texts teach nothing; of several labels of an id the largest holds. ``bound``
-    limits the examples of each label and so the index; document frequencies cover all documents.
+    Null labels and texts teach nothing, and a null id joins no label; of several labels of an id the largest holds. ``bound``
+    limits the distinct texts of each label, and so the index; a text that has both labels is an example of both. An example's id
+    is the least of the learned documents with its text, of any type; document frequencies cover all documents.
     """
-    marked = labels.where(learn & labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.max(labels[label_col].cast("int")).alias("label"))
+    shipped(docs.sparkSession)
+    marked = labels.where(learn & labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.max((labels[label_col].cast("int") > 0).cast("int")).alias("label"))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    hashes = texts.where("text IS NOT NULL").select("id", F.xxhash64("text").alias("h")).join(marked, "id")
-    sample = written(labelled_sample(hashes, "label", bound), "toxicity-sample")
-    # At most ``bound`` ids a label: sent to the scan, so that no text moves but the examples'.
-    examples = written(texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]), "toxicity-examples")
-    sizes = {r.label: (r.n, r.of) for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.max("of").alias("of")).collect()}
-    (n0, _), (n1, _) = sizes.get(0, (0, 0)), sizes.get(1, (0, 0))
-    seen = examples.select("label", "text").mapInArrow(_distinct_terms, "label int, term string").groupBy("term").agg(
-        F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
-    part = lambda x, total, n: F.when(x > 0, x * F.log(x * float(n0 + n1) / (total * float(n)))).otherwise(0.0)
-    a, b = F.col("a"), F.col("b")
-    c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
-    strength = 2 * (part(a, a + b, n1) + part(b, a + b, n0) + part(c, c + d, n1) + part(d, c + d, n0))
-    telling = seen.where(a * float(n0) >= b * float(LIFT * n1)).withColumn("strength", strength) if n0 and n1 else seen.where("false").withColumn("strength", F.lit(0.0))
-    terms = sorted(r.term for r in telling.where(F.col("strength") > SIGNIFICANT).orderBy(F.desc("strength"), "term").limit(vocabulary).collect())
-    ids = {t: i for i, t in enumerate(terms)}
-    df = np.zeros(len(terms) + 2)
-    for r in texts.select("text").mapInArrow(_frequencies(ids), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    learned = texts.where("text IS NOT NULL").select("id", F.xxhash64("text").alias("h")).join(marked, "id")
+    sample = written(labelled_sample(learned.select("h", "label"), "label", bound), "toxicity-sample")
+    # At most 2 x ``bound`` hashes, sent to the scan, so that no text moves but the examples'.
+    examples = written(sampled_texts(texts.where("text IS NOT NULL").select(F.xxhash64("text").alias("h"), "text"), sample.select("h").distinct(), ["h"]), "toxicity-examples")
+    named = learned.join(F.broadcast(sample.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.min("id").alias("id"))
+    rows = sample.join(examples, "h").join(named, "h").orderBy("h", "label").select("label", "of", "id", "text").toArrow().to_pylist()
+    vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in terms_of(r["text"].encode())}))}
+    sizes = Counter(r["label"] for r in rows)
+    df = np.zeros(len(vocabulary) + 1)
+    for r in texts.select("text").mapInArrow(_frequencies(vocabulary), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():  # the examples' terms
         df[r.term] = r.df
-    vectors = examples.select("id", "label", "of", "text").mapInArrow(_vectors(ids), "id bigint, label int, of bigint, terms array<bigint>, counts array<bigint>").collect()
-    return Index(terms, df[:-2], int(df[-1]), [(r.id, r.label, r.of / sizes[r.label][0], r.terms, r.counts) for r in vectors], k)
+    found = [(i, r["label"], r["of"] / sizes[r["label"]], *vector_of(r["text"].encode(), vocabulary)[:2]) for i, r in enumerate(rows)]
+    return Index(list(vocabulary), df[:-1], int(df[-1]), found, k), [r["id"] for r in rows]
 
 
-def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: tuple[Index, list], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``score`` (0 to 1), ``evidence`` (ids of the nearest examples) and their ``cosines``.
 
-    A null text counts as empty. A text without a telling term, an empty one too, has the share of label 1
-    among the examples without one as its score, and no evidence. Null and repeated ids stay, row by row.
+    A null text counts as empty. A text without a word has the score 0 (the prior share where one label or none was
+    learned) and no evidence, one without a word of any example the prior share. Null and repeated ids stay, row by row; other columns are not read.
     """
+    shipped(docs.sparkSession)
     kept = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sent.value
-        words = Vocabulary({t: i for i, t in enumerate(found.terms)})
+        index, names = sent.value
+        ids = {t: i for i, t in enumerate(index.terms)}
         for batch in batches:
-            scores, evidence, cosines = zip(*[found.score(*words.counts(text)) for text in utf8(batch.column(1))]) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))],
+            scores, evidence, cosines = zip(*[index.score(*vector_of(text, ids)) for text in utf8(batch.column(1))]) if batch.num_rows else ((), (), ())
+            kind = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([[names[i] for i in e] for e in evidence], pa.list_(kind)), pa.array(cosines, pa.list_(pa.float64()))],
                                              ["id", "score", "evidence", "cosines"])
 
-    schema = f"id {kept.schema['id'].dataType.simpleString()}, score double, evidence array<bigint>, cosines array<double>"
-    return kept.mapInArrow(score, schema).withColumnRenamed("id", id_col)
-
-
-def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-            terms = list({t for w in set(text.split()) for t in terms_of(w)})
-            for lo in range(0, len(terms), 100_000):
-                part = terms[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(part), pa.int32()), pa.array(part, pa.string())], ["label", "term"])
+    kind = kept.schema["id"].dataType.simpleString()
+    return kept.mapInArrow(score, f"id {kind}, score double, evidence array<{kind}>, cosines array<double>").withColumnRenamed("id", id_col)
 
 
 def _frequencies(ids: dict[str, int]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, df = Vocabulary(ids), np.zeros(len(ids) + 2, np.int64)  # the last but one stays 0: words without a term
+        df, n = np.zeros(len(ids) + 1, np.int64), 0
         for batch in batches:
             for text in utf8(batch.column(0)):
-                df[list({i for found in map(words.__getitem__, set(text.split())) for i in found})] += 1
-                df[-1] += 1
-            if len(words) > REMEMBERED:
-                words.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], ["term", "df"])
-
-    return of
-
-
-def _vectors(ids: dict[str, int]):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(ids)
-        for batch in batches:
-            found = [words.counts(text) for text in utf8(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([t.tolist() for t, _ in found], pa.list_(pa.int64())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int64()))],
-                                             ["id", "label", "of", "terms", "counts"])
+                df[[ids[t] for t in ids.keys() & set(terms_of(text))]] += 1
+                n += 1
+        df[-1] = n
+        kept = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(df[kept])], ["term", "df"])
 
     return of
