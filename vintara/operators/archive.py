@@ -10,6 +10,10 @@ from vintara.functions import expr, fixed
 from vintara.operators.quantiles import summarise
 
 
+#: Width of a time bucket of the as-of join, in steps of the versions.
+BUCKET = 16
+
+
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, time: str, value: str, width: int) -> DataFrame:
     """Last ``value`` of ``right`` known at or before ``left.at``, by key.
 
@@ -37,23 +41,20 @@ def revisions_since_publication(
 ) -> DataFrame:
     """First publication of every key, its value ``delay`` later, and the latest one.
 
-    A key's versions are one short array, so a single shuffle answers every delay. A delay
+    Every delay asks for the value as of a version; all are answered by one as-of join, so a key may have any number of versions. A delay
     that reaches past the last version is left out.
     """
     bounds = archive.agg(F.min("version").alias("lo"), F.max("version").alias("hi"))
     start = F.floor(bounds.select("lo").scalar() / step) - 1 if first_period is None else F.lit(first_period)
-    last = bounds.select("hi").scalar()
-    history = archive.where(F.col("value").isNotNull()).groupBy("entity", "period").agg(
-        F.sort_array(F.collect_list(F.struct("version", "value"))).alias("_h"))
-    kept = history.withColumns({"_start": start, "_last": last}).where(F.col("period") >= F.col("_start"))
-    asked = kept.select(
-        "entity", "period", F.get("_h", 0)["version"].alias("first_version"), F.get("_h", 0)["value"].alias("first_value"), "_h", "_last",
-        F.explode(F.array(*[F.lit(k) for k in delays], F.lit(None).cast("int"))).alias("_k"))
-    target = F.coalesce(F.col("first_version") + step * F.col("_k"), F.col("_last"))
-    return asked.withColumn("_target", target).where(F.col("_target") <= F.col("_last")).select(
-        "entity", "period", "first_version", "first_value",
-        F.try_element_at(F.filter("_h", lambda h: h["version"] <= F.col("_target")), F.lit(-1))["value"].alias("value"),
-        F.coalesce(F.col("_k").cast("string"), F.lit("latest")).alias("delay"))
+    known = archive.where(F.col("value").isNotNull())
+    first = known.groupBy("entity", "period").agg(F.min("version").alias("first_version"), F.min_by("value", "version").alias("first_value"))
+    asked = first.withColumns({"_start": start, "_last": bounds.select("hi").scalar()}).where(F.col("period") >= F.col("_start")).withColumn(
+        "_k", F.explode(F.array(*[F.lit(k) for k in delays], F.lit(None).cast("int"))))
+    target = F.coalesce(F.col("first_version") + step * F.col("_k"), F.col("_last")).cast(archive.schema["version"].dataType)
+    asked = asked.withColumn("target", target).where(F.col("target") <= F.col("_last")).select(
+        "entity", "period", "target", "first_version", "first_value", F.coalesce(F.col("_k").cast("string"), F.lit("latest")).alias("delay"))
+    return as_of_join(asked, known, ["entity", "period"], "target", "version", "value", BUCKET * step).select(
+        "entity", "period", "first_version", "first_value", "value", "delay")
 
 
 def _with_members(rows: DataFrame, groups: Sequence[str]) -> DataFrame:

@@ -196,11 +196,35 @@ def key_figures(scenarios: DataFrame, entity: str, periods: Sequence[int]) -> Da
         *[F.max(F.when(F.col("scenario") == "central", F.col(p))).alias(p) for p in POPULATIONS])
     figures = {f"{s}_pct": 100 * F.try_divide(F.col(s), F.col("central")) for s in ("low", "high", "low_wide", "high_wide")} | {
         "central": F.col("central"), **{p: F.col(p) for p in POPULATIONS}}
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.concat_ws(" ", F.col("entity"), F.col("period").cast("string"), F.lit(n)).alias("figure"), v.alias("value")) for n, v in figures.items()
+    return _figures(wide, [F.col("entity"), F.col("period").cast("string")], figures)
+
+
+def _figures(rows: DataFrame, name: Sequence[Column], figures: Mapping[str, Column]) -> DataFrame:
+    """One row per figure that has a value: its name, the given parts and its own, and its value."""
+    return rows.select(F.explode(F.array(*[
+        F.struct(F.concat_ws(" ", *name, F.lit(n)).alias("figure"), v.cast("double").alias("value")) for n, v in figures.items()
     ])).alias("f")).select("f.*").where("value IS NOT NULL")
 
 
+def aggregate_figures(control: DataFrame, aggregates: Sequence[str], periods: Sequence[int]) -> DataFrame:
+    """Key figures of aggregates: bounds of the joint draws in % of the central path, with their interval, and the sums of the bounds."""
+    rows = control.where(F.col("aggregate").isin(list(aggregates)) & F.col("period").isin(list(periods)))
+    return _figures(rows, [F.col("aggregate"), F.col("period").cast("string")], {
+        c: F.col(c) for c in ("p10", "p10_ci_low", "p10_ci_high", "p90", "sum_of_lows", "sum_of_highs")})
+
+
+def score_figures(scores: DataFrame) -> DataFrame:
+    """Key figures of the real-time test: coverage with its interval and the scores of the method retained."""
+    names = {"coverage": "coverage_pct", "coverage_low": "coverage_pct_ci_low", "coverage_high": "coverage_pct_ci_high", "score": "score", "weighted_score": "weighted_score"}
+    return _figures(scores.where("retained"), [F.lit("real time")], {n: F.col(c) for n, c in names.items()})
+
+
+def population_figures(summary: DataFrame, horizons: Sequence[int], member: str = fixed.ALL_GROUPS) -> DataFrame:
+    """Key figures of population: share of past projections inside their bounds, in %, by horizon."""
+    rows = summary.where((F.col("member") == member) & F.col("horizon").isin(list(horizons)))
+    return _figures(rows, [F.lit("population"), F.col("horizon").cast("string")], {"share_inside": 100 * F.col("share_inside")})
+
+
 def changed_figures(published: DataFrame, current: DataFrame) -> DataFrame:
     """Published against current key figures: those of both that differ; a figure of one side has nothing to differ from."""
     both = published.select("figure", F.col("value").alias("published")).join(

@@ -267,9 +267,10 @@ def _ci(names):
     return " ".join(f"{n} {n}_ci_low {n}_ci_high" for n in names)
 
 
-register("h3_h4_band_scores", on(lambda p: c.band_scores(p, DRAWS)), _boot("common", "method", _band_sums, _band_stats, """
+CTES["bandscores"] = _boot("common", "method", _band_sums, _band_stats, """
 SELECT *, method = 'class x group' AS retained FROM (SELECT method, count(*) AS cases, min(v) AS first_edition, max(v) AS last_edition, median(hi - lo) AS median_width
-  FROM common GROUP BY 1) JOIN pt USING (method) JOIN cis USING (method)"""), "median_width " + _ci(_band_stats), 3)
+  FROM common GROUP BY 1) JOIN pt USING (method) JOIN cis USING (method)""")
+register("h3_h4_band_scores", on(lambda p: c.band_scores(p, DRAWS)), "SELECT * FROM bandscores", "median_width " + _ci(_band_stats), 3)
 _SUB = {"every case": "true", "without two entities": "entity NOT IN ('E1', 'E2')", "early editions": "v <= 36", "late editions": "v > 36",
         "one group": "grp = 'ASIA'", "other groups": "grp <> 'ASIA'"}
 CTES["subs"] = " UNION ALL ".join(f"SELECT *, '{n}' AS subsample FROM common WHERE method = 'group' AND {p}" for n, p in _SUB.items())

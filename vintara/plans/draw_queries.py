@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vintara.functions import expr
-from vintara.operators import draws as w
+from vintara.operators import calibration as c, draws as w, population as p, scenarios as sc
 from vintara.plans import inputs
-from vintara.plans.calibration_queries import EDITION, levels_at_edition
-from vintara.plans.inputs import memo
+from vintara.plans.calibration_queries import DRAWS, EDITION, levels_at_edition, predictions
+from vintara.plans.inputs import REGIONS, memo
 from vintara.plans.longrun_queries import population_rows
 from vintara.plans.oracle import CTES
 from vintara.plans.registry import register
@@ -122,8 +122,14 @@ register("j12_outside_shares", lambda s, d: w.outside_shares(drawn(s, d), scenar
               max(pop_high_calibrated) FILTER (scenario = 'central') AS ph FROM scen WHERE period IN (46, 55, 60) GROUP BY 1, 2)
             SELECT entity, period, avg(coalesce(level < lo, false)::INT) AS below, avg(coalesce(level > hi, false)::INT) AS above, avg(coalesce(population < pl * (1 - 1e-9), false)::INT) AS population_below,
             avg(coalesce(population > ph * (1 + 1e-9), false)::INT) AS population_above FROM jdrawn JOIN b USING (entity, period) GROUP BY 1, 2""", "below above population_below population_above")
-register("j12_j13_aggregate_control", lambda s, d: w.aggregate_control(drawn(s, d), scenarios(s, d), membership(s, d), PERIODS, BOOTSTRAP),
-         f"""WITH m AS (SELECT entity, 'all' AS aggregate FROM suppliers UNION ALL SELECT entity, grp FROM suppliers WHERE grp IS NOT NULL UNION ALL SELECT entity, 'first nations' FROM suppliers WHERE nk < 6),
+
+
+@memo
+def control(spark, sf):
+    return w.aggregate_control(drawn(spark, sf), scenarios(spark, sf), membership(spark, sf), PERIODS, BOOTSTRAP)
+
+
+CTES["jcontrol"] = f"""WITH m AS (SELECT entity, 'all' AS aggregate FROM suppliers UNION ALL SELECT entity, grp FROM suppliers WHERE grp IS NOT NULL UNION ALL SELECT entity, 'first nations' FROM suppliers WHERE nk < 6),
              t AS (SELECT aggregate, period, draw, sum(total) AS t FROM jdrawn JOIN m USING (entity) WHERE period IN (46, 55, 60) GROUP BY 1, 2, 3),
              b AS (SELECT aggregate, period, count(DISTINCT entity) AS entities, sum(total) FILTER (scenario = 'central') AS c, sum(total) FILTER (scenario = 'low') AS l, sum(total) FILTER (scenario = 'high') AS h
                FROM scen JOIN m USING (entity) WHERE period IN (46, 55, 60) GROUP BY 1, 2),
@@ -133,9 +139,28 @@ register("j12_j13_aggregate_control", lambda s, d: w.aggregate_control(drawn(s,
              v AS (SELECT aggregate, period, d, quantile_cont(rel, 0.1) AS p10, quantile_cont(rel, 0.9) AS p90 FROM s JOIN k USING (i) JOIN r USING (ep) GROUP BY 1, 2, 3),
              ci AS (SELECT aggregate, period, quantile_cont(p10, 0.025) AS p10_ci_low, quantile_cont(p10, 0.975) AS p10_ci_high, quantile_cont(p90, 0.025) AS p90_ci_low, quantile_cont(p90, 0.975) AS p90_ci_high FROM v GROUP BY 1, 2)
              SELECT * FROM (SELECT aggregate, period, max(entities) AS entities, count(*) AS draws, quantile_cont(rel, 0.1) AS p10, median(rel) AS p50, quantile_cont(rel, 0.9) AS p90, 100 * max(l) / max(c) AS sum_of_lows,
-               100 * max(h) / max(c) AS sum_of_highs FROM r GROUP BY 1, 2) JOIN ci USING (aggregate, period)""",
+               100 * max(h) / max(c) AS sum_of_highs FROM r GROUP BY 1, 2) JOIN ci USING (aggregate, period)"""
+register("j12_j13_aggregate_control", lambda s, d: control.build(s, d), "SELECT * FROM jcontrol",
          "p10 p50 p90 sum_of_lows sum_of_highs p10_ci_low p10_ci_high p90_ci_low p90_ci_high", 3)
 register("b28_inverse_normal", lambda s, d: w.population_levels(past_positions(s, d), inputs.suppliers(s, d).select("entity")).groupBy("k", "level_q").agg(F.count(F.lit(1)).alias("n")).withColumn(
     "z", expr.inverse_normal("level_q")),
     """SELECT k, level_q, count(*) AS n, (CASE k WHEN 1 THEN -1.2815515655446008 WHEN 2 THEN -0.5244005127080409 WHEN 3 THEN 0.0 WHEN 4 THEN 0.5244005127080407 ELSE 1.2815515655446008 END)::DOUBLE AS z
        FROM jplev GROUP BY 1, 2""", "level_q z", 6)
+
+
+def figures(s, d):
+    """The four families of key figures: an entity's bands and populations, aggregates, real-time scores, population bounds."""
+    parts = [sc.key_figures(scenarios(s, d), "E3", PERIODS), sc.aggregate_figures(control(s, d), ("all", "EUROPE"), PERIODS),
+             sc.score_figures(c.band_scores(predictions(s, d), DRAWS)), sc.population_figures(p.deviation_summary(population_rows(s, d), REGIONS), (1, 5))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _figures_sql(table: str, name: str, figures: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {name} || ' {n}' AS figure, ({e})::DOUBLE AS value FROM {table}" for n, e in figures.items())
+
+
+CTES["allfigures"] = "SELECT * FROM figures UNION ALL " + " UNION ALL ".join(f"SELECT * FROM ({x}) WHERE value IS NOT NULL" for x in (
+    _figures_sql("jcontrol WHERE aggregate IN ('all', 'EUROPE')", "aggregate || ' ' || period", {c_: c_ for c_ in ("p10", "p10_ci_low", "p10_ci_high", "p90", "sum_of_lows", "sum_of_highs")}),
+    _figures_sql("bandscores WHERE retained", "'real time'", {"coverage": "coverage_pct", "coverage_low": "coverage_pct_ci_low", "coverage_high": "coverage_pct_ci_high", "score": "score", "weighted_score": "weighted_score"}),
+    _figures_sql("podev WHERE member = 'all' AND horizon IN (1, 5)", "'population ' || horizon", {"share_inside": "100 * share_inside"})))
+register("x_key_figures", figures, "SELECT * FROM allfigures", "value", 3)

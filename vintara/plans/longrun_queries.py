@@ -180,11 +180,11 @@ JOIN posmooth k ON k.size = CASE WHEN b.median > 22 THEN 'large' ELSE 'small' EN
 register("p1_b12_projection_errors", lambda s, d: p.projection_errors(past_revisions(s, d), current_population(s, d), CURRENT, SIZE), "SELECT * FROM poerr", "error_pct", 6)
 register("p3_p4_current_bounds", lambda s, d: p.current_bounds(current_population(s, d), CURRENT), "SELECT * FROM pobnd", "low_pct high_pct", 6)
 register("p2_p5_b21_standardised_deviations", lambda s, d: population_rows.build(s, d), "SELECT * FROM poz", "error_pct low_pct high_pct z", 6)
-register("p6_deviation_summary", lambda s, d: p.deviation_summary(population_rows(s, d), REGIONS),
-         """WITH m AS (SELECT 'all' AS member, * FROM poz UNION ALL SELECT grp, * FROM poz WHERE grp IS NOT NULL UNION ALL SELECT size, * FROM poz),
+CTES["podev"] = """WITH m AS (SELECT 'all' AS member, * FROM poz UNION ALL SELECT grp, * FROM poz WHERE grp IS NOT NULL UNION ALL SELECT size, * FROM poz),
             x AS (SELECT member, horizon, count(*) AS cases, count(DISTINCT revision) AS revisions, avg(inside::INT) AS share_inside, quantile_cont(error_pct, 0.1) AS p10, median(error_pct) AS p50,
               quantile_cont(error_pct, 0.9) AS p90, median(abs(error_pct)) AS median_abs, median(low_pct) AS median_low, median(high_pct) AS median_high FROM m GROUP BY 1, 2)
-            SELECT *, (1 / (1 + p90 / 100) - 1) * 100 AS outcome_low_pct, (1 / (1 + p10 / 100) - 1) * 100 AS outcome_high_pct FROM x""",
+            SELECT *, (1 / (1 + p90 / 100) - 1) * 100 AS outcome_low_pct, (1 / (1 + p10 / 100) - 1) * 100 AS outcome_high_pct FROM x"""
+register("p6_deviation_summary", lambda s, d: p.deviation_summary(population_rows(s, d), REGIONS), "SELECT * FROM podev",
          "share_inside p10 p50 p90 median_abs median_low median_high outcome_low_pct outcome_high_pct", 6)
 register("p7_p8_multipliers", lambda s, d: p.multipliers(population_rows(s, d), 4, EXTRAPOLATED), "SELECT * FROM pocal",
          "k_low k_high share_inside k_high_observed k_low_observed share_inside_calibrated", 3)

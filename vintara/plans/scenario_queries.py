@@ -160,7 +160,6 @@ WITH k AS (SELECT entity, period, {', '.join(f"max(level) FILTER (scenario = '{n
   FROM scen WHERE entity = 'E3' AND period IN (46, 55, 60) GROUP BY 1, 2),
 f AS ({' UNION ALL '.join(f"SELECT entity || ' ' || period || ' {n}' AS figure, {e} AS value FROM k" for n, e in [(f'{n}_pct', f'100 * {n} / central') for n in ('low', 'high', 'low_wide', 'high_wide')] + [('central', 'central')] + [(q, q) for q in s.POPULATIONS])})
 SELECT * FROM f WHERE value IS NOT NULL"""
-register("x_key_figures", lambda a, b: s.key_figures(scenarios(a, b), "E3", (46, 55, 60)), "SELECT * FROM figures", "value")
 
 
 def _changed(spark, sf):
