@@ -107,3 +107,11 @@ def test_without_a_budget_every_document_comes(docs_of):
     rows = [(i, "w " * (i % 9 + 1), "en", "a" if i % 4 else "b") for i in range(200)]
     got = mixed(docs_of(rows), repetition=1.25).collect()
     assert {r.doc_id for r in got} == set(range(200)) and max(r.mix.epoch for r in got) <= 1
+
+
+def test_columns_of_any_name_stay(docs_of):
+    names = ["_source", "_block", "_draw", "_own", "_pass", "_upto", "_blocks", "__own", "source_", "epoch", "of", "rank"]
+    docs = docs_of([(i, "w " * (i % 9 + 1), "en", "a" if i % 4 else "b") for i in range(60)]).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in [*names, "mix"]})
+    out = mixed(docs, repetition=1.25)
+    assert out.columns == [*[c for c in docs.columns if c != "mix"], "mix"]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names) and {r.doc_id for r in out.collect()} == set(range(60))

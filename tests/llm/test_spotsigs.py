@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vintara.llm.spotsigs import ANCHORS, fingerprints, likeness, near_sets, sketch, with_signatures
+from vintara.llm.spotsigs import ANCHORS, fingerprints, likeness, near_sets, with_signatures
 
 
 def chains(text):
@@ -64,7 +64,7 @@ def test_given_documents(spark):
 
 def test_likeness_is_jaccard_of_small_sets(spark):
     a, b = "the red ring and the blue stone of a tall wall", "the red ring and the blue stone of a small door"
-    r = with_signatures(with_signatures(spark.createDataFrame([(a, b)], "a string, b string"), "a", "x"), "b", "y").withColumn("l", likeness(sketch(F.col("x")), sketch(F.col("y")))).first()
+    r = with_signatures(with_signatures(spark.createDataFrame([(a, b)], "a string, b string"), "a", "x"), "b", "y").withColumn("l", likeness(F.col("x"), F.col("y"))).first()
     assert r.l == len(set(r.x) & set(r.y)) / len(set(r.x) | set(r.y)) and 0 < r.l < 1
 
 
@@ -87,3 +87,10 @@ def test_one_signature_of_a_thousand_counts(spark, docs_of):
     assert len({r.fingerprint for r in got.values()}) == 3 and min(map(len, sets)) > 700
     for i, following in ((2, 1), (1, 0), (0, 2)):
         assert got[i].near_next == len(sets[i] & sets[following]) / len(sets[i] | sets[following]) < 1
+
+
+def test_scripts_without_spaces_are_cut_into_characters(docs_of):
+    text = "春になると公園の桜が咲き始めて多くの人が写真を撮りに来ます。夏は海で泳ぐ人が増えて夜には花火も上がります。秋は山が赤く染まり冬は雪が静かに降ります。毎年同じ景色を見ても飽きることはありません。"
+    changed = text.replace("夏は海で泳ぐ人が増えて", "梅雨の間は家で本を読み")
+    found = {r.doc_id: r for r in fingerprints(docs_of([(3, text), (2, changed), (1, "ภาษาไทยเขียนติดกัน")])).collect()}
+    assert 0.3 < found[3].near_next < 1 and found[2].near_next == 0

@@ -83,7 +83,7 @@ def mixed(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str
     """Rows of ``docs`` as often as the mixture takes them, all columns, with ``mix``: a struct of the source's
     exponent, weight and budget, the document's tokens, epoch, block (rank in the epoch's permutation) and draw (order in the block).
 
-    Sort by epoch, block and draw for the order of training. A source never gets more tokens than its
+    A column ``mix`` of the documents is replaced; any other name may be theirs. Sort by epoch, block and draw for the order of training. A source never gets more tokens than its
     budget; it gets less by under one document. A null source counts as ``''``. A document without a word (null
     text too) has no tokens and comes with the blocks and draws of its own place. Rows of the same source and id share
     their draws and come together. An empty table gives no rows. Targets: see ``source_weights``.
@@ -110,11 +110,18 @@ def mixed(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str
     cut = cut.withColumn("draw", draw(F.col("id"), F.col("epoch")))
     so_far = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("draw").rangeBetween(Window.unboundedPreceding, 0))
     upto = cut.withColumn("so_far", so_far).where("so_far <= room").groupBy("source").agg(F.max("draw").alias("upto"))
+    free = "_"  # begins no column of the documents
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    at = lambda name: free + name
     table = passes.join(F.broadcast(upto), "source", "left").select(
-        F.col("source").alias("_source"), F.col("block").alias("_block"), F.struct("exponent", "weight", "budget", "epoch", F.col("rank").alias("block")).alias("_pass"),
-        F.when(F.col("cut"), F.coalesce("upto", F.lit(-1))).alias("_upto"))
-    counts = counts.select(F.col("source").alias("_source"), F.col("blocks").alias("_blocks"))
-    placed = docs.select(docs["*"], own.alias("_own")).withColumn("_source", F.col("_own.source")).join(F.broadcast(counts), "_source")
-    placed = placed.withColumn("_block", block(F.col("_own.id"), F.col("_blocks"))).join(table, ["_source", "_block"])
-    placed = placed.withColumn("_draw", draw(F.col("_own.id"), F.col("_pass.epoch"))).where(F.col("_upto").isNull() | (F.col("_draw") <= F.col("_upto")))
-    return placed.select(*[placed[c] for c in docs.columns], F.struct("_pass.exponent", "_pass.weight", "_pass.budget", F.col("_own.tokens").alias("tokens"), "_pass.epoch", "_pass.block", F.col("_draw").alias("draw")).alias("mix"))
+        F.col("source").alias(at("source")), F.col("block").alias(at("block")), F.struct("exponent", "weight", "budget", "epoch", F.col("rank").alias("block")).alias(at("pass")),
+        F.when(F.col("cut"), F.coalesce("upto", F.lit(-1))).alias(at("upto")))
+    counts = counts.select(F.col("source").alias(at("source")), F.col("blocks").alias(at("blocks")))
+    placed = docs.select(docs["*"], own.alias(at("own"))).withColumn(at("source"), F.col(at("own"))["source"]).join(F.broadcast(counts), at("source"))
+    placed = placed.withColumn(at("block"), block(F.col(at("own"))["id"], F.col(at("blocks")))).join(table, [at("source"), at("block")])
+    placed = placed.withColumn(at("draw"), draw(F.col(at("own"))["id"], F.col(at("pass"))["epoch"])).where(F.col(at("upto")).isNull() | (F.col(at("draw")) <= F.col(at("upto"))))
+    taken = F.col(at("pass"))
+    return placed.select(*[placed[c] for c in docs.columns if c != "mix"], F.struct(
+        taken["exponent"].alias("exponent"), taken["weight"].alias("weight"), taken["budget"].alias("budget"), F.col(at("own"))["tokens"].alias("tokens"),
+        taken["epoch"].alias("epoch"), taken["block"].alias("block"), F.col(at("draw")).alias("draw")).alias("mix"))

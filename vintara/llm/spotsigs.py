@@ -19,7 +19,9 @@ ANCHORS = ("a an and are as at be by for from had has have he her his in is it i
            "au aux ce dans des du elle en est et il je la le les ne nous ou par pas pour qui que se sont sur un une "
            "als auch auf aus bei das dem den der die ein eine es für ich im ist mit nicht sich sie sind und von wird zu "
            "al como con de del el ella los las lo más no para pero por según si sin su sus una y").split()
-CHAIN, EVERY, KEPT = 2, 8, 64
+CHAIN, EVERY = 2, 8
+#: Scripts that are written without spaces (Thai to Khmer, kana and Han): each of their characters is a word.
+UNSPACED = r"([\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}])"
 
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -28,7 +30,8 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     The steps are columns of their own: functions of arrays work out their arguments as often as they
     name them, and a text should be cut once.
     """
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), UNSPACED, " $1 ")
+    words = F.regexp_replace(apart, r"[^\p{L}\p{N}]+", " ")
     anchored = F.regexp_replace(F.concat(F.lit(" "), F.trim(words), F.lit(" ")), f"(?<= )({'|'.join(dict.fromkeys(ANCHORS))}) ", "$1^")
     following = [F.slice("_bare", k + 1, F.greatest(F.size("_bare") - k, F.lit(0))).alias(f"n{k}") for k in range(1, CHAIN)]
     begins = lambda p: (p["b"] != "") & (F.contains(p["m"], F.lit("^")) | (F.pmod(F.hash(p["b"]), F.lit(EVERY)) == 0))
@@ -41,10 +44,6 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.size("_found") > 0, F.col("_found")).otherwise(whole)).drop("_marked", "_bare", "_pairs", "_found")
 
 
-def sketch(found: Column) -> Column:
-    return F.slice(found, 1, KEPT)
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets, 0 to 1."""
     common = F.size(F.array_intersect(a, b))

@@ -38,8 +38,10 @@ def terms_of(text: bytes) -> list[str]:
 def vector_of(text: bytes, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids and counts of a whole text's terms that the examples have, in order, and the number of its terms in all."""
     counts = Counter(terms_of(text))
-    found = sorted((ids[t], n) for t, n in counts.items() if t in ids)
-    return np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.float64), len(counts)
+    found = [t for t in counts if t in ids]
+    places = np.array([ids[t] for t in found], np.int64)
+    order = np.argsort(places)
+    return places[order], np.array([counts[t] for t in found], np.float64)[order], len(counts)
 
 
 def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -92,7 +94,7 @@ class Index:
         np.maximum.at(self.block_max, (places // BLOCK, flat), np.nextafter(values.astype(np.float32), np.float32(2)))  # rounded up
         by = np.lexsort((places, flat, places // BLOCK))
         self.starts = np.searchsorted((places // BLOCK * len(terms) + flat)[by], np.arange(n_blocks * len(terms) + 1))
-        self.places, self.values = places[by] % BLOCK, values[by]
+        self.places, self.values, self.numbers = places[by] % BLOCK, values[by], np.arange(len(by))
 
     def scaled(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         values = counts * self.weights[ids]
@@ -111,7 +113,8 @@ class Index:
                 break
             at = block * len(self.terms) + ids
             starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
-            scores = np.bincount(ragged(self.places, starts, lengths), np.repeat(weights, lengths) * ragged(self.values, starts, lengths), BLOCK)
+            held = ragged(self.numbers, starts, lengths)
+            scores = np.bincount(self.places[held], np.repeat(weights, lengths) * self.values[held], BLOCK)
             here = np.flatnonzero(scores > max(kth - 1e-12, 0))
             places, cosines = np.concatenate([places, here + block * BLOCK]), np.concatenate([cosines, scores[here]])
             best = np.lexsort((places, -np.round(cosines, 12)))[: self.k]
