@@ -2,6 +2,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from vintara.llm import token_counts as token_counts_module
 from vintara.llm.token_counts import token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -34,3 +35,16 @@ def test_empty_table_and_clashing_columns(docs_of):
 def test_refuses_tokenizers_that_keep_white_space():
     with pytest.raises(ValueError):
         token_counts(None, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 1 << 16])
+def test_common_and_joined_pre_tokens_add_up(docs_of, monkeypatch, frequent):
+    """With any number of pre-tokens sent to the scan the counts are those of the library; each pre-token is cut once."""
+    monkeypatch.setattr(token_counts_module, "FREQUENT", frequent)
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [" ".join(f"word{(i * k) % 17}{'!' * (k % 3)}" for k in range(40)) for i in range(30)] + TEXTS
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs_of(list(enumerate(texts))).repartition(4), PATH).collect()}
+    assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
+    with open(PATH, encoding="utf-8") as file:
+        table = token_counts_module.pre_tokens(docs_of(list(enumerate(texts))).repartition(4), file.read()).collect()
+    assert len({bytes(r.word) for r in table}) == len(table) == len({w for t in texts for w in (t or "").encode().split()})
