@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 from vintara.llm.common import shipped, slices, utf8, written
 
 #: Bytes of distinct pre-tokens that a task counts before it passes them on (results don't depend on it).
-TABLE_BYTES = 32 << 20
-#: Pre-tokens that are sent to the scan, and the bytes that one may have: 6 MB at most.
-FREQUENT, SHORT = 1 << 16, 96
+TABLE_BYTES = 64 << 20
+#: Pre-tokens that are sent to the scan, and the bytes that one may have: 25 MB at most.
+FREQUENT, SHORT = 1 << 18, 96
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
