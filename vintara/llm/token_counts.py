@@ -37,7 +37,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     shipped(docs.sparkSession)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     table = pre_tokens(texts, vocabulary)
-    common = table.where(F.octet_length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "pieces").toArrow()
+    common = _most_frequent(table.where(F.octet_length("word") <= SHORT)).select("word", "pieces").toArrow()
     known = dict(zip(common.column("word").to_pylist(), common.column("pieces").to_pylist()))
     schema = f"id {texts.schema['id'].dataType.simpleString()}, n_bytes bigint, n_common bigint, rare array<struct<word:binary,n:bigint>>"
     rows = written(texts.mapInArrow(_frequencies(docs.sparkSession.sparkContext.broadcast(known)), schema).withColumn("row", F.monotonically_increasing_id()), "token-rows")
@@ -46,6 +46,19 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     return rows.join(summed, "row", "left").select(F.col("id").alias(id_col), "n_bytes", (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_tokens"))
 
 
+def _most_frequent(table: DataFrame) -> DataFrame:
+    """The most frequent rows of (word, n), ``FREQUENT`` at most, by a limit of n from counts of counts: no table is sorted."""
+    level = F.floor(F.log2("n") * 16)
+    sizes = table.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()  # about a thousand rows at most
+    least, total = float("inf"), 0
+    for r in sorted(sizes, key=lambda r: -r.level):
+        total += r.words
+        if total > FREQUENT:
+            break
+        least = r.level
+    return table.where(level >= F.lit(least))
+
+
 def pre_tokens(texts: DataFrame, vocabulary: str) -> DataFrame:
     """(word, n, pieces): the distinct pre-tokens of all texts, their occurrences, and the number of pieces of each."""
     counted = texts.where("text IS NOT NULL").select("text").mapInArrow(_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
