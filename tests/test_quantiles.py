@@ -108,3 +108,19 @@ def test_as_of_join_against_a_plain_search(spark):
     for r in left.itertuples():
         known = right[(right["k"] == r.k) & (right["t"] <= r.at)].sort_values("t")
         assert (np.isnan(got[r.id]) if known.empty else got[r.id] == known["v"].iloc[-1])
+
+
+def test_many_groups_spread_over_cells_are_counted_before_they_are_sent(spark):
+    """A row belongs to several cells: the plan counts rows by what makes a cell, and no sketch is kept for each."""
+    rows = [(i % 3, i % 5, "AB"[i % 2] if i % 7 else None, float((i * 37) % 101) if i % 11 else None, float(i % 4)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "h int, cls int, grp string, x double, tied double")
+    members = F.filter(F.array(F.concat(F.lit("c"), "cls"), F.concat(F.lit("g"), "grp"), F.lit("all")), lambda m: m.isNotNull())
+    targets = {"lo": ("x", 0.1), "mid": ("x", 0.5), "hi": ("x", 0.9), "tie": ("t", 0.3)}
+    got = grouped_quantiles(df, ["h"], {"x": "x", "t": "tied"}, targets, spread=("cell", members, ["cls", "grp"])).toPandas().set_index(["h", "cell"])
+    pdf = df.toPandas()
+    assert len(got) == 3 * (5 + 2 + 1)
+    for (h, cell), row in got.iterrows():
+        part = pdf[pdf.h == h]
+        part = part if cell == "all" else part[part.cls == int(cell[1:])] if cell[0] == "c" else part[part.grp == cell[1:]]
+        for name, column, p in (("lo", "x", 0.1), ("mid", "x", 0.5), ("hi", "x", 0.9), ("tie", "tied", 0.3)):
+            assert abs(row[name] - part[column].dropna().quantile(p)) < 1e-9
