@@ -124,3 +124,18 @@ def test_many_groups_spread_over_cells_are_counted_before_they_are_sent(spark):
         part = part if cell == "all" else part[part.cls == int(cell[1:])] if cell[0] == "c" else part[part.grp == cell[1:]]
         for name, column, p in (("lo", "x", 0.1), ("mid", "x", 0.5), ("hi", "x", 0.9), ("tie", "tied", 0.3)):
             assert abs(row[name] - part[column].dropna().quantile(p)) < 1e-9
+
+
+def test_any_number_of_quantiles_of_rows_in_several_groups(spark):
+    """A row belongs to several cells; rows are counted by what makes a cell, and only the buckets that hold a wanted rank are read again."""
+    rows = [(i % 2, i % 5, "AB"[i % 2] if i % 7 else None, float((i * 7919) % 3001) if i % 11 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "h int, cls int, grp string, x double")
+    members = F.filter(F.array(F.concat(F.lit("c"), "cls"), F.concat(F.lit("g"), "grp"), F.lit("all")), lambda m: m.isNotNull())
+    wanted = [(h, cell, k, (k - 0.5) / 9) for h in (0, 1) for cell in ("c0", "c3", "gA", "gB", "all", "nowhere") for k in range(1, 10)]
+    got = quantiles_at(df, ["h", "cell"], "x", spark.createDataFrame(wanted, "h int, cell string, k int, p double"), spread=("cell", members, ["cls", "grp"])).toPandas()
+    pdf = df.toPandas().dropna(subset=["x"])
+    own = lambda h, cell: pdf[(pdf.h == h) & (True if cell == "all" else pdf.cls == int(cell[1:]) if cell[0] == "c" else pdf.grp == cell[1:])]
+    known = {(h, cell) for h, cell, _, _ in wanted if cell != "nowhere" and len(own(h, cell))}
+    assert {(r.h, r.cell) for r in got.itertuples()} == known and len(got) == 9 * len(known)
+    for r in got.itertuples():
+        assert r.q == pytest.approx(own(r.h, r.cell)["x"].quantile(r.p), abs=1e-9)

@@ -18,6 +18,17 @@ def past_cells(levels: DataFrame, horizons: int, min_cell: int = fixed.MIN_CELL)
 
     Positions are average ranks attached bucket by bucket: a cell may hold any number of cases, and a value any share of it.
     """
+    placed, cells = _placed_cases(levels, horizons, min_cell)
+    return _with_positions(placed), cells
+
+
+def _with_positions(placed: DataFrame) -> DataFrame:
+    ranks = with_ranks(placed, ["horizon", "cell"], "level_error_own")
+    return ranks.withColumn("u", (F.col("rank_avg") - 0.5) / F.col("n")).drop("rank_min", "rank_avg", "n")
+
+
+def _placed_cases(levels: DataFrame, horizons: int, min_cell: int) -> tuple[DataFrame, DataFrame]:
+    """Past cases with their retained cell, written, and the cells' sizes."""
     past = levels.where(
         F.col("horizon").between(0, horizons) & F.col("level_error_own").isNotNull() & F.col("projected_growth_pct").isNotNull())
     edges = quantile_edges(past, ["horizon"], "projected_growth_pct")
@@ -25,8 +36,7 @@ def past_cells(levels: DataFrame, horizons: int, min_cell: int = fixed.MIN_CELL)
     sizes = classed.select("horizon", F.explode(memberships()).alias("cell")).groupBy("horizon", "cell").agg(F.count(F.lit(1)).alias("n0"))
     cells = materialize(sizes, "draw_cells")
     placed = materialize(with_cells(classed, cells, ["horizon"], min_cell).withColumn("cell", F.col("_cell")).drop("_cell", "_q0", "_class", "_group", "_all"), "draw_placed")
-    ranks = with_ranks(placed, ["horizon", "cell"], "level_error_own")
-    return ranks.withColumn("u", (F.col("rank_avg") - 0.5) / F.col("n")).drop("rank_min", "rank_avg", "n"), cells
+    return placed, cells
 
 
 def eligible_editions(levels: DataFrame, horizon: int, minimum: int = fixed.MIN_ENTITIES_PER_DRAW) -> DataFrame:
@@ -43,7 +53,7 @@ def positions(placed: DataFrame, editions: DataFrame, entities: DataFrame, horiz
         "horizon", F.explode(F.sequence(F.lit(0), F.lit(horizons))))
     known = placed.groupBy("horizon", "edition", "entity").agg(F.avg("u").alias("u"))
     rows = materialize(grid.join(known, ["horizon", "edition", "entity"], "left"), "positions")
-    by_group = grouped_quantiles(rows, ["horizon", "edition", "grp"], {"u": "u"}, {"_ug": ("u", 0.5)})
+    by_group = materialize(grouped_quantiles(rows, ["horizon", "edition", "grp"], {"u": "u"}, {"_ug": ("u", 0.5)}), "group_positions")
     by_edition = grouped_quantiles(rows, ["horizon", "edition"], {"u": "u"}, {"_ue": ("u", 0.5)}, bounded_groups=True)
     return rows.join(by_group, ["horizon", "edition", "grp"], "left").join(
         F.broadcast(by_edition), ["horizon", "edition"], "left").select(
@@ -62,16 +72,15 @@ def ratios_to_horizon(levels: DataFrame, bands: DataFrame, editions: DataFrame,
 
     The levels are asked for as a table, once for each cell, and answered by rank selection in one plan, whatever their number.
     """
-    placed, cells = past_cells(levels, horizons, min_cell)
+    placed, cells = _placed_cases(levels.select("entity", "grp", "edition", "horizon", "projected_growth_pct", "level_error_own"), horizons, min_cell)
     entities = bands.groupBy("entity").agg(F.min("grp").alias("grp"))
-    levels_q = materialize(quantile_levels(positions(placed, editions, entities, horizons), ["horizon", "entity"], "edition"), "draw_levels")
-    classed = placed.select("horizon", "cls", "grp", "level_error_own")
-    members = classed.select("horizon", "level_error_own", F.explode(memberships()).alias("cell"))
+    levels_q = materialize(quantile_levels(positions(_with_positions(placed), editions, entities, horizons), ["horizon", "entity"], "edition"), "draw_levels")
     now = bands.select("entity", "grp", "horizon", "cls")
     now = with_cells(now, cells, ["horizon"], min_cell).select("entity", "horizon", F.col("_cell").alias("cell"))
     drawn = materialize(levels_q.join(now, ["horizon", "entity"], "left").withColumn("cell", F.coalesce("cell", F.lit("all"))), "draw_asked")
     asked = drawn.select("horizon", "cell", "k", "n").distinct().withColumn("p", (F.col("k") - 0.5) / F.col("n"))
-    table = quantiles_at(members, ["horizon", "cell"], "level_error_own", asked, placed.select("level_error_own")).drop("p")
+    cases = placed.select("horizon", "cls", "grp", "level_error_own")
+    table = materialize(quantiles_at(cases, ["horizon", "cell"], "level_error_own", asked, cases.select("level_error_own"), ("cell", memberships(), ["cls", "grp"])).drop("p"), "draw_quantiles")
     return drawn.join(table, ["horizon", "cell", "k", "n"]).select(
         F.col("edition").alias("draw"), "entity", "horizon", F.try_divide(F.lit(1.0), 1 + F.col("q") / 100).alias("ratio"))
 
