@@ -137,3 +137,18 @@ def test_long_run_extremes_by_the_whole_period(spark):
     rows = [("Z", s, 2030 + k, g ** k) for s, g in (("BAU1", 1.01), ("P", 0.99), ("Q", 1.03)) for k in range(4)]
     got = sc.long_run_growth(spark.createDataFrame(rows, "zone string, scenario string, period int, value double"), 2030, 2033).where("period = 2033").first()
     assert (got.scenario_low, got.scenario_high) == ("P", "Q") and got.g_central == pytest.approx(1.01 ** 3) and got.g_low == pytest.approx(0.99 ** 3)
+
+
+def test_rows_are_joined_to_their_cells_without_a_shuffle(spark):
+    """What a key, class and group lead to is written first, so the rows, which few keys would gather in few tasks, stay where they are."""
+    past = cases(spark).withColumn("cls", (F.col("edition_period") % 5 + 1).cast("int")).withColumn("grp", F.when(F.col("weight") != 3, F.col("grp")))
+    wide = b.wide_statistics(past, ["horizon"])
+    got = b.with_cells(past, wide, ["horizon"], 40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    pdf = got.toPandas()
+    assert len(pdf) == past.count() and (pdf[pdf["grp"].isna()]["_cell"].str.startswith("class|")).all()
+    sizes = past.groupBy("cls", "grp").count().toPandas().dropna()
+    for r in sizes.itertuples():
+        own = pdf[(pdf["cls"] == r.cls) & (pdf["grp"] == r.grp)]["_cell"].unique()
+        assert list(own) == ([f"cell|{r.cls}|{r.grp}"] if r[3] >= 40 else [f"class|{r.cls}"])
