@@ -152,3 +152,17 @@ def test_rows_are_joined_to_their_cells_without_a_shuffle(spark):
     for r in sizes.itertuples():
         own = pdf[(pdf["cls"] == r.cls) & (pdf["grp"] == r.grp)]["_cell"].unique()
         assert list(own) == ([f"cell|{r.cls}|{r.grp}"] if r[3] >= 40 else [f"class|{r.cls}"])
+
+
+def test_positions_of_past_revisions_are_ranked_once(spark):
+    """The ranks are written with the grid of entities and revisions: neither its medians nor its rows make them again."""
+    past = spark.createDataFrame([(r, f"E{i}", "small" if i % 2 else "large", float((i * 7 + r) % 5)) for r in (24, 27, 30) for i in range(20) if (i + r) % 4], "revision int, entity string, size string, z double")
+    entities = spark.createDataFrame([(f"E{i}",) for i in range(22)], "entity string")
+    got = w.population_levels(past, entities)
+    assert "rank(" not in got._jdf.queryExecution().executedPlan().toString()
+    levels, pdf = got.toPandas(), past.toPandas()
+    pdf["u"] = (pdf.groupby("size")["z"].rank(method="average") - 0.5) / pdf.groupby("size")["z"].transform("size")
+    known = pdf.set_index(["entity", "revision"])["u"]
+    assert len(levels) == 22 * 3 and (levels.groupby("entity")["k"].max() == 3).all()
+    for r in levels.itertuples():
+        assert r.u == pytest.approx(known.get((r.entity, r.revision), pdf[pdf.revision == r.revision]["u"].median()))

@@ -115,7 +115,7 @@ def population_levels(past: DataFrame, entities: DataFrame) -> DataFrame:
     u = with_ranks(past, ["size"], "z", bounded_groups=True).withColumn("u", (F.col("rank_avg") - 0.5) / F.col("n"))
     known = u.groupBy("entity", "revision").agg(F.avg("u").alias("u"))
     listed = past.agg(F.sort_array(F.collect_set("revision"))).scalar()
-    grid = entities.withColumn("_r", listed).select("entity", F.explode("_r").alias("revision")).join(known, ["entity", "revision"], "left")
+    grid = materialize(entities.withColumn("_r", listed).select("entity", F.explode("_r").alias("revision")).join(known, ["entity", "revision"], "left"), "population_positions")
     medians = grouped_quantiles(grid, ["revision"], {"u": "u"}, {"_um": ("u", 0.5)}, bounded_groups=True)
     filled = grid.join(F.broadcast(medians), "revision", "left").select(
         "entity", "revision", F.coalesce("u", "_um", F.lit(0.5)).alias("u"))
