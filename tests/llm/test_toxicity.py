@@ -1,4 +1,8 @@
 import math
+import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vintara.llm import toxicity
 from vintara.llm.common import fold
-from vintara.llm.toxicity import HALF, Index, fit_toxicity, score_toxicity, terms_of, vector_of
+from vintara.llm.toxicity import HALF, Index, Terms, fit_toxicity, score_toxicity, terms_of, vector_of
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -98,3 +102,49 @@ def test_ids_of_text(spark):
 def test_terms_are_whole_runs_of_letters():
     ids, counts, n = vector_of("Idiot! idiot’s ÉTÉ x2y".encode(), {"idiot": 0, "été": 1, "x": 2})
     assert dict(zip(ids.tolist(), counts.tolist())) == {0: 2, 1: 1, 2: 1} and n == 5
+
+
+def runs_of(text):
+    return re.findall(r"[^\W\d_]+", text.decode("utf-8", "replace").lower())
+
+
+def test_terms_of_odd_characters_equal_the_pattern():
+    """Sigma before a point, letters that grow in lower case, digits that count as letters, broken bytes, many kinds of signs."""
+    rng = random.Random(9)
+    pool = [*"ΣσςİéÉ漢²٣_ .'Ab9\x00\u00a0\u2003\x1cKﬁ\u0307ǅ👍", *map(chr, range(0x2190, 0x21c0))]
+    for _ in range(3000):
+        text = "".join(rng.choices(pool[: rng.choice([22, len(pool)])], k=rng.choice([12, 120]))).encode()
+        text = bytes(b for b in text if rng.random() < 0.9) if rng.random() < 0.5 else text
+        assert terms_of(text) == runs_of(text)
+
+
+def test_vectors_of_many_texts_equal_those_of_each_and_take_less_time():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) + rng.choice(["", ".", "é", "1x", "-y"]) for _ in range(5000)]
+    texts = [b"", "12 — !".encode(), *[" ".join(rng.choices(words, k=rng.randint(0, 900))).encode() for _ in range(400)]]
+    vocabulary = sorted({t for text in texts[::3] for t in runs_of(text)})
+    ids = {t: i for i, t in enumerate(vocabulary)}
+
+    def singly():
+        out = []
+        for text in texts:
+            counts = Counter(runs_of(text))
+            out.append((sorted((ids[t], n) for t, n in counts.items() if t in ids), bool(counts)))
+        return out
+
+    terms = Terms(vocabulary)
+    assert [(list(zip(i.tolist(), c.tolist())), n > 0) for i, c, n in terms.vectors_of(texts)] == singly()
+
+    def seconds(call):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            call()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert seconds(lambda: list(terms.vectors_of(texts))) < 0.8 * seconds(singly)
+
+
+def test_no_terms():
+    assert [(len(i), len(c), n) for i, c, n in Terms([]).vectors_of([b"", b"a b"])] == [(0, 0, 0), (0, 0, 2)]

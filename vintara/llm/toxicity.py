@@ -18,21 +18,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vintara.llm.common import ragged, shipped, utf8, written
+from vintara.llm.common import hashed_words, ragged, shipped, slices, utf8, written
 from vintara.llm.sample import labelled_sample, sampled_texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: ASCII as the terms have it: letters in lower case, all else a space; other bytes stay.
+SPACED = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalpha() else 32 for i in range(256))
+ASCII = bytes(range(128))
+#: The capital sigma, which is lowered by the letters around it.
+SIGMA = "\u03a3".encode()
+#: Distinct characters beyond ASCII that are no letters, up to which each is replaced in a text at once.
+FEW = 32
 #: Likelihood ratio (chi-square, one degree) at which a term has half of its full telling.
 SURE = 20.0
 #: Telling of a term that is no more common under label 1.
 LEAST = 0.01
 BLOCK = 128
+#: Blocks of the first visit.
+FIRST = 4
 #: Chord distance at which a vote has half the weight of one at distance 0.
 HALF = 0.2
 
 
+def spaced(text: bytes) -> bytes:
+    """The matches of ``LETTERS`` in the text in lower case, parted by spaces: what is no letter is replaced."""
+    if SIGMA in text:
+        return " ".join(LETTERS.findall(text.decode("utf-8", "replace").lower())).encode()
+    found = text.translate(SPACED)
+    if found.isascii():
+        return found
+    lowered = found.decode("utf-8", "replace").lower()
+    # Broken bytes may meet when ASCII is taken out, so what stands for them is always looked for.
+    others = {"\ufffd", *found.translate(None, ASCII).decode("utf-8", "replace").lower()}
+    others = [c for c in others if not c.isalnum() or c.isdecimal()]
+    if len(others) > FEW:
+        return " ".join(LETTERS.findall(lowered)).encode()
+    for c in others:
+        lowered = lowered.replace(c, " ")
+    return lowered.encode()
+
+
 def terms_of(text: bytes) -> list[str]:
-    return LETTERS.findall(text.decode("utf-8", "replace").lower())
+    return spaced(text).decode().split()
 
 
 def vector_of(text: bytes, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -44,6 +71,45 @@ def vector_of(text: bytes, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray,
     return places[order], np.array([counts[t] for t in found], np.float64)[order], len(counts)
 
 
+class Terms:
+    """Places of terms in a list, found by their 64-bit hashes for many texts at once."""
+
+    def __init__(self, terms: list[str]):
+        hashes = hashed_words([" ".join(terms).encode()])[0]
+        self.size, bits = len(terms), len(terms).bit_length() + 1
+        self.places = np.argsort(hashes)
+        self.hashes, self.shift = hashes[self.places], np.uint64(64 - bits)
+        self.firsts = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def places_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of the term of each hash, -1 if there is none."""
+        of = (hashes >> self.shift).astype(np.int64)
+        at, ends, out = self.firsts[of], self.firsts[of + 1], np.full(len(hashes), -1)
+        left = np.flatnonzero(at < ends)
+        while len(left):
+            same = self.hashes[at[left]] == hashes[left]
+            out[left[same]] = self.places[at[left[same]]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < ends[left]]
+        return out
+
+    def counted(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted numbers text x size + place of the terms in the texts, their counts, and how many terms of any kind each text has."""
+        hashes, sizes = hashed_words([spaced(t) for t in texts])
+        places = self.places_of(hashes)
+        known = places >= 0
+        keys, counts = np.unique(np.repeat(np.arange(len(texts)), sizes)[known] * self.size + places[known], return_counts=True)
+        return keys, counts, sizes
+
+    def vectors_of(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """What ``vector_of`` gives for each text, but the last number counts repeats."""
+        keys, counts, sizes = self.counted(texts)
+        ends = np.searchsorted(keys, np.arange(len(texts) + 1) * self.size)
+        for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            yield keys[lo:hi] - i * self.size, counts[lo:hi].astype(np.float64), int(sizes[i])
+
+
 def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Telling of terms that stand in ``a`` of the n1 examples of label 1 and in ``b`` of the n0 others."""
     if not n1 or not n0:
@@ -90,11 +156,13 @@ class Index:
         places = np.repeat(np.arange(len(order)), [len(e[3]) for e in order]) if order else np.zeros(0, np.int64)
         flat = np.concatenate([e[3] for e in order]) if order else np.zeros(0, np.int64)
         values = np.concatenate([e[4] for e in order]) if order else np.zeros(0)
-        self.block_max = np.zeros((n_blocks, len(terms)), np.float32)
-        np.maximum.at(self.block_max, (places // BLOCK, flat), np.nextafter(values.astype(np.float32), np.float32(2)))  # rounded up
-        by = np.lexsort((places, flat, places // BLOCK))
-        self.starts = np.searchsorted((places // BLOCK * len(terms) + flat)[by], np.arange(n_blocks * len(terms) + 1))
-        self.places, self.values, self.numbers = places[by] % BLOCK, values[by], np.arange(len(by))
+        self.block_max = np.zeros((len(terms), n_blocks), np.float32)
+        np.maximum.at(self.block_max, (flat, places // BLOCK), np.nextafter(values.astype(np.float32), np.float32(2)))  # rounded up
+        by = np.lexsort((places, flat))
+        # Of each term the postings of all blocks lie together; row t of ``starts`` says where those of its blocks begin and the last ends.
+        bounds = np.searchsorted((flat * n_blocks + places // BLOCK)[by], np.arange(n_blocks * len(terms) + 1))
+        self.starts = bounds[n_blocks * np.arange(len(terms))[:, None] + np.arange(n_blocks + 1)]
+        self.places, self.values, self.numbers = places[by], values[by], np.arange(len(by))
 
     def scaled(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         values = counts * self.weights[ids]
@@ -107,16 +175,22 @@ class Index:
         if not len(ids) or not len(self.ids):
             return places, cosines
         weights = self.scaled(ids, counts)
-        bounds = self.block_max[:, ids] @ weights
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or bounds[block] < kth - 1e-6:
+        bounds = weights @ self.block_max[ids]
+        order = np.argsort(-bounds, kind="stable")
+        bounds = bounds[order]
+        # A few blocks at a time: a visit costs more than the postings of a block, and twice as many each time leave few visits.
+        of, done, step = self.starts[ids], 0, FIRST
+        while done < len(order):
+            here = order[done : done + step][(bounds[done : done + step] > 0) & (bounds[done : done + step] >= kth - 1e-6)]
+            if not len(here):
                 break
-            at = block * len(self.terms) + ids
-            starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
+            done, step = done + step, 2 * step
+            starts = of[:, here].ravel()
+            lengths = of[:, here + 1].ravel() - starts
             held = ragged(self.numbers, starts, lengths)
-            scores = np.bincount(self.places[held], np.repeat(weights, lengths) * self.values[held], BLOCK)
-            here = np.flatnonzero(scores > max(kth - 1e-12, 0))
-            places, cosines = np.concatenate([places, here + block * BLOCK]), np.concatenate([cosines, scores[here]])
+            scores = np.bincount(self.places[held], np.repeat(weights.repeat(len(here)), lengths) * self.values[held], len(self.ids))
+            found = np.flatnonzero(scores > max(kth - 1e-12, 0))
+            places, cosines = np.concatenate([places, found]), np.concatenate([cosines, scores[found]])
             best = np.lexsort((places, -np.round(cosines, 12)))[: self.k]
             places, cosines = places[best], cosines[best]
             kth = cosines[-1] if len(best) == self.k else 0.0
@@ -152,7 +226,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in terms_of(r["text"].encode())}))}
     sizes = Counter(r["label"] for r in rows)
     df = np.zeros(len(vocabulary) + 1)
-    for r in texts.select("text").mapInArrow(_frequencies(vocabulary), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():  # the examples' terms
+    for r in texts.select("text").mapInArrow(_frequencies(list(vocabulary)), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():  # the examples' terms
         df[r.term] = r.df
     found = [(i, r["label"], r["of"] / sizes[r["label"]], *vector_of(r["text"].encode(), vocabulary)[:2]) for i, r in enumerate(rows)]
     return Index(list(vocabulary), df[:-1], int(df[-1]), found, k), [r["id"] for r in rows]
@@ -170,9 +244,11 @@ def score_toxicity(docs: DataFrame, model: tuple[Index, list], id_col: str = "do
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, names = sent.value
-        ids = {t: i for i, t in enumerate(index.terms)}
+        terms = Terms(index.terms)
         for batch in batches:
-            scores, evidence, cosines = zip(*[index.score(*vector_of(text, ids)) for text in utf8(batch.column(1))]) if batch.num_rows else ((), (), ())
+            texts = utf8(batch.column(1))
+            found = [index.score(*vector) for lo, hi in slices(texts) for vector in terms.vectors_of(texts[lo:hi])]
+            scores, evidence, cosines = zip(*found) if found else ((), (), ())
             kind = batch.column(0).type
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([[names[i] for i in e] for e in evidence], pa.list_(kind)), pa.array(cosines, pa.list_(pa.float64()))],
                                              ["id", "score", "evidence", "cosines"])
@@ -181,13 +257,14 @@ def score_toxicity(docs: DataFrame, model: tuple[Index, list], id_col: str = "do
     return kept.mapInArrow(score, f"id {kind}, score double, evidence array<{kind}>, cosines array<double>").withColumnRenamed("id", id_col)
 
 
-def _frequencies(ids: dict[str, int]):
+def _frequencies(vocabulary: list[str]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(ids) + 1, np.int64), 0
+        terms, df, n = Terms(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                df[[ids[t] for t in ids.keys() & set(terms_of(text))]] += 1
-                n += 1
+            texts = utf8(batch.column(0))
+            for lo, hi in slices(texts):
+                df[:-1] += np.bincount(terms.counted(texts[lo:hi])[0] % max(terms.size, 1), minlength=terms.size)
+            n += len(texts)
         df[-1] = n
         kept = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(df[kept])], ["term", "df"])
