@@ -1,10 +1,13 @@
+import cProfile
 import hashlib
+import pstats
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vintara.llm.substrings import remove_repeats
+from vintara.llm.substrings import _keys, remove_repeats
 
 
 def brute(rows, window=35):
@@ -57,3 +60,12 @@ def test_spans_and_kept_text(docs_of):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = remove_repeats(docs_of([(1, f"one\n\ntwo {passage} three  \n"), (2, f"{passage}\tfour"), (3, " un\ntouched "), (4, passage)])).collect()
     assert {r.doc_id: (r.kept_text, r.spans) for r in rows} == {1: ("one\n\ntwo three  \n", [[2, 42]]), 2: ("four", [[0, 40]]), 3: (" un\ntouched ", []), 4: ("", [[0, 40]])}
+
+
+def test_keys_take_no_call_for_each_word():
+    """20,000 distinct words, of which every second text is a copy, are hashed together."""
+    texts = [" ".join(f"word{k // 2}x{i}" for i in range(500)) for k in range(80)]
+    profile = cProfile.Profile()
+    found = profile.runcall(list, _keys(35)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    assert len(found) == 1 and found[0].num_rows > 400 and set(found[0].column(1).to_pylist()) == {2}
+    assert pstats.Stats(profile).total_calls < 5000

@@ -26,8 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vintara.llm.common import mix, slices, utf8, written
-from vintara.llm.jaccard import HashedWords
+from vintara.llm.common import hashed_words, mix, slices, utf8, written
 
 #: Pair rounds after which anchors are looked for, the highest first; the words themselves come last.
 LEVELS = (4, 2)
@@ -38,16 +37,14 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 class Passages:
     """The words of some texts in one row, a separator of its own before and after each text."""
 
-    def __init__(self, texts: list[bytes], words: HashedWords, window: int):
-        parts, sizes = [], []
-        for k, text in enumerate(texts):
-            hashed = words.of(text)
-            parts += [mix(np.array([k], np.uint64) + np.uint64(0xABCDEF123)), hashed]
-            sizes.append(len(hashed))
+    def __init__(self, texts: list[bytes], window: int):
+        hashed, self.sizes = hashed_words(texts)
         self.window = window
-        self.x = np.concatenate([*parts, mix(np.array([len(texts), len(texts) + 1], np.uint64) + np.uint64(0xABCDEF123))])
-        self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes + 1) - self.sizes
+        parted = np.concatenate([self.starts - 1, len(hashed) + len(texts) + np.arange(2)])
+        self.x = np.empty(len(hashed) + len(parted), np.uint64)
+        self.x[parted] = mix(np.arange(len(parted), dtype=np.uint64) + np.uint64(0xABCDEF123))
+        self.x[np.arange(len(hashed)) + np.repeat(np.arange(len(texts)) + 1, self.sizes)] = hashed
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.x), BASE)]))
         self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.x), INVERSE)]))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.x * powers[:-1])])
@@ -68,7 +65,8 @@ class Passages:
         lo, hi, level = np.zeros(total, np.int64), np.zeros(total, np.int64), np.full(total, -1)
         left = np.arange(total)
         for depth, (names, los, his) in self._levels():
-            a, b = np.searchsorted(los, first[left], "left"), np.searchsorted(his, first[left] + w, "right")
+            # From the first name that begins in the window to the last that ends in it.
+            a, b = _before(los, len(self.x))[first[left]], _before(his, len(self.x))[first[left] + w + 1]
             inside = b > a
             best = _least(mix(names + np.uint64(depth)), a[inside], b[inside])
             at = left[inside]
@@ -109,6 +107,11 @@ class Passages:
         yield 0, (x, np.arange(n), np.arange(1, n + 1))
 
 
+def _before(places: np.ndarray, n: int) -> np.ndarray:
+    """How many of the places are less than each number from 0 to n + 1."""
+    return np.concatenate([[0], np.cumsum(np.bincount(places, minlength=n + 1))])
+
+
 def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Index of the least value from a to b - 1, the first of equals."""
     at = np.arange(len(values))
@@ -169,10 +172,9 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list
 
 def _keys(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = HashedWords()
         for batch in batches:
             for _, _, texts in _slices(batch, 0):
-                _, _, key, _ = Passages(texts, words, window).anchors()
+                _, _, key, _ = Passages(texts, window).anchors()
                 key, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
@@ -181,10 +183,9 @@ def _keys(window: int):
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = HashedWords()
         for batch in batches:
             for lo, hi, texts in _slices(batch, 2):
-                found = Passages(texts, words, window)
+                found = Passages(texts, window)
                 first, many, key, span = found.anchors()
                 doc = np.searchsorted(found.starts, first, "right") - 1
                 place = (first - found.starts[doc]) << 8 | many  # first window of the document, number of windows
@@ -197,12 +198,11 @@ def _anchors(window: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = HashedWords()
         for batch in batches:
             names = batch.schema.names
             wanted = batch.column(names.index("wanted"))
             for lo, hi, texts in _slices(batch, names.index("text")):
-                found = Passages(texts, words, window)
+                found = Passages(texts, window)
                 part = wanted.slice(lo, hi - lo)
                 of = part.flatten()
                 doc = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
