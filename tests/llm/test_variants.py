@@ -100,6 +100,18 @@ def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
     assert expected == sorted(map(tuple, near_words(words).collect())) and expected
 
 
+def test_nothing_of_the_vocabulary_is_broadcast(spark):
+    """A small vocabulary's neighbourhoods are many times its size, which Spark doesn't see."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([("letter", 5), ("letters", 30), ("x" * 70, 5), ("x" * 71, 50)], "word string, n bigint")
+    known = variants.written(words, "known")
+    pairs, groups = near_words(known), variant_groups(words)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    assert "SortMergeJoin" in plan(pairs) and "Broadcast" not in plan(pairs)
+    assert "SortMergeJoin" in plan(groups) and "Broadcast" not in plan(groups)
+    assert {(r.word, r.near) for r in pairs.collect()} == {(a, b) for a in words.toPandas().word for b in words.toPandas().word if one_edit(a, b)}
+
+
 def test_words_of_whole_texts(spark, docs_of, monkeypatch):
     rng = random.Random(1)
     kinds = [made(rng, "abcÉéßxyz", rng.randrange(3, 12)) for _ in range(200)]

@@ -83,31 +83,35 @@ def variant_groups(words: DataFrame, ratio: int = 5) -> DataFrame:
     shipped(spark)
     known = written(words.where(words["word"].isNotNull()).groupBy(words["word"].alias("word")).agg(F.sum(words["n"]).cast("bigint").alias("n")), "variants-words")
     best = near_words(known).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("near_n"), F.col("near"))).alias("first"))
-    counted = known.join(best, "word", "left")
+    counted = known.join(best.hint("merge"), "word", "left")
     led = F.expr(f"-first.col1 >= {ratio} * n")
     groups = written(counted.select("word", "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.when(led, F.col("first.near")).alias("form"), F.when(led, F.expr("-first.col1")).alias("form_n")), "variants-forms")
     led_words = groups.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
-    return groups.join(_roots(led_words), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return groups.join(_roots(led_words).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def near_words(known: DataFrame) -> DataFrame:
-    """(word, near, near_n) of every pair of words one edit apart, in both directions, each once."""
+    """(word, near, near_n) of every pair of words one edit apart, in both directions, each once.
+
+    Nothing of the vocabulary's size is sent whole: Spark sizes what a task makes of a row by the compressed words alone, so it
+    would broadcast all neighbourhoods where those are under its threshold.
+    """
     filled = _bitmap(known)
-    vocabulary = known.mapInArrow(_reduced, "key bigint, near string, near_n bigint")
+    vocabulary = known.mapInArrow(_reduced, "key bigint, near string, near_n bigint").hint("merge")
     near = F.levenshtein("word", "near", 1) == 1
     short = known.where(F.char_length("word") <= CARRIED).select("word").mapInArrow(_neighbours(filled, True), "word string, key bigint")
     pairs = short.join(vocabulary, "key").where(near).select("word", "near", "near_n")
     # A long word has neighbours in proportion to its length, so they carry its hash.
     longs = known.where(F.char_length("word") > CARRIED).select("word").withColumn("h", F.xxhash64("word"))
     met = longs.mapInArrow(_neighbours(filled, False), "h bigint, key bigint").join(vocabulary, "key").select("h", "near", "near_n")
-    return pairs.unionByName(longs.join(met, "h").where(near).select("word", "near", "near_n"))
+    return pairs.unionByName(longs.join(met.hint("merge"), "h").where(near).select("word", "near", "near_n"))
 
 
 def _roots(led: DataFrame) -> DataFrame:
     """The end of every chain of forms. A form is ``ratio`` times as common as its word, so chains are short; each round doubles the step."""
     while True:
         step = led.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        further = written(led.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "variants-roots")
+        further = written(led.join(step.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "variants-roots")
         led = further.select("word", "root")
         if not further.where("moved").limit(1).count():
             return led
