@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vintara.operators.archive import as_of_join
 from vintara.operators import expanding
 from vintara.operators.quantiles import grouped_quantiles, quantiles_at, with_ranks
+from vintara.session import materialize
 
 rng = np.random.default_rng(7)
 
@@ -126,6 +127,23 @@ def test_many_groups_spread_over_cells_are_counted_before_they_are_sent(spark):
             assert abs(row[name] - part[column].dropna().quantile(p)) < 1e-9
 
 
+def test_rows_are_sent_to_the_cells_that_want_their_value_only(spark):
+    """What sends a row to its cells is a small table by class and group; edges are made once, and null classes and groups keep their rows."""
+    rows = [(i % 3, i % 5 if i % 13 else None, "AB"[i % 2] if i % 7 else None, float((i * 37) % 4001) / 8) for i in range(4000)]
+    df = materialize(spark.createDataFrame(rows, "h int, cls int, grp string, x double"), "sent_rows")
+    members = F.filter(F.array(F.concat(F.lit("c"), "cls"), F.concat(F.lit("g"), "grp"), F.lit("all")), lambda m: m.isNotNull())
+    for bounded in (False, True):
+        found = grouped_quantiles(df, ["h"], {"x": "x"}, {"lo": ("x", 0.1234), "hi": ("x", 0.9)}, bounded, spread=("cell", members, ["cls", "grp"]))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "concat(" not in plan and "percentile_approx" not in plan
+        got, pdf = found.toPandas().set_index(["h", "cell"]), df.toPandas()
+        assert len(got) == 3 * (5 + 2 + 1)
+        for (h, cell), row in got.iterrows():
+            part = pdf[pdf.h == h]
+            part = part if cell == "all" else part[part.cls == int(cell[1:])] if cell[0] == "c" else part[part.grp == cell[1:]]
+            assert abs(row["lo"] - part["x"].quantile(0.1234)) < 1e-9 and abs(row["hi"] - part["x"].quantile(0.9)) < 1e-9
+
+
 def test_any_number_of_quantiles_of_rows_in_several_groups(spark):
     """A row belongs to several cells; rows are counted by what makes a cell, and only the buckets that hold a wanted rank are read again."""
     rows = [(i % 2, i % 5, "AB"[i % 2] if i % 7 else None, float((i * 7919) % 3001) if i % 11 else None) for i in range(6000)]
